@@ -280,3 +280,61 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
     return e.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(roots)
+
+
+# --- helpers of joins by hash -----------------------------------------------------
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of rows that come sorted by key, with starts and ends of the runs of two rows or more.
+
+    A run is never cut: the last one of a batch waits for the next batch.
+    """
+    held: dict[str, np.ndarray] = {}
+
+    def cut(cols: dict[str, np.ndarray], end: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        k = cols[key][:end]
+        edges = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [end]))
+        many = np.flatnonzero(np.diff(edges) > 1)
+        return cols, edges[many], edges[many + 1]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
+        cols = {c: np.concatenate((held[c], x)) for c, x in new.items()} if held else new
+        end = int(np.searchsorted(cols[key], cols[key][-1], "left"))
+        if end:
+            yield cut(cols, end)
+        held = {c: x[end:].copy() for c, x in cols.items()}
+    if held:
+        yield cut(held, len(held[key]))
+
+
+def id_bitmap(df: DataFrame, col: str, bits: int = 23) -> np.ndarray:
+    """A bitmap of 2**bits bits with one set for each id (long): fixed in size, it may say yes too often, never no.
+
+    It only spares shuffles; an exact join must follow.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for b in batches:
+            seen[_slots(b.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        words = np.packbits(seen, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at])], ["w", "b"])
+
+    words = df.select(F.col(col).cast("long")).coalesce(max(1, 8 * df.sparkSession.sparkContext.defaultParallelism)).mapInArrow(mark, "w int, b long")
+    t = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()  # 2**(bits - 6) rows at most
+    out = np.zeros((1 << bits) >> 6, np.int64)
+    out[t["w"].to_numpy()] = t["b"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return bitmap[_slots(ids, len(bitmap).bit_length() - 1)]

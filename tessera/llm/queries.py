@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 from tessera.llm.decontaminate import contained_items
 from tessera.llm.importance import resample
+from tessera.llm.line_dedup import line_digest
 from tessera.llm.quality import quality_rules
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.warc import round_trip
@@ -30,11 +31,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_decontamination, op5_warc_salvage, op7_secret_scan, op9_importance_resampling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_decontamination, op5_warc_salvage, op7_secret_scan, op8_line_dedup, op9_importance_resampling)}
 
 SQL: dict[str, str] = {
     "op5_warc_salvage": r"""
