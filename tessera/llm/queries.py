@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 from tessera.llm.decontaminate import contained_items
 from tessera.llm.importance import resample
+from tessera.llm.jaccard import jaccard_components
 from tessera.llm.line_dedup import line_digest
 from tessera.llm.quality import quality_rules
 from tessera.llm.secrets import scan_secrets
@@ -19,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,9 +44,25 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_decontamination, op5_warc_salvage, op7_secret_scan, op8_line_dedup, op9_importance_resampling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op5_warc_salvage, op7_secret_scan, op8_line_dedup, op9_importance_resampling)}
 
 SQL: dict[str, str] = {
+    "op2_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN [array_to_string(ws[i:i+3], ' ') FOR i IN range(1, len(ws) - 2)] WHEN len(ws) > 0 THEN ['short ' || array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 185 * count(*) >= 85 * ((SELECT n.n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n.n FROM n WHERE n.doc_id = b.doc_id))
+), r AS (
+  SELECT doc_id, doc_id AS reach FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = w.doc_id""",
     "op5_warc_salvage": r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 k AS (SELECT hex, max(page_id) AS keeper FROM p GROUP BY hex)
