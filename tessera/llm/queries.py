@@ -13,6 +13,7 @@ from tessera.llm.jaccard import jaccard_components
 from tessera.llm.line_dedup import line_digest
 from tessera.llm.quality import quality_rules
 from tessera.llm.secrets import scan_secrets
+from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.warc import round_trip
 
 
@@ -44,7 +45,11 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op5_warc_salvage, op7_secret_scan, op8_line_dedup, op9_importance_resampling)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op5_warc_salvage, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup)}
 
 SQL: dict[str, str] = {
     "op2_jaccard_join": r"""
