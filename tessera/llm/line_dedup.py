@@ -66,14 +66,15 @@ class _Batch:
         self.n = self.e - self.s
         self.id = mix(span_hash(self.c, self.s, self.e) + self.n.astype(np.uint64)).view(np.int64)
 
-    def counts(self) -> np.ndarray:
-        """Letters by bin, packed; every count is modulo 2**_BITS."""
-        kind = (mix(self.points.astype(np.uint64)) & np.uint64(_BINS - 1)).astype(np.int64)
-        out = np.zeros(len(self.s), np.uint64)
-        for b in range(_BINS):
-            c = np.concatenate(([0], np.cumsum(kind == b)))
-            out |= ((c[self.e] - c[self.s]) & ((1 << _BITS) - 1)).astype(np.uint64) << np.uint64(b * _BITS)
-        return out.view(np.int64)
+    def counts(self, some: np.ndarray) -> np.ndarray:
+        """Letters by bin of the lines `some`, packed; every count is modulo 2**_BITS."""
+        n, first = self.n[some], self.s[some]
+        ends = np.cumsum(n)
+        line = np.repeat(np.arange(len(some), dtype=np.int32), n)
+        points = self.points[np.arange(ends[-1] if len(n) else 0) + np.repeat(first - ends + n, n)]
+        kind = (points * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BINS.bit_length() + 1)
+        c = np.bincount(line * _BINS + kind, minlength=len(some) * _BINS).reshape(-1, _BINS) & ((1 << _BITS) - 1)
+        return (c.astype(np.uint64) << (np.arange(_BINS, dtype=np.uint64) * np.uint64(_BITS))).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def _keys(b: _Batch, edits: int, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -113,7 +114,8 @@ def _entries(edits: int):
                 _, some = np.unique(b.id, return_index=True)
                 some = some[~np.isin(b.id[some], seen)]  # copies nearby
                 seen = np.concatenate((seen, b.id[some]))[-1_000_000:]
-                counts = b.counts()
+                counts = np.zeros(len(b.id), np.int64)
+                counts[some] = b.counts(some)
                 for key, line, probes in _keys(b, edits, some):
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.id[line] & ~np.int64(1) | np.int64(probes)), pa.array(counts[line])], ["key", "id", "counts"])
 
