@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
 from tessera.llm.decontaminate import contained_items
+from tessera.llm.html_extract import extract_pages
 from tessera.llm.importance import resample
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.line_dedup import line_digest
@@ -29,6 +30,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,7 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op5_warc_salvage, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_warc_salvage, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup)}
 
 SQL: dict[str, str] = {
     "op2_jaccard_join": r"""
