@@ -14,6 +14,7 @@ from tessera.llm.jaccard import jaccard_components
 from tessera.llm.line_dedup import line_digest
 from tessera.llm.quality import quality_rules
 from tessera.llm.secrets import scan_secrets
+from tessera.llm.segment import sample_segmentations
 from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.warc import round_trip
 
@@ -38,6 +39,10 @@ def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_warc_salvage, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_warc_salvage, op6_sentencepiece_sampling, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup)}
 
 SQL: dict[str, str] = {
     "op2_jaccard_join": r"""
