@@ -3,13 +3,14 @@
 Strings that are equal must meet in one shard. Each 400-byte string is dealt by its
 anchor, the least hash among its 32-byte windows (leftmost of equals): equal strings
 have equal anchors at equal places. The starts that follow one another with one anchor
-make a piece, their strings' bytes. Pieces with an anchor that the corpus has once are
-unique. Where all pieces of an anchor are the same bytes, all their starts repeat. The
-other anchors' different pieces, one copy of each, go to shards whose suffix arrays are
+in one part of their strings make a piece, their strings' bytes, dealt by the bytes
+around the anchor that all of them hold. Pieces whose key the corpus has once are
+unique. Where all pieces of a key are the same bytes, all their starts repeat. The
+other keys' different pieces, one copy of each, go to shards whose suffix arrays are
 built by induced sorting: suffixes are classified, leftmost-smaller substrings sorted and
 named, the shorter string of names sorted in turn, and the array induced from it in
 linear passes over buckets. Common prefixes of neighbours, permuted to text order, then
-say which starts repeat. An anchor with more different pieces than a shard may hold is
+say which starts repeat. A key with more different pieces than a shard may hold is
 settled by counting 128-bit hashes of its strings instead.
 """
 
@@ -27,8 +28,10 @@ from tessera.llm.common import BASES, chunks, id_bitmap, in_bitmap, materialize,
 
 LENGTH = 400
 ANCHOR = 32
-#: Bytes of a shard's pieces; an anchor with more is counted by hashes.
-SHARD_BYTES = 1 << 21
+#: Strings make separate pieces by where, in steps of this, the anchor starts in them.
+STEP = -(-(LENGTH - ANCHOR + 1) // 4)
+#: Bytes of a shard's pieces; a key with more is counted by hashes.
+SHARD_BYTES = 1 << 20
 #: No UTF-8 text has this byte.
 SEPARATOR = 0xFF
 
@@ -107,20 +110,26 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarra
 
 
 def _rank(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over many names, by doubling what is compared."""
+    """Suffix array of a string over many names, by doubling what is compared; only ties are sorted again."""
     n = len(names)
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(names, kind="stable")
+    new = np.concatenate(([True], names[order][1:] != names[order][:-1]))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]  # where the ties of each place begin
+    rank = np.empty(n, np.int64)
+    rank[order] = first
     k = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1 if k < n else 0
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
+    tied = np.flatnonzero(np.bincount(first, minlength=n)[first] > 1)
+    while len(tied):
+        i, start = order[tied], first[tied]
+        after = np.where(i + k < n, rank[np.minimum(i + k, n - 1)], -1)
+        by = np.lexsort((after, start))
+        i, after = i[by], after[by]  # starts are sorted, and stay so
+        new = np.concatenate(([True], (start[1:] != start[:-1]) | (after[1:] != after[:-1])))
+        begin = tied[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        order[tied], first[tied], rank[i] = i, begin, begin
+        tied = tied[np.bincount(begin, minlength=n)[begin] > 1]
         k *= 2
+    return order
 
 
 #: A string over more letters than this has too many buckets for passes over them.
@@ -229,14 +238,18 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(starts):
                 continue
             new = np.ones(len(starts), bool)
-            new[1:] = (anchor[starts[1:]] != anchor[starts[:-1]]) | (owner[starts[1:]] != owner[starts[:-1]])
+            part = (anchor[starts] - starts) // STEP  # the part of its string that the anchor starts in
+            new[1:] = (anchor[starts[1:]] != anchor[starts[:-1]]) | (owner[starts[1:]] != owner[starts[:-1]]) | (part[1:] != part[:-1])
             l = starts[new]
             r = starts[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(starts) - 1]))]
             p = anchor[l]
             shape = (p - l).astype(np.uint64) * np.uint64(1 << 20) + (r - l).astype(np.uint64)
             h2 = prefix_hash(data, BASES[1])
             own = owner[l]
-            cols = (gram[p].view(np.int64), mix(span_hash(c, l, r + LENGTH) + shape).view(np.int64), mix(span_hash(h2, l, r + LENGTH, BASES[1]) ^ shape).view(np.int64), doc[i + own], row[i + own], l - offsets[own], r - l)
+            part = (p - l) // STEP
+            # All strings with the anchor in this part hold these bytes.
+            h = mix(span_hash(c, p - part * STEP, p - np.minimum((part + 1) * STEP, span) + 1 + LENGTH) + part.astype(np.uint64))
+            cols = (h.view(np.int64), mix(span_hash(c, l, r + LENGTH) + shape).view(np.int64), mix(span_hash(h2, l, r + LENGTH, BASES[1]) ^ shape).view(np.int64), doc[i + own], row[i + own], l - offsets[own], r - l)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "p1", "p2", "doc", "row", "l", "more"])
 
 
