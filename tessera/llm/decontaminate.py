@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IS_SPACE, chunks, over_arrow, shingles, text_bytes, unique_per_row, word_hashes, word_spans
+from tessera.llm.common import IS_SPACE, chunks, materialize, over_arrow, shingles, text_bytes, unique_per_row, word_hashes, word_spans
 
 SHINGLE_WORDS = 5
 CONTAINMENT_PERCENT = 80
@@ -143,5 +143,5 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAI
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
     """The documents that contain no item; other columns stay as they are."""
-    leaks = contained_items(docs, benchmark, percent).select(F.col("doc_id").alias("__leak")).distinct()
+    leaks = materialize(contained_items(docs, benchmark, percent).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
     return docs.join(leaks, docs["doc_id"] == leaks["__leak"], "left_anti")
