@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one round of numpy work holds; a longer document is a round of its own.
 CHUNK_BYTES = 1 << 19
@@ -177,7 +178,7 @@ def list_array(values: np.ndarray, rows: np.ndarray, n_rows: int, kind: pa.DataT
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def over_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def over_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """f over every record batch of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

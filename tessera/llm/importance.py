@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.common import IS_SPACE, chunks, materialize, mix, over_arrow, text_bytes, word_hashes, word_spans
 
@@ -196,6 +197,6 @@ def keep_resampled(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
         s = _score(b.column("text"), weights.value, bits)
         yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(s[:, k], from_pandas=True) for k in (0, 1))], [*b.schema.names, "__words", "__grams"])
 
-    wide = over_arrow(docs, run, schema.add("__words", "double").add("__grams", "double"))
+    wide = over_arrow(docs, run, StructType([*schema.fields, StructField("__words", DoubleType()), StructField("__grams", DoubleType())]))
     _, p = model.key(F.col("doc_id"), F.col("__words"), F.col("__grams"))
     return wide.where(p >= last).drop("__words", "__grams")
