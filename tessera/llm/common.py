@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one round of numpy work holds; a longer document is a round of its own.
 CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Odd multipliers of the polynomial hashes modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: 0x20 and 0x09-0x0D part words.
@@ -44,9 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows go to a Python worker at a time: their texts are held on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs a read."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -186,6 +196,7 @@ def over_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             if b.num_rows:
                 yield from f(b)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
