@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _KATAKANA = "".join(chr(c) for c in range(0x30A1, 0x30F7))
 _HIRAGANA = "".join(chr(c - 0x60) for c in range(0x30A1, 0x30F7))
@@ -30,6 +31,6 @@ def first_sentence(x: Column) -> Column:
     return F.get(F.split(x, r"(?<=[。！？])"), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
