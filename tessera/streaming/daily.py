@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def daily_log(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """(day, event_type, n); works on a batch and on a stream alike."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
         events = events.withWatermark("ts", late)
     return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "event_type", "n")
