@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import IS_SPACE, chunks, materialize, mix, over_arrow, text_bytes, word_hashes, word_spans
+from tessera.llm.common import IS_SPACE, chunks, materialize, mix, over_arrow, text_bytes, unused, word_hashes, word_spans
 
 _PARTS = IS_SPACE.copy()
 _PARTS[[i for i in range(128) if not chr(i).isalnum()]] = True
@@ -192,11 +192,12 @@ def keep_resampled(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     model, scores = fit(docs, labels, settings)
     _, last = _cut(model, scores)
     weights, bits, schema = model.weights, settings.bits, docs.schema
+    names = [unused(docs, "__words"), unused(docs, "__grams")]
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         s = _score(b.column("text"), weights.value, bits)
-        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(s[:, k], from_pandas=True) for k in (0, 1))], [*b.schema.names, "__words", "__grams"])
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(s[:, k], from_pandas=True) for k in (0, 1))], [*b.schema.names, *names])
 
-    wide = over_arrow(docs, run, StructType([*schema.fields, StructField("__words", DoubleType()), StructField("__grams", DoubleType())]))
-    _, p = model.key(F.col("doc_id"), F.col("__words"), F.col("__grams"))
-    return wide.where(p >= last).drop("__words", "__grams")
+    wide = over_arrow(docs, run, StructType([*schema.fields, *(StructField(c, DoubleType()) for c in names)]))
+    _, p = model.key(F.col("doc_id"), *map(F.col, names))
+    return wide.where(p >= last).drop(*names)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, id_bitmap, in_bitmap, materialize, mix, partitions, prefix_hash, span_hash, text_bytes, whole_runs
+from tessera.llm.common import chunks, id_bitmap, in_bitmap, materialize, mix, partitions, prefix_hash, span_hash, text_bytes, unused, whole_runs
 
 EDITS = 2
 #: Shorter lines, in code points, are never removed.
@@ -256,9 +256,10 @@ def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes from each text the lines that the last column numbers."""
     for x in batches:
         at = x.schema.get_field_index("text")
-        text, gone = x.column(at).to_pylist(), x.column("__lines").to_pylist()
+        text, gone = x.column(at).to_pylist(), x.column(x.num_columns - 1).to_pylist()
         for i, lines in enumerate(gone):
             if lines:
                 drop = set(lines)
@@ -267,21 +268,22 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """docs without later near copies of lines, and __lines: the numbers of those that went.
+    """docs without later near copies of lines, and a last column, __lines: the numbers of those that went.
 
     Lines are split at \\n; only those of MIN_CHARS code points or more take part. Rows
     with a null doc_id or text stay as they are. Rows that repeat a doc_id and text
     count as the same place, so none loses lines to the other. Lines of any length are
     compared whole. A text that loses all its lines becomes empty. An empty table stays
-    empty, and other columns are handed on.
+    empty, and other columns are handed on; if one is called __lines, the last is __lines_.
     """
-    gone = removed_lines(docs, edits).select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__lines"))
-    wide = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__doc"], "left").drop("__doc")
+    doc, lines = unused(docs, "__doc"), unused(docs, "__lines")
+    gone = removed_lines(docs, edits).select(F.col("doc_id").alias(doc), F.col("lines").alias(lines))
+    wide = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone[doc], "left").drop(doc)
     return wide.mapInArrow(_without, wide.schema)
 
 
 def line_digest(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(doc_id, n_removed, removed, kept_sha256): how many lines went, which, and the SHA-256 of what stays."""
-    out = dedup_lines(docs, edits)
+    out = dedup_lines(docs.select("doc_id", "text"), edits)
     n = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
     return out.select("doc_id", F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_removed"), F.coalesce(F.array_join("__lines", ","), F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -58,17 +58,17 @@ def _scan(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(paths, new): (doc_id, sha) of every row, and the ledger rows of blobs that the ledger lacks.
+    """(paths, new): (doc_id, path, sha) of every row, where path is doc_id or the least long for null, and the ledger rows of blobs that the ledger lacks.
 
     Append `new` to the ledger; findings() joins both back to the paths.
     """
-    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    paths = materialize(named.select("doc_id", "sha"), "paths")
-    blobs = paths.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))  # one path for each blob, by partial aggregates
+    named = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
+    paths = materialize(named.select("doc_id", "path", "sha"), "paths")
+    blobs = paths.groupBy("sha").agg(F.min("path").alias("path"))  # one path for each blob, by partial aggregates
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rules") == RULES_VERSION).select("sha"), "sha", "left_anti")
     # The texts are shuffled once and not sorted; the ids are the build side of each partition.
-    todo = named.join(blobs.hint("shuffle_hash"), ["doc_id", "sha"]).select("sha", "text")
+    todo = named.join(blobs.hint("shuffle_hash"), ["path", "sha"]).select("sha", "text")
     return paths, materialize(over_arrow(todo, _scan, LEDGER).groupBy("sha", "rules").agg(F.max("spans").alias("spans")), "ledger")
 
 

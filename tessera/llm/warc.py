@@ -113,7 +113,10 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
         k, colon, v = line.partition(b":")
         if not colon:
             raise ValueError("bad header line")
-        head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+        name = k.strip().lower().decode("latin-1")
+        if name in head and name != "warc-concurrent-to":
+            raise ValueError("repeated header")
+        head[name] = v.strip().decode("utf-8", "replace")
     try:
         n = int(head["content-length"])
     except (KeyError, ValueError):
