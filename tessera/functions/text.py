@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: One kanji or sign that stands for one.
+KANJI = "[\u3400-\u9fff々〆ヶ]"
+#: Names of album types.
+ALBUM_TYPES = {"Full Album": "全长专辑", "Mini Album": "迷你专辑"}
 _KATAKANA = "".join(chr(c) for c in range(0x30A1, 0x30F7))
 _HIRAGANA = "".join(chr(c - 0x60) for c in range(0x30A1, 0x30F7))
 
@@ -31,6 +35,25 @@ def first_sentence(x: Column) -> Column:
     return F.get(F.split(x, r"(?<=[。！？])"), F.lit(0))
 
 
+def album_type(folder: Column, spec: Column) -> Column:
+    """The spec without parentheses and with known names replaced; the folder's type where there is no spec."""
+    said = F.regexp_replace(spec, r"\s*\(.*?\)", "")
+    for name, shown in ALBUM_TYPES.items():
+        said = F.replace(said, F.lit(name), F.lit(shown))
+    return F.coalesce(F.when(spec != "", said), folder)
+
+
+def title_part(x: Column, last: bool = False) -> Column:
+    """The first or last part of what slashes separate, trimmed."""
+    return F.trim(F.element_at(F.split(x, "/"), -1 if last else 1))
+
+
+def lemma_form(lemma: Column, surface: Column, p2: Column) -> Column:
+    """The lemma up to a hyphen; a proper noun's that is all katakana gives way to the surface."""
+    own = F.substring_index(F.coalesce(lemma, surface), "-", 1)
+    return F.when((p2 == "固有名詞") & own.rlike(r"^[ァ-ヺー・]+\z"), surface).otherwise(own)
+
+
 @F.pandas_udf(StringType())
 def nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

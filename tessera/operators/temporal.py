@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lines of timed text that say who made it, not what is sung; fixed values.
-CREDITS = ("作词", "作曲", "编曲", "作詞", "編曲")
+CREDITS = ("作词", "作詞", "作曲", "编曲", "編曲", "演唱", "制作人", "标题", "歌")
+_DASH = "[-－–—]"
 
 
 def nearest_align(left: DataFrame, right: DataFrame, key: str, within: int) -> DataFrame:
@@ -29,13 +30,19 @@ def stamp_ms(stamp: Column) -> Column:
     return (part(1).cast("int") * 60000 + part(2).cast("int") * 1000 + F.rpad(part(3), 3, "0").cast("int")).cast("long")
 
 
-def parse_timed_text(files: DataFrame) -> DataFrame:
-    """(path, ms, text, ord) from (path, value), whole files: a row for each stamp; rows without stamp or text, and credits, are dropped."""
+def parse_timed_text(files: DataFrame, performers: tuple[str, ...] = ()) -> DataFrame:
+    """(path, ms, text, ord) from (path, value), whole files: a row for each stamp.
+
+    Rows without stamp or text, credits, and title lines that begin "performer - " or end
+    " - performer" are dropped.
+    """
     at = files.select("path", F.posexplode(F.split("value", r"\r\n|[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]", -1)).alias("file_line", "line"))
     lead = F.regexp_extract("line", r"^((?:\[\d+:\d+(?:[.:]\d+)?\])*)", 1)
     text = F.regexp_replace(F.substring(F.col("line"), F.length(lead) + 1, F.length("line")), r"(?U)^[\s\x{200B}\x{200E}\x{200F}\x{FEFF}]+|[\s\x{200B}\x{200E}\x{200F}\x{FEFF}]+$", "")
     rows = at.select("path", "file_line", text.alias("text"), F.posexplode(F.regexp_extract_all(lead, F.lit(r"\[[^\]]*\]"), F.lit(0))).alias("stamp_no", "stamp"))
     kept = rows.where((F.length("text") > 0) & ~F.col("text").rlike(rf"(?U)^(?:{'|'.join(CREDITS)})\s*[:：]"))
+    for name in performers:
+        kept = kept.where(~F.col("text").rlike(rf"(?U)^\Q{name}\E\s*{_DASH}\s|\s{_DASH}\s*\Q{name}\E$"))
     w = Window.partitionBy("path").orderBy("ms", "file_line", "stamp_no")
     return kept.withColumn("ms", stamp_ms(F.col("stamp"))).withColumn("ord", F.row_number().over(w) - 1).select("path", "ms", "text", "ord")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def album_dir(name: Column) -> Column:
     """(type, title, year) of "[type] title (year)"; any other name fails the query."""
-    pattern = r"^\[([^\]]+)\]\s*(.*?)\s*[(（]([^()（）]+)[)）]$"
+    pattern = r"^\[(.+?)\]\s*(.+?)\s*\(([0-9.\-]+)\)$"
     part = lambda i: F.regexp_extract(name, pattern, i)
     ok = F.when(~name.rlike(pattern), F.raise_error(F.concat(F.lit("not an album's folder: "), name)))
     return F.coalesce(ok.cast("struct<type:string,title:string,year:string>"), F.struct(part(1).alias("type"), part(2).alias("title"), part(3).alias("year")))
