@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,16 +29,22 @@ def top_edges(edges: DataFrame, k: int = 6) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("a", "b", "score").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, comp): the smallest node that edges (a, b) reach; labels spread, and jump to their labels' labels, until none changes."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to spark.checkpoint.dir; only a local master without it gets a folder of its own."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
+        at = f"file://{tempfile.gettempdir()}/tessera-shared"
+    spark.sparkContext.setCheckpointDir(at)
 
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/tessera-shared")
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(node, comp): the smallest node that edges (a, b) reach; labels spread, and jump to their labels' labels, until none changes."""
+    ensure_checkpoints(edges.sparkSession)
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = both.checkpoint()
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
     for _ in range(rounds):
