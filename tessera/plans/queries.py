@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import base_title, mark_span
-from tessera.operators import graph, merge, temporal
+from tessera.operators import graph, library, merge, temporal
+from tessera.operators.community import louvain, top_groups
 from tessera.operators.sequence import first_rule, match_rules, regex_spans, rule_spans, seq_spans
 from tessera.sources.mart import counted, lines, load, placed_tokens, tokens
 from tessera.streaming.daily import daily_log
@@ -101,9 +102,9 @@ def nonascii_filter(s, d):
     return _tok(s, d).where(F.col("lemma").rlike("[^ -~]")).groupBy("lemma").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, source FROM documents ORDER BY source NOT IN ('src0'), source, doc_id LIMIT 100")
+@query("SELECT doc_id, source, source NOT IN ('src0') AS elsewhere FROM documents ORDER BY elsewhere, source, doc_id")
 def order_by_predicate(s, d):
-    return _docs(s, d).select("doc_id", "source").orderBy(~F.col("source").isin("src0"), "source", "doc_id").limit(100)
+    return _docs(s, d).select("doc_id", "source", (~F.col("source").isin("src0")).alias("elsewhere")).orderBy("elsewhere", "source", "doc_id")
 
 
 @query("SELECT d.doc_id, d.source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
@@ -315,11 +316,16 @@ def substring_search_topk(s, d):
 # --- graph ------------------------------------------------------------------------
 
 
+def _top_edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.top_edges(graph.weighted(*graph.cooccurrence(_items(s, d), "l_orderkey", "word")))
+
+
 def _items(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 200).alias("word"))
 
 
 _PAIRS = "d AS (SELECT DISTINCT l_orderkey AS line, l_partkey % 200 AS w FROM lineitem), e AS (SELECT x.w AS a, y.w AS b, count(*) AS n FROM d x JOIN d y ON x.line = y.line AND x.w < y.w GROUP BY ALL HAVING n >= 2), m AS (SELECT w, count(*) AS lines FROM d GROUP BY w), s AS (SELECT a, b, n, n / sqrt(p.lines::DOUBLE * q.lines) AS score FROM e JOIN m p ON p.w = a JOIN m q ON q.w = b)"
+_TOP = _PAIRS + ", u AS (SELECT a, b, a AS me, b AS you, score FROM s UNION ALL SELECT a, b, b, a, score FROM s), top AS (SELECT DISTINCT a, b, score FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY me ORDER BY score DESC, you DESC) <= 6))"
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, n FROM e")
@@ -332,9 +338,9 @@ def edge_weight(s, d):
     return graph.weighted(*graph.cooccurrence(_items(s, d), "l_orderkey", "word")).select("a", "b", "n", F.round("score", 4).alias("weight"))
 
 
-@query(f"WITH {_PAIRS}, u AS (SELECT a, b, a AS me, b AS you, score FROM s UNION ALL SELECT a, b, b, a, score FROM s) SELECT DISTINCT a, b FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY me ORDER BY score DESC, you DESC) <= 6)")
+@query(f"WITH {_TOP} SELECT a, b FROM top")
 def topk_edges(s, d):
-    return graph.top_edges(graph.weighted(*graph.cooccurrence(_items(s, d), "l_orderkey", "word"))).select("a", "b")
+    return _top_edges(s, d).select("a", "b")
 
 
 @query(f"WITH {_TOKENS}, x AS (SELECT DISTINCT doc_id, line_idx, lemma FROM t WHERE lemma IN ('the', 'and')) SELECT count(*) AS n FROM x a JOIN x b USING (doc_id, line_idx) WHERE a.lemma = 'the' AND b.lemma = 'and'")
@@ -343,20 +349,24 @@ def self_join_cooccur(s, d):
     return x.where("lemma = 'the'").join(x.where("lemma = 'and'"), ["doc_id", "line_idx"]).agg(F.count("*").alias("n"))
 
 
-_KIN = "k AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09)"
+@query(f"WITH RECURSIVE {_TOP}, arc AS (SELECT a, b FROM top UNION ALL SELECT b, a FROM top), r AS (SELECT a AS node, a AS reach FROM arc UNION SELECT r.node, arc.b FROM r JOIN arc ON r.reach = arc.a), c AS (SELECT node, min(reach) AS comp FROM r GROUP BY node) SELECT comp, count(*) AS size FROM c GROUP BY comp ORDER BY size DESC, comp LIMIT 1")
+def largest_component(s, d):
+    return graph.components(_top_edges(s, d)).groupBy("comp").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "comp").limit(1)
 
 
-@query(f"WITH RECURSIVE {_KIN}, e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), c AS (SELECT node, min(reach) AS comp FROM r GROUP BY node) SELECT comp, count(*) AS size FROM c GROUP BY comp ORDER BY size DESC, comp LIMIT 1")
-def largest_component(s, d):
-    k = load(s, d, "lineitem").where("l_quantity >= 49 AND l_discount >= 0.09").select(F.col("l_suppkey").cast("long").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
-    return graph.components(k).groupBy("comp").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "comp").limit(1)
+@query()
+def communities(s, d):
+    return top_groups(louvain(_top_edges(s, d), resolution=0.45))
 
 
-@query("WITH c AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(p_name, '[a-z0-9]')) AS ch FROM part WHERE p_partkey <= 200) SELECT x.p_partkey AS a, y.p_partkey AS b, count(*) AS shared FROM c x JOIN c y ON x.ch = y.ch AND x.p_partkey < y.p_partkey GROUP BY ALL")
+@query("WITH w AS (SELECT DISTINCT p_name AS w FROM part), c AS (SELECT DISTINCT w, unnest(regexp_extract_all(w, '[a-z0-9]')) AS ch FROM w), n AS (SELECT x.w AS a, y.w AS b, count(*) AS shared FROM c x JOIN c y ON x.ch = y.ch AND x.w <> y.w GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 14")
 def shared_char_relation(s, d):
-    c = load(s, d, "part").where("p_partkey <= 200").select("p_partkey", F.explode(F.array_distinct(F.regexp_extract_all("p_name", F.lit("[a-z0-9]"), 0))).alias("ch"))
-    x, y = c.select(F.col("p_partkey").alias("a"), "ch"), c.select(F.col("p_partkey").alias("b"), "ch")
-    return x.join(y, "ch").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    words = load(s, d, "part").select(F.col("p_name").alias("w")).distinct()
+    c = words.select("w", F.explode(F.array_distinct(F.regexp_extract_all("w", F.lit("[a-z0-9]"), 0))).alias("ch"))
+    x, y = c.select(F.col("w").alias("a"), "ch"), c.select(F.col("w").alias("b"), "ch")
+    near = x.join(y, "ch").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    w = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+    return near.withColumn("rn", F.row_number().over(w)).where("rn <= 14").drop("rn")
 
 
 # --- time and progress ------------------------------------------------------------
@@ -366,23 +376,27 @@ def _ms(c: str = "ts") -> Column:
     return F.unix_millis(F.col(c).cast("timestamp"))
 
 
-def _events(s: SparkSession, d: str, kind: int) -> DataFrame:
-    """Two interleaved series of each user: even and odd event ids."""
-    return load(s, d, "events").where(F.col("event_id") % 2 == kind).select("user_id", _ms().alias("t"), F.col("event_id").cast("string").alias("text"), F.col("event_id").alias("ord"))
+_PLAYS = ("signup", "click", "error")
 
 
-_SERIES = "v AS (SELECT user_id, epoch_ms(ts) AS t, event_id FROM events), a AS (SELECT * FROM v WHERE event_id % 2 = 0), b AS (SELECT * FROM v WHERE event_id % 2 = 1)"
+def _events(s: SparkSession, d: str, plays: bool) -> DataFrame:
+    """Two series of each user, by the type of event: moments, and lines that they fall on."""
+    kind = F.col("event_type").isin(*_PLAYS)
+    return load(s, d, "events").where(kind if plays else ~kind).select("user_id", _ms().alias("t"), F.col("event_id").cast("string").alias("text"), F.col("event_id").alias("ord"))
+
+
+_SERIES = f"v AS (SELECT user_id, epoch_ms(ts) AS t, event_id, event_type IN {_PLAYS} AS plays FROM events), a AS (SELECT * FROM v WHERE plays), b AS (SELECT * FROM v WHERE NOT plays)"
 
 
 @query(f"WITH {_SERIES}, n AS (SELECT a.event_id, arg_min(b.event_id::VARCHAR, (abs(a.t - b.t), b.t, b.event_id)) AS m FROM a JOIN b ON a.user_id = b.user_id AND abs(a.t - b.t) <= 3600000 GROUP BY a.event_id) SELECT a.event_id, coalesce(n.m, '') AS matched FROM a LEFT JOIN n USING (event_id)")
 def nearest_time_align(s, d):
-    return temporal.nearest_align(_events(s, d, 0), _events(s, d, 1), "user_id", 3_600_000).select(F.col("ord").alias("event_id"), F.col("r_text").alias("matched"))
+    return temporal.nearest_align(_events(s, d, True), _events(s, d, False), "user_id", 3_600_000).select(F.col("ord").alias("event_id"), F.col("r_text").alias("matched"))
 
 
 @query(f"WITH {_SERIES} SELECT a.event_id, (SELECT arg_max(b.event_id, (b.t, b.event_id)) FROM b WHERE b.user_id = a.user_id AND b.t <= a.t) AS line FROM a")
 def asof_current_line(s, d):
-    a = _events(s, d, 0).select("user_id", F.col("t").alias("at"), "ord")
-    out = temporal.current_line(a.select("user_id", "at"), _events(s, d, 1), "user_id")
+    a = _events(s, d, True).select("user_id", F.col("t").alias("at"), "ord")
+    out = temporal.current_line(a.select("user_id", "at"), _events(s, d, False), "user_id")
     return a.join(out, ["user_id", "at"]).select(F.col("ord").alias("event_id"), F.col("text").cast("long").alias("line"))
 
 
@@ -420,25 +434,53 @@ def timed_text_parse(s, d):
     return out.select(F.col("path").alias("conv_id"), F.floor(F.col("ms") / 1000).alias("turn"), F.col("ord").cast("long").alias("ord"))
 
 
-_SIDES = "c AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0), l AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 1), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 5 = 0)"
+#: Which types of event each side of a merge holds; types on both sides are what the sides share.
+_CLOUD, _LOCAL, _BASE = ("signup", "view"), ("click", "view"), ("error", "purchase")
+
+
+def _side(s: SparkSession, d: str, types: tuple[str, ...]) -> DataFrame:
+    return load(s, d, "events").where(F.col("event_type").isin(*types)).select("user_id", F.to_date("ts").cast("string").alias("day"))
+
 
+def _side_sql(types: tuple[str, ...]) -> str:
+    return f"SELECT user_id, ts::DATE::VARCHAR AS day FROM events WHERE event_type IN {types}"
 
-@query(f"WITH {_SIDES} (SELECT * FROM c UNION (SELECT * FROM l EXCEPT SELECT * FROM b)) EXCEPT (SELECT * FROM b EXCEPT SELECT * FROM l)")
+
+@query(f"WITH c AS ({_side_sql(_CLOUD)}), l AS ({_side_sql(_LOCAL)}), b AS ({_side_sql(_BASE)}) (SELECT * FROM c UNION (SELECT * FROM l EXCEPT SELECT * FROM b)) EXCEPT (SELECT * FROM b EXCEPT SELECT * FROM l)")
 def three_way_merge(s, d):
-    side = lambda n, r: load(s, d, "events").where(F.col("event_id") % n == r).select("user_id", "event_type")
-    return merge.three_way_learned(side(3, 0), side(3, 1), side(5, 0), ["user_id", "event_type"])
+    return merge.three_way_learned(_side(s, d, _CLOUD), _side(s, d, _LOCAL), _side(s, d, _BASE), ["user_id", "day"])
 
 
-@query("WITH x AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL), y AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 = 1 GROUP BY ALL), z AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 6 = 0 GROUP BY ALL), k AS (SELECT user_id, event_type FROM x UNION SELECT user_id, event_type FROM y UNION SELECT user_id, event_type FROM z) SELECT k.user_id, k.event_type, coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(z.n, 0) AS n FROM k LEFT JOIN x USING (user_id, event_type) LEFT JOIN y USING (user_id, event_type) LEFT JOIN z USING (user_id, event_type)")
+@query(f"WITH u AS (SELECT *, 1 AS x FROM ({_side_sql(_CLOUD)}) UNION ALL SELECT *, 1 FROM ({_side_sql(_LOCAL)}) UNION ALL SELECT *, -1 FROM ({_side_sql(_BASE)})) SELECT user_id, day, sum(x)::BIGINT AS n FROM u GROUP BY ALL")
 def three_way_log(s, d):
-    side = lambda n, r: load(s, d, "events").where(F.col("event_id") % n == r).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return merge.three_way_log(side(3, 0), side(3, 1), side(6, 0), ["user_id", "event_type"], "n")
+    counts = [_side(s, d, t).groupBy("user_id", "day").agg(F.count("*").alias("n")) for t in (_CLOUD, _LOCAL, _BASE)]
+    return merge.three_way_log(*counts, ["user_id", "day"], "n")
 
 
-@query("SELECT user_id, event_type, max(ts::DATE)::VARCHAR AS due FROM events WHERE event_id % 3 IN (0, 1) GROUP BY ALL")
+@query(f"SELECT user_id, hour(ts)::INT AS hour, max(ts::DATE)::VARCHAR AS due FROM events WHERE event_type IN {_CLOUD + _LOCAL + _BASE} GROUP BY ALL")
 def union_merge(s, d):
-    side = lambda r: load(s, d, "events").where(F.col("event_id") % 3 == r).groupBy("user_id", "event_type").agg(F.max(F.to_date("ts")).alias("due"))
-    return merge.union_larger(side(0), side(1), ["user_id", "event_type"], "due").withColumn("due", F.col("due").cast("string"))
+    side = lambda t: load(s, d, "events").where(F.col("event_type").isin(*t)).groupBy("user_id", F.hour("ts").alias("hour")).agg(F.max(F.to_date("ts")).alias("due"))
+    return merge.union_larger(side(_CLOUD), side(_LOCAL + _BASE), ["user_id", "hour"], "due").withColumn("due", F.col("due").cast("string"))
+
+
+# --- library ----------------------------------------------------------------------
+
+
+@query(f"WITH {_TOKENS}{_LEXICON} SELECT doc_id, count(*) FILTER (lemma IN (SELECT word FROM lex)) AS known, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (lemma IN (SELECT word FROM lex)) / count(*), 1) AS pct FROM t GROUP BY doc_id ORDER BY pct DESC, doc_id")
+def next_documents(s, d):
+    return library.next_songs(_tok(s, d).withColumnRenamed("lemma", "word"), _lexicon(s, d), "doc_id", "word")
+
+
+@query(f"WITH {_TOKENS}, c AS (SELECT lemma, count(DISTINCT doc_id) AS n FROM t GROUP BY lemma) SELECT lemma, n FROM c WHERE lemma LIKE '%ar%' ORDER BY n DESC, lemma LIMIT 6")
+def word_search(s, d):
+    return library.search(_per_doc(s, d).groupBy("lemma").agg(F.count("*").alias("n")), "ar", ["lemma"], "n")
+
+
+@query(f"WITH {_TOKENS}{_LEXICON} SELECT lemma AS w, count(DISTINCT doc_id) AS songs, count(*) AS n FROM t WHERE lang IN ('fr', 'de') AND source IN ('src1', 'src2') AND lemma IN (SELECT word FROM lex) GROUP BY lemma")
+def scope_vocab(s, d):
+    docs = _docs(s, d).select(F.col("doc_id").alias("id"), F.col("lang").alias("band"), F.col("source").alias("album"))
+    occurrences = _per_doc(s, d).join(_lexicon(s, d), F.col("lemma") == F.col("word"), "left").select(F.col("lemma").alias("w"), F.col("doc_id").alias("song"), F.col("word").isNull().alias("rare"), "n")
+    return library.scope_words(occurrences, library.in_scope(docs, bands=["fr", "de"], albums=["src1", "src2"]), few=0)
 
 
 _CODES = {"src0": "a", "src1": "b", "src2": "c"}

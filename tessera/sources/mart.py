@@ -37,5 +37,8 @@ def placed_tokens(text_lines: DataFrame) -> DataFrame:
 
 def counted(docs: DataFrame) -> DataFrame:
     """Documents that aren't later versions of another: the first doc_id of each (source, text) stays."""
-    w = Window.partitionBy("source", F.sha2("text", 256)).orderBy("doc_id")
-    return docs.withColumn("dup_of", F.first("doc_id").over(w)).withColumn("dup_of", F.when(F.col("dup_of") != F.col("doc_id"), F.col("dup_of")))
+    keyed = docs.withColumn("_h", F.sha2("text", 256))
+    # The smallest id is summed before the shuffle, so a text with very many copies is no task of its own.
+    firsts = keyed.groupBy(F.col("source").alias("_s"), F.col("_h").alias("_k")).agg(F.min("doc_id").alias("_first"))
+    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("_h").eqNullSafe(F.col("_k"))
+    return keyed.join(firsts, same).withColumn("dup_of", F.nullif("_first", F.col("doc_id"))).drop("_h", "_s", "_k", "_first")
