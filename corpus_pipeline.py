@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier in the corpus, or nearly, go; so do documents that lose their last word with them."""
-    left = dedup_lines(docs)
+    left = dedup_lines(docs, short_copies=True)
     return left.where(F.col(left.columns[-1]).isNull() | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -9,7 +9,8 @@ run. Pairs whose letter counts differ too much for the edits are discarded there
 rest are verified on the lines themselves by a banded bit-parallel edit distance.
 
 A line goes if it, or a line within ``edits`` edits of it, stands earlier in the corpus,
-by doc_id and place; the first stays.
+by doc_id and place; the first stays. Lines under MIN_CHARS have no near lines; exact
+copies of them go where ``short_copies`` is set, blank lines stay.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, id_bitmap, in_bitmap, materialize, mix, partitions, prefix_hash, span_hash, text_bytes, unused, whole_runs
+from tessera.llm.common import IS_SPACE, chunks, id_bitmap, in_bitmap, materialize, mix, partitions, prefix_hash, span_hash, text_bytes, unused, whole_runs
 
 EDITS = 2
-#: Shorter lines, in code points, are never removed.
+#: Shorter lines, in code points, have no near lines.
 MIN_CHARS = 20
 #: Bins and bits of a line's letter counts.
 _BINS, _BITS = 16, 4
@@ -52,13 +53,16 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class _Batch:
-    """The lines of MIN_CHARS code points or more of some rows, with their hashes as code points."""
+    """The lines of MIN_CHARS code points or more of some rows, or all that aren't blank, with their hashes as code points."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, short: bool = False) -> None:
         starts, ends, rows, number = _lines(data, offsets)
         lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         s, e = lead[starts], lead[ends]
         long = e - s >= MIN_CHARS
+        if short:
+            black = np.concatenate(([0], np.cumsum(~IS_SPACE[data])))
+            long |= black[ends] > black[starts]
         self.bytes, self.byte_start, self.byte_end = data, starts[long], ends[long]
         self.rows, self.number, self.s, self.e = rows[long], number[long], s[long], e[long]
         self.points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -215,12 +219,15 @@ def _verify(edits: int):
     return run
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        ids = x.column("doc_id").to_numpy(zero_copy_only=False)
-        for i, _, data, offsets in chunks(*text_bytes(x.column("text"))):
-            b = _Batch(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(b.id), pa.array(ids[i + b.rows], pa.int64()), pa.array(b.number, pa.int64())], ["id", "doc", "line"])
+def _occurrences(short: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ids = x.column("doc_id").to_numpy(zero_copy_only=False)
+            for i, _, data, offsets in chunks(*text_bytes(x.column("text"))):
+                b = _Batch(data, offsets, short)
+                yield pa.RecordBatch.from_arrays([pa.array(b.id), pa.array(ids[i + b.rows], pa.int64()), pa.array(b.number, pa.int64())], ["id", "doc", "line"])
+
+    return run
 
 
 def near_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -241,10 +248,10 @@ def near_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return both.mapInArrow(_verify(edits), "a long, b long")
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = EDITS, short_copies: bool = False) -> DataFrame:
     """(doc_id, lines): the numbers of the lines that go from each document that loses any."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    places = materialize(known.mapInArrow(_occurrences, "id long, doc long, line long"), "line-places")
+    places = materialize(known.mapInArrow(_occurrences(short_copies), "id long, doc long, line long"), "line-places")
     links = materialize(near_lines(docs.where(F.col("doc_id").isNotNull()), edits), "line-links")
     place = F.struct("doc", "line")
     firsts = places.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -267,23 +274,23 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield x.set_column(at, x.schema.field(at), pa.array(text, x.column(at).type))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, short_copies: bool = False) -> DataFrame:
     """docs without later near copies of lines, and a last column, __lines: the numbers of those that went.
 
-    Lines are split at \\n; only those of MIN_CHARS code points or more take part. Rows
-    with a null doc_id or text stay as they are. Rows that repeat a doc_id and text
+    Lines are split at \\n; only those of MIN_CHARS code points or more take part, and with
+    short_copies exact copies of any line that isn't blank. Rows with a null doc_id or text stay as they are. Rows that repeat a doc_id and text
     count as the same place, so none loses lines to the other. Lines of any length are
     compared whole. A text that loses all its lines becomes empty. An empty table stays
     empty, and other columns are handed on; if one is called __lines, the last is __lines_.
     """
     doc, lines = unused(docs, "__doc"), unused(docs, "__lines")
-    gone = removed_lines(docs, edits).select(F.col("doc_id").alias(doc), F.col("lines").alias(lines))
+    gone = removed_lines(docs, edits, short_copies).select(F.col("doc_id").alias(doc), F.col("lines").alias(lines))
     wide = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone[doc], "left").drop(doc)
     return wide.mapInArrow(_without, wide.schema)
 
 
 def line_digest(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(doc_id, n_removed, removed, kept_sha256): how many lines went, which, and the SHA-256 of what stays."""
-    out = dedup_lines(docs.select("doc_id", "text"), edits)
+    out = dedup_lines(docs.select("doc_id", "text"), edits, short_copies=True)
     n = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
     return out.select("doc_id", F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_removed"), F.coalesce(F.array_join("__lines", ","), F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import html_extract, suffix_dedup, warc
 from tessera.llm.decontaminate import contained_items
 from tessera.llm.html_extract import extract_pages, main_text
@@ -236,6 +237,26 @@ def test_line_dedup(spark):
     assert texts == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want.get(d, [])) for d, t in rows} | {90: None}
 
 
+def test_short_copies(spark):
+    rnd = random.Random(8)
+    short = ["Les.", "Les", "é", " x ", "Erheed. Titionly.", "", "  ", "\t\r"]
+    rows = [(d, "\n".join(rnd.choice(short) for _ in range(rnd.randrange(1, 6)))) for d in range(12)]
+    seen, want = set(), {}
+    for d, t in rows:
+        gone = []
+        for n, x in enumerate(t.split("\n")):
+            if WORDS.search(x):
+                gone += [n] * (x in seen)
+                seen.add(x)
+        want[d] = ",".join(map(str, gone))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.removed for r in line_digest(df).collect()} == want and any(want.values())
+    docs = df.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    kept = {d: "\n".join(x for n, x in enumerate(t.split("\n")) if str(n) not in want[d].split(",")) for d, t in rows}
+    assert left == {d: t for d, t in kept.items() if not want[d] or WORDS.search(t)}
+
+
 def test_importance(spark):
     rnd = random.Random(5)
     good, bad = [f"g{i}" for i in range(80)], [f"b{i}" for i in range(80)]
