@@ -8,8 +8,15 @@ smaller lengths with the substrings at those places. Rows of one key meet in a s
 run. Pairs whose letter counts differ too much for the edits are discarded there; the
 rest are verified on the lines themselves by a banded bit-parallel edit distance.
 
-A line goes if it, or a line within ``edits`` edits of it, stands earlier in the corpus,
-by doc_id and place; the first stays. Lines under MIN_CHARS have no near lines; exact
+The longer a line, the more one changed word costs of those edits. So lines of
+STRETCH_CHARS or more are also near if they differ in one stretch only, of up to a share
+of the shorter one that 1 / STRETCH bounds: what is left of both but their common start
+and end. One of these two is then 2/5 of the line or more, and is the key; lengths are
+classed, and a line probes the class below its own too. Rows carry a few bits of hashes
+of growing starts and ends, which discard pairs whose starts and ends don't add up.
+
+A line goes if it, or a line near it, stands earlier in the corpus, by doc_id and place;
+the first stays. Lines under MIN_CHARS have no near lines; exact
 copies of them go where ``short_copies`` is set, blank lines stay.
 """
 
@@ -27,6 +34,12 @@ from tessera.llm.common import IS_SPACE, chunks, id_bitmap, in_bitmap, materiali
 EDITS = 2
 #: Shorter lines, in code points, have no near lines.
 MIN_CHARS = 20
+#: Lines of so many code points are also near if all but one stretch, 1 / STRETCH of the shorter at most, is the same.
+STRETCH_CHARS, STRETCH = 60, 5
+#: Least lengths of the classes of such lines. A line is at most 6/5 as long as one it is near, so in the same class or the next.
+_CLASSES = [STRETCH_CHARS]
+while _CLASSES[-1] < 1 << 31:
+    _CLASSES.append(-(-_CLASSES[-1] * 5 // 4))
 #: Bins and bits of a line's letter counts.
 _BINS, _BITS = 16, 4
 #: Rows of a run that are held against each other at a time.
@@ -109,6 +122,25 @@ def _keys(b: _Batch, edits: int, some: np.ndarray) -> Iterator[tuple[np.ndarray,
                 yield key((s + start)[able], (s + start + size)[able], length[able], i), some[able], True
 
 
+def _stretch_keys(b: _Batch, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool, np.ndarray]]:
+    """(key, line, probes, bits) for the lines `some` of b by their starts and ends; the last bit of these keys is set."""
+    some = some[b.n[some] >= STRETCH_CHARS]
+    least = np.array(_CLASSES, np.int64)
+    own = np.searchsorted(least, b.n[some], "right") - 1
+    for back in (0, 1):
+        line, at = some[own >= back], own[own >= back] - back
+        s, e, half, tenth = b.s[line], b.e[line], -(-least[at] * 2 // 5), least[at] // 10
+        parts = [mix(span_hash(b.c, s, s + j * tenth)) for j in range(1, 9)], [mix(span_hash(b.c, e - j * tenth, e)) for j in range(1, 9)]
+        for side, whole in enumerate((span_hash(b.c, s, s + half), span_hash(b.c, e - half, e))):
+            key = mix(whole + (2 * at + side).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+            bits = np.zeros(len(line), np.uint64)
+            for j in range(4):
+                bits |= parts[side][4 + j] >> np.uint64(60) << np.uint64(4 * j)
+            for j in range(8):
+                bits |= parts[1 - side][j] >> np.uint64(58) << np.uint64(16 + 6 * j)
+            yield key.view(np.int64), line, back == 1, bits.view(np.int64)
+
+
 def _entries(edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -121,7 +153,9 @@ def _entries(edits: int):
                 counts = np.zeros(len(b.id), np.int64)
                 counts[some] = b.counts(some)
                 for key, line, probes in _keys(b, edits, some):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.id[line] & ~np.int64(1) | np.int64(probes)), pa.array(counts[line])], ["key", "id", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key & ~np.int64(1)), pa.array(b.id[line] & ~np.int64(1) | np.int64(probes)), pa.array(counts[line])], ["key", "id", "counts"])
+                for key, line, probes, bits in _stretch_keys(b, some):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.id[line] & ~np.int64(1) | np.int64(probes)), pa.array(bits)], ["key", "id", "counts"])
 
     return run
 
@@ -137,6 +171,18 @@ def _near(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
     return np.argwhere(gap <= 2 * edits)
 
 
+def _same_but_stretch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs (index in a, index in b) whose starts and ends, by their bits, make up 7 tenths of the class's least length or more."""
+    x = a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]
+    tenths = np.full(x.shape, 4, np.uint8)  # the key has them
+    for first, n, width in ((0, 4, 4), (16, 8, 6)):
+        on = np.ones(x.shape, bool)
+        for j in range(n):
+            on &= x & np.uint64((1 << width) - 1 << first + width * j) == 0
+            tenths += on
+    return np.argwhere(tenths >= 7)
+
+
 def _candidates(edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, starts, ends in whole_runs(batches, "key"):
@@ -147,10 +193,13 @@ def _candidates(edits: int):
                     continue
                 line, at = np.unique(line, return_index=True)
                 counts, probes = cols["counts"][s:e][at], (line & 1) == 1
-                p, q = np.flatnonzero(probes), np.flatnonzero(~probes)
+                # By starts and ends, lines of a class meet each other without probes.
+                stretch = bool(cols["key"][s] & 1)
+                p, q = np.arange(len(line)) if stretch else np.flatnonzero(probes), np.flatnonzero(~probes)
                 for i in range(0, len(p), _TILE):
                     for j in range(0, len(q), _TILE):
-                        pair = _near(counts[p[i : i + _TILE]], counts[q[j : j + _TILE]], edits)
+                        x, y = counts[p[i : i + _TILE]], counts[q[j : j + _TILE]]
+                        pair = _same_but_stretch(x, y) if stretch else _near(x, y, edits)
                         x, y = line[p[i : i + _TILE]][pair[:, 0]] & ~np.int64(1), line[q[j : j + _TILE]][pair[:, 1]]
                         keep = x != y
                         if keep.any():
@@ -195,6 +244,17 @@ def within(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
     return False
 
 
+def one_stretch(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two arrays of STRETCH_CHARS code points or more are the same but for one stretch, of a STRETCH-th of the shorter at most."""
+    n, m = sorted((len(a), len(b)))
+    if n < STRETCH_CHARS or m - n > n // STRETCH:
+        return False
+    start = np.flatnonzero(a[:n] != b[:n])
+    end = np.flatnonzero(a[len(a) - n :] != b[len(b) - n :])
+    same = int(start[0]) + n - 1 - int(end[-1]) if len(start) and len(end) else n
+    return m - min(n, same) <= n // STRETCH
+
+
 def _texts(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -213,7 +273,7 @@ def _verify(edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             points = [[np.frombuffer(t.decode("utf-8").encode("utf-32-le"), np.uint32) for t in x.column(c).to_pylist()] for c in ("x", "y")]
-            ok = pa.array([within(a, b, edits) for a, b in zip(*points, strict=True)], pa.bool_())
+            ok = pa.array([within(a, b, edits) or one_stretch(a, b) for a, b in zip(*points, strict=True)], pa.bool_())
             yield x.select(["a", "b"]).filter(ok)
 
     return run
@@ -231,7 +291,7 @@ def _occurrences(short: bool):
 
 
 def near_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b): ids of different lines within `edits` edits, a pair once; the join itself."""
+    """(a, b): ids of different lines within `edits` edits or one stretch, a pair once; the join itself."""
     sc = docs.sparkSession.sparkContext
     text = docs.select("text").where(F.col("text").isNotNull())
     entries = text.mapInArrow(_entries(edits), "key long, id long, counts long")

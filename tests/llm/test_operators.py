@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -237,6 +238,35 @@ def test_line_dedup(spark):
     assert texts == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want.get(d, [])) for d, t in rows} | {90: None}
 
 
+def test_lines_but_one_stretch(spark):
+    rnd = random.Random(12)
+
+    def word():
+        return "".join(rnd.choice("abcdé") for _ in range(rnd.randrange(1, 12)))
+
+    def near(a, b):
+        n, m = sorted((len(a), len(b)))
+        if m - n < 3 and _distance(a, b) < 3:
+            return True
+        return n >= 60 and any(a[:k] == b[:k] and m - k - min(n - k, len(os.path.commonprefix([a[k:][::-1], b[k:][::-1]]))) <= n // 5 for k in range(n + 1))
+
+    base = [" ".join(word() for _ in range(n)) for n in (8, 10, 12, 14, 20, 40, 90, 200)]
+    lines = list(base)
+    for _ in range(110):
+        w = rnd.choice(base).split(" ")
+        for _ in range(rnd.choice([1, 1, 1, 2])):
+            i = rnd.randrange(len(w))
+            k = rnd.choice([0, 1, 1, 1, len(w) // 8, len(w) // 5])
+            w[i : i + k] = [word() for _ in range(rnd.choice([k, k, k + 1, len(w) // 7]))]
+        lines.append(" ".join(w))
+    lines = [x for x in lines if len(x) >= 20]
+    df = spark.createDataFrame([(d, x) for d, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    want = {d for d, x in enumerate(lines) if any(x == y or near(x, y) for y in lines[:d])}
+    by_edits = {d for d, x in enumerate(lines) if any(abs(len(x) - len(y)) < 3 and _distance(x, y) < 3 for y in lines[:d])}
+    assert {r.doc_id for r in removed_lines(df).collect()} == want
+    assert len(want) > len(by_edits) + 20 and len(want) < len(lines) - 20
+
+
 def test_short_copies(spark):
     rnd = random.Random(8)
     short = ["Les.", "Les", "é", " x ", "Erheed. Titionly.", "", "  ", "\t\r"]
