@@ -4,7 +4,8 @@ The pages of a host are merged into one tree: a node is the path of tags, classe
 ids from the root, and keeps how its pages style its children (presentation) and what
 they say there (content). A node's presentation counts for what its entropy is of the
 largest possible, its content for how little of it is the same on the host's pages.
-Branches that are low in both are removed from each page, besides what their own tags,
+From branches that are low in both, the blocks that repeat are removed from each page,
+unless they are in an article or main part, besides what their own tags,
 roles and class names say they are: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, comments of readers. What is left of the article is the text.
 """
@@ -26,6 +27,8 @@ from tessera.llm.common import materialize
 #: A branch goes if its importance is below this on a host with so many different pages.
 LEAST_IMPORTANCE = 0.3
 LEAST_PAGES = 8
+#: In such a branch, blocks go whose own words are on this share of its pages, and on two at least.
+LEAST_SHARE = 0.1
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
@@ -57,7 +60,6 @@ class _Node:
     path: int
     noise: bool
     article: int  # 3 in an article, 2 in main, 1 in what is named like content
-    plain: bool  # no class or id from the article down
     branch: tuple[int, ...] = ()
     children: list[int] = field(default_factory=list)
 
@@ -68,7 +70,6 @@ class Block:
     path: int
     noise: bool
     article: int
-    plain: bool
     branch: tuple[int, ...]
 
 
@@ -91,12 +92,12 @@ def _open(tag: str, attributes: str, up: _Node) -> _Node:
     article = max(inside, 3 if tag == "article" else 2 if tag == "main" or role == "main" else 1 if content and tag not in ("body", "html") else 0)
     styled = re.sub(r"\d+", "0", f"{tag}.{name}")
     path = zlib.crc32(styled.encode(), up.path) | (zlib.adler32(styled.encode(), up.path & 0xFFFF) & 0x7FFF) << 32
-    return _Node(tag, path, noise, article, name == " " if tag == "article" else up.plain and name == " ", (*up.branch, path))
+    return _Node(tag, path, noise, article, (*up.branch, path))
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
     """Blocks of text in page order, and (path, hash of its children's styles) of every node."""
-    root = _Node("", 0, False, 0, True)
+    root = _Node("", 0, False, 0)
     stack, blocks, shapes = [root], [], []
     said: list[str] = []
     holder = root
@@ -106,7 +107,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         if said:
             text = " ".join(html.unescape("".join(said)).split())
             if text:
-                blocks.append(Block(text, holder.path, holder.noise, holder.article, holder.plain, holder.branch))
+                blocks.append(Block(text, holder.path, holder.noise, holder.article, holder.branch))
             said = []
 
     def close(at: int) -> None:
@@ -180,11 +181,18 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
     return blocks, shapes
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The article's blocks; `low` are the host's branches of low importance."""
+def _value(text: str) -> int:
+    return zlib.crc32(text.encode()) << 20 ^ len(text)
+
+
+def main_text(page: str | None, low: frozenset[int] = frozenset(), common: frozenset[int] = frozenset()) -> str:
+    """The article's blocks; `low` are the host's branches of low importance, `common` the values of blocks that repeat there."""
     if not page:
         return ""
-    blocks = [b for b in parse(page)[0] if not b.noise and not (low and not (b.article >= 2 and b.plain) and low.intersection(b.branch))]
+    blocks = [b for b in parse(page)[0] if not b.noise]
+    if low:
+        # A page that only repeats keeps what it says.
+        blocks = [b for b in blocks if b.article >= 2 or not low.intersection(b.branch) or _value(b.text) not in common] or blocks
     best = max((b.article for b in blocks), default=0)
     return "\n".join(b.text for b in blocks if b.article >= best)
 
@@ -199,7 +207,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in b.column("html").to_pylist():
             blocks, shapes = parse(page or "")
             seen, rows = set(), {}
-            for path, value, shape in [*((p, zlib.crc32(x.text.encode()) << 20 ^ len(x.text), False) for x in blocks for p in x.branch[-3:]), *((p, v, True) for p, v in shapes)]:
+            for path, value, shape in [*((p, _value(x.text), False) for x in blocks for p in x.branch[-3:]), *((p, v, True) for p, v in shapes)]:
                 rows.setdefault((path, shape, value), (path, shape) not in seen)
                 seen.add((path, shape))
             styles.append([{"path": p, "shape": s, "value": v, "first": f} for (p, s, v), f in rows.items()])
@@ -208,16 +216,19 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, low): paths of each host's branches whose presentation and content are of low importance; copies of a page count once."""
+    """(host, low, common): paths of each host's branches whose presentation and content are of low importance, and values of blocks that repeat in them; copies of a page count once."""
     nodes = pages.select("host", "html").mapInArrow(_trees, "host string, page long, nodes array<struct<path:long,shape:boolean,value:long,first:boolean>>")
     each = nodes.groupBy("host", "page").agg(F.first("nodes").alias("nodes")).select("host", F.explode("nodes").alias("x")).select("host", "x.*")
-    said = each.groupBy("host", "path", "shape", "value").agg(F.count("*").alias("c"), F.sum(F.col("first").cast("long")).alias("f"))
+    said = materialize(each.groupBy("host", "path", "shape", "value").agg(F.count("*").alias("c"), F.sum(F.col("first").cast("long")).alias("f")), "said")
     node = said.groupBy("host", "path", "shape").agg(F.sum("f").alias("m"), F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     full = F.log(F.col("m").cast("double"))
     # Content: 1 less what the values' spread over pages is of the largest. Presentation: entropy of the shapes, of the largest.
     importance = F.when(F.col("shape"), (F.log(F.col("n").cast("double")) - F.col("clogc") / F.col("n")) / full).otherwise(1 - F.col("clogc") / (F.col("n") * full))
-    rated = node.where(F.col("m") >= LEAST_PAGES).groupBy("host", "path").agg(F.max(importance).alias("importance"), F.max(F.expr("NOT shape")).alias("speaks"))
-    return rated.where(F.col("speaks") & (F.col("importance") < LEAST_IMPORTANCE)).groupBy("host").agg(F.collect_set("path").alias("low"))
+    rated = node.where(F.col("m") >= LEAST_PAGES).groupBy("host", "path").agg(F.max(importance).alias("importance"), F.max(F.expr("IF(shape, NULL, m)")).alias("pages"))
+    low = materialize(rated.where(F.col("pages").isNotNull() & (F.col("importance") < LEAST_IMPORTANCE)), "low")
+    common = said.where("NOT shape AND c > 1").join(low, ["host", "path"]).where(F.col("c") >= LEAST_SHARE * F.col("pages"))
+    # A share bounds the values of a host by its blocks a page.
+    return low.groupBy("host").agg(F.collect_set("path").alias("low")).join(common.groupBy("host").agg(F.collect_set("value").alias("common")), "host")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -231,11 +242,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     hosted = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)).alias("host"))
     low = materialize(low_branches(hosted), "styles")  # its size is known from here on; the planner broadcasts it only below its threshold
-    joined = hosted.join(low, "host", "left").select("page_id", "url", "html", "low")
+    joined = hosted.join(low, "host", "left").select("page_id", "url", "html", "low", "common")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h, frozenset(x or ())) for h, x in zip(b.column("html").to_pylist(), b.column("low").to_pylist(), strict=True)]
+            texts = [main_text(h, frozenset(x or ()), frozenset(y or ())) for h, x, y in zip(*(b.column(c).to_pylist() for c in ("html", "low", "common")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

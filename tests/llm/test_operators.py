@@ -143,6 +143,24 @@ def test_html():
     assert main_text("<p>a < b<!-- <p>e --> <p title='x>y'>d") == "a < b\nd"
 
 
+def test_near_copies_of_a_host(spark):
+    def host(name, start, end):
+        for i in range(10):
+            body = "".join(f"<p>{w} paragraph, the same</p>" for w in ("One", "Two", "Three")) if i < 8 else f"<p>Only {i}</p><p>More of {i}</p>"
+            yield name, i, f"<body class='b'>{start}{body}{end}<div class='box'>Extra {i * 7}</div></body>"
+
+    same = "One paragraph, the same\nTwo paragraph, the same\nThree paragraph, the same"
+    pages = [*host("a", "<article class='post'>", "</article>"), *host("m", "<main><div class='x'>", "</div></main>"), *host("n", "<div class='x'>", "</div>")]
+    df = spark.createDataFrame([(k, f"http://{h}.example/{i}", p) for k, (h, i, p) in enumerate(pages)], "page_id long, url string, html string")
+    got = [r.text for r in sorted(extract_pages(df).collect(), key=lambda r: r.page_id)]
+    for h in (0, 10):
+        assert got[h : h + 10] == [same] * 8 + [f"Only {i}\nMore of {i}" for i in (8, 9)]
+    assert got[28:] == [f"Only {i}\nMore of {i}\nExtra {i * 7}" for i in (8, 9)] and all(got)
+    low = frozenset(p for b in html_extract.parse(pages[20][2])[0] for p in b.branch)
+    common = frozenset(html_extract._value(b.text) for b in html_extract.parse(pages[20][2])[0])
+    assert main_text(pages[20][2], low, common).startswith(same)
+
+
 def test_site_tree(spark):
     shared = "<div class='box7'>Always the same words here</div>"
     pages = [(i, f"http://h.example/{i}", f"<body>{shared}<div class='own'>Page {i} says {i * 7}</div></body>", None) for i in range(12)]
