@@ -32,7 +32,7 @@ LEAST_SHARE = 0.1
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(script|style|textarea|title|noscript|template|iframe|xmp|svg|math|object)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*\Z)"
+    r"|<(script|style|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
@@ -40,9 +40,13 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: What stands in these is no mark-up of the page, if they are closed; that of xmp is text.
+_APART = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("noscript", "template", "iframe", "svg", "xmp")}
 # Fixed lists of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter object output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+_MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
+_INLINE |= _MATH
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table tbody div section article main body form td th button".split())
@@ -137,14 +141,13 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
                 holder = stack[i] if stack[i].noise == top.noise and stack[i].article == top.article else top
             said.append(text)
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, never = 0, set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
         if m[1]:
-            if m[1].lower() not in ("svg", "math", "object", "iframe"):
-                flush()
+            flush()
             continue
         tag = m[3] or m[6]
         if not tag:
@@ -154,6 +157,21 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
             if said:
                 said.append(" ")
             continue
+        if tag in _APART:
+            if tag not in ("svg", "iframe"):
+                flush()
+            # A tag closed in itself is empty, one that nothing closes has no content of its own.
+            if not ends and not (m[4] or m[7] or "").endswith("/") and tag not in never:
+                if end := _APART[tag].search(page, at):
+                    if tag == "xmp":  # shown as it is written
+                        say(html.escape(page[at : end.start()]))
+                        flush()
+                    at = end.end()
+                else:
+                    never.add(tag)
+            continue
+        if tag in _MATH and not ends and (m[4] or m[7] or "").endswith("/"):
+            continue
         if tag not in _INLINE:
             flush()
         if ends:

@@ -143,6 +143,16 @@ def test_html():
     assert main_text("<p>a < b<!-- <p>e --> <p title='x>y'>d") == "a < b\nd"
 
 
+def test_html_of_other_kinds():
+    assert main_text("<p>a <svg class='i'/> b <math/> c<p>d") == "a b c\nd"
+    assert main_text("<p>a <svg width=1 /> b</p><p>c <svg><title>t</title><path d='x'/></svg> d") == "a b\nc d"
+    assert main_text("<p>a <svg> b<p>c") == "a b\nc" and main_text("<p>a<object data='x'> b<p>c") == "a b\nc"
+    assert main_text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, <object data='y'><b>see</b> y</object>.<xmp><i>&amp;</i></xmp></article>") == "If x=2, see y.\n<i>&amp;</i>"
+    assert main_text("<p>a<template><p>t</template><iframe src=u>f</iframe> b<noscript>n</noscript>c<template>d") == "a\nb\nc\nd"
+    assert main_text("<p>a<iframe src='u' /> b<p>c<iframe src=v></iframe>") == "a b\nc"
+    assert main_text("<p>a<script>b<p>c") == "a" and main_text("<svg>" * 3000 + "<p>a") == "a"
+
+
 def test_near_copies_of_a_host(spark):
     def host(name, start, end):
         for i in range(10):
