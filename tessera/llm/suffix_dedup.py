@@ -1,4 +1,4 @@
-"""Suffix-array dedup: every byte that a repeated 400-byte string covers.
+"""Suffix-array dedup: every byte that a repeated 400-byte string covers, and passages of words that documents share.
 
 Strings that are equal must meet in one shard. Each 400-byte string is dealt by its
 anchor, the least hash among its 32-byte windows (leftmost of equals): equal strings
@@ -12,24 +12,50 @@ named, the shorter string of names sorted in turn, and the array induced from it
 linear passes over buckets. Common prefixes of neighbours, permuted to text order, then
 say which starts repeat. A key with more different pieces than a shard may hold is
 settled by counting 128-bit hashes of its strings instead.
+
+The same goes for strings of 50 words, of which many are shorter than 400 bytes: a word
+counts as one unit, whatever white space is around it, and is spelled by a few bytes of
+its hash in the suffix arrays. Such a string counts where another document has it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BASES, chunks, id_bitmap, in_bitmap, materialize, mix, partitions, prefix_hash, runs, span_hash, text_bytes
+from tessera.llm.common import BASES, chunks, id_bitmap, in_bitmap, materialize, mix, partitions, prefix_hash, runs, span_hash, text_bytes, word_hashes, word_spans
+
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of, and when they repeat."""
+
+    length: int  # of a string, in units
+    anchor: int  # of a window
+    parts: int  # strings make separate pieces by the part of them that the anchor starts in
+    width: int = 1  # bytes that spell a unit
+    words: bool = False  # units are words, and only another document's string counts
+
+    @property
+    def span(self) -> int:
+        """Places of the anchor."""
+        return self.length - self.anchor + 1
+
+    @property
+    def step(self) -> int:
+        return -(-self.span // self.parts)
+
 
-LENGTH = 400
-ANCHOR = 32
-#: Strings make separate pieces by where, in steps of this, the anchor starts in them.
-STEP = -(-(LENGTH - ANCHOR + 1) // 4)
+BYTES = Unit(400, 32, 4)
+WORDS = Unit(50, 4, 2, width=3, words=True)
+LENGTH = BYTES.length
 #: Bytes of a shard's pieces; a key with more is counted by hashes.
 SHARD_BYTES = 1 << 20
 #: No UTF-8 text has this byte.
@@ -174,8 +200,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, small, lms[order], counts)
 
 
-def repeated_starts(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Starts of strings of `length` bytes, none with SEPARATOR, that data has again elsewhere."""
+def repeated_starts(data: np.ndarray, length: int = LENGTH, owner: np.ndarray | None = None) -> np.ndarray:
+    """Starts of strings of `length` bytes, none with SEPARATOR, that data has again elsewhere; with owner, at a place of another owner."""
     n = len(data)
     if n <= length:
         return np.zeros(n, bool)
@@ -196,7 +222,14 @@ def repeated_starts(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
         alive = alive[(word[alive + at] == word[before[alive] + at]).all(1)]
     out = np.zeros(n, bool)
     out[alive] = True
-    out[before[alive]] = True
+    if owner is None:
+        out[before[alive]] = True
+    else:
+        # Neighbours with equal strings are a group; it counts if it has two owners.
+        first = np.flatnonzero(~out[sa])
+        mine = owner[sa]
+        two = np.minimum.reduceat(mine, first) < np.maximum.reduceat(mine, first)
+        out[sa] = np.repeat(two, np.diff(np.append(first, n)))
     cuts = np.concatenate(([0], np.cumsum(data == SEPARATOR)))
     whole = np.zeros(n, bool)
     whole[: n - length + 1] = cuts[length:] == cuts[: n - length + 1]
@@ -220,46 +253,77 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
 PLACE = "h long, p1 long, p2 long, doc long, row long, l long, more long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = LENGTH - ANCHOR + 1
-    for b in batches:
-        doc, row = (b.column(c).to_numpy() for c in ("doc", "row"))
-        for i, _, data, offsets in chunks(*text_bytes(b.column("text"))):
-            if len(data) < LENGTH:
-                continue
-            c = prefix_hash(data)
-            at = np.arange(len(data) - ANCHOR + 1)
-            gram = mix(span_hash(c, at, at + ANCHOR))
-            key = gram & np.uint64(0xFFFFFFFF00000000) | at.astype(np.uint64)
-            anchor = (_least(key, span) & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of each start
-            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
-            valid = np.arange(len(anchor)) + LENGTH <= offsets[1:][owner]
-            starts = np.flatnonzero(valid)
-            if not len(starts):
-                continue
-            new = np.ones(len(starts), bool)
-            part = (anchor[starts] - starts) // STEP  # the part of its string that the anchor starts in
-            new[1:] = (anchor[starts[1:]] != anchor[starts[:-1]]) | (owner[starts[1:]] != owner[starts[:-1]]) | (part[1:] != part[:-1])
-            l = starts[new]
-            r = starts[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(starts) - 1]))]
-            p = anchor[l]
-            shape = (p - l).astype(np.uint64) * np.uint64(1 << 20) + (r - l).astype(np.uint64)
-            h2 = prefix_hash(data, BASES[1])
-            own = owner[l]
-            part = (p - l) // STEP
-            # All strings with the anchor in this part hold these bytes.
-            h = mix(span_hash(c, p - part * STEP, p - np.minimum((part + 1) * STEP, span) + 1 + LENGTH) + part.astype(np.uint64))
-            cols = (h.view(np.int64), mix(span_hash(c, l, r + LENGTH) + shape).view(np.int64), mix(span_hash(h2, l, r + LENGTH, BASES[1]) ^ shape).view(np.int64), doc[i + own], row[i + own], l - offsets[own], r - l)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "p1", "p2", "doc", "row", "l", "more"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and where each row's begin."""
+    starts, ends, rows = word_spans(data, offsets)
+    return word_hashes(data, starts, ends), np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))))
+
+
+def _pieces(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    length, anchor_size, span, step = unit.length, unit.anchor, unit.span, unit.step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, row = (b.column(c).to_numpy() for c in ("doc", "row"))
+            for i, _, data, offsets in chunks(*text_bytes(b.column("text"))):
+                if unit.words:
+                    data, offsets = _word_units(data, offsets)
+                if len(data) < length:
+                    continue
+                c = prefix_hash(data)
+                at = np.arange(len(data) - anchor_size + 1)
+                gram = mix(span_hash(c, at, at + anchor_size))
+                key = gram & np.uint64(0xFFFFFFFF00000000) | at.astype(np.uint64)
+                anchor = (_least(key, span) & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of each start
+                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
+                valid = np.arange(len(anchor)) + length <= offsets[1:][owner]
+                starts = np.flatnonzero(valid)
+                if not len(starts):
+                    continue
+                new = np.ones(len(starts), bool)
+                part = (anchor[starts] - starts) // step  # the part of its string that the anchor starts in
+                new[1:] = (anchor[starts[1:]] != anchor[starts[:-1]]) | (owner[starts[1:]] != owner[starts[:-1]]) | (part[1:] != part[:-1])
+                l = starts[new]
+                r = starts[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(starts) - 1]))]
+                p = anchor[l]
+                shape = (p - l).astype(np.uint64) * np.uint64(1 << 20) + (r - l).astype(np.uint64)
+                h2 = prefix_hash(data, BASES[1])
+                own = owner[l]
+                part = (p - l) // step
+                # All strings with the anchor in this part hold these units.
+                h = mix(span_hash(c, p - part * step, p - np.minimum((part + 1) * step, span) + 1 + length) + part.astype(np.uint64))
+                cols = (h.view(np.int64), mix(span_hash(c, l, r + length) + shape).view(np.int64), mix(span_hash(h2, l, r + length, BASES[1]) ^ shape).view(np.int64), doc[i + own], row[i + own], l - offsets[own], r - l)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "p1", "p2", "doc", "row", "l", "more"])
+
+    return run
+
+
+def _spelled(text: str, unit: Unit) -> bytes:
+    """The text with unit.width bytes for each unit, none of them SEPARATOR."""
+    data = text.encode()
+    if not unit.words:
+        return data
+    h, _ = _word_units(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    return np.stack([h // np.uint64(SEPARATOR**i) % np.uint64(SEPARATOR) for i in range(unit.width)], 1).astype(np.uint8).tobytes()
+
+
+PIECE = "shard long, h long, p1 long, p2 long, doc long, many boolean, data binary"
+
+
+def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Bytes of the pieces that each document is to give."""
-    for b in batches:
-        rows = [(s["shard"], s["h"], s["p1"], s["p2"], s["n"], t.encode()[s["l"] : s["l"] + s["more"] + LENGTH]) for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True) for s in want]
-        if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "h", "p1", "p2", "n", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
+                data = _spelled(t, unit)
+                rows += [(s["shard"], s["h"], s["p1"], s["p2"], s["doc"], s["many"], data[s["l"] * unit.width : (s["l"] + s["more"] + unit.length) * unit.width]) for s in want]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "h", "p1", "p2", "doc", "many", "data"])
+
+    return run
 
 
 FOUND = "h long, p1 long, p2 long, starts array<struct<a:long,z:long>>"
@@ -272,62 +336,81 @@ def _ranges(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"a": int(a), "z": int(z) - 1} for a, z in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in runs(batches, ["shard"]):
-        pieces = t.column("data").to_pylist()
-        data = np.frombuffer(bytes([SEPARATOR]).join(pieces), np.uint8)
-        again = repeated_starts(data)
-        rows, at = [], 0
-        for h, p1, p2, n, piece in zip(*(t.column(c).to_pylist() for c in ("h", "p1", "p2", "n")), pieces, strict=True):
-            own = again[at : at + len(piece) - LENGTH + 1]
-            if n > 1:
-                own = np.ones(len(own), bool)
-            if own.any():
-                rows.append({"h": h, "p1": p1, "p2": p2, "starts": _ranges(own)})
-            at += len(piece) + 1
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, _FOUND)
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    length = unit.length * unit.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["shard"]):
+            pieces = t.column("data").to_pylist()
+            data = np.frombuffer(bytes([SEPARATOR]).join(pieces), np.uint8)
+            many = t.column("many").to_pylist()
+            owner = None
+            if unit.words:
+                # A piece that several documents have makes what equals it repeat, so it is an owner of its own.
+                size = np.array([len(p) + 1 for p in pieces])
+                docs = np.unique(t.column("doc").to_numpy(), return_inverse=True)[1]
+                owner = np.repeat(np.where(many, len(pieces) + np.arange(len(pieces)), docs), size)[: len(data)]
+            again = repeated_starts(data, length, owner)
+            rows, at = [], 0
+            for h, p1, p2, all_, piece in zip(*(t.column(c).to_pylist() for c in ("h", "p1", "p2")), many, pieces, strict=True):
+                own = again[at : at + len(piece) - length + 1 : unit.width]
+                if all_:
+                    own = np.ones(len(own), bool)
+                if own.any():
+                    rows.append({"h": h, "p1": p1, "p2": p2, "starts": _ranges(own)})
+                at += len(piece) + 1
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _FOUND)
+
+    return run
+
+
+def _strings(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Hashes of all strings of the pieces."""
-    for b in batches:
-        for h, p1, p2, n, piece in zip(*(b.column(c).to_pylist() for c in ("h", "p1", "p2", "n", "data")), strict=True):
-            data = np.frombuffer(piece, np.uint8)
-            s = np.arange(len(data) - LENGTH + 1)
-            f1, f2 = (mix(span_hash(prefix_hash(data, base), s, s + LENGTH, base)).view(np.int64) for base in BASES)
-            same = [pa.array(np.full(len(s), x), pa.int64()) for x in (h, p1, p2, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), *same, pa.array(s)], ["f1", "f2", "h", "p1", "p2", "n", "s"])
+    length = unit.length * unit.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, p1, p2, doc, many, piece in zip(*(b.column(c).to_pylist() for c in ("h", "p1", "p2", "doc", "many", "data")), strict=True):
+                data = np.frombuffer(piece, np.uint8)
+                s = np.arange(0, len(data) - length + 1, unit.width)
+                f1, f2 = (mix(span_hash(prefix_hash(data, base), s, s + length, base)).view(np.int64) for base in BASES)
+                same = [pa.array(np.full(len(s), x), k) for x, k in ((h, pa.int64()), (p1, pa.int64()), (p2, pa.int64()), (doc, pa.int64()), (many, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), *same, pa.array(s // unit.width)], ["f1", "f2", "h", "p1", "p2", "doc", "many", "s"])
 
+    return run
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, row, ranges): byte ranges (start, end) of each document that repeated strings cover, from docs (doc, row, text)."""
+
+def repeated_ranges(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """(doc, row, ranges): ranges (start, end), in units, of each document that repeated strings cover, from docs (doc, row, text)."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    places = materialize(docs.mapInArrow(_pieces, PLACE), "places")
-    anchors = places.groupBy("h").agg(F.count("*").alias("n"), F.min("p1").alias("a1"), F.max("p1").alias("z1"), F.min("p2").alias("a2"), F.max("p2").alias("z2")).where("n > 1")
+    #: Whether copies of one piece make its strings repeat.
+    several = F.min("doc") != F.max("doc") if unit.words else F.count("*") > 1
+    places = materialize(docs.mapInArrow(_pieces(unit), PLACE), "places")
+    anchors = places.groupBy("h").agg(several.alias("several"), F.min("p1").alias("a1"), F.max("p1").alias("z1"), F.min("p2").alias("a2"), F.max("p2").alias("z2")).where("several")
     anchors = materialize(anchors.select("h", F.expr("a1 = z1 AND a2 = z2").alias("same")), "anchors")
     some = spark.sparkContext.broadcast(id_bitmap(anchors, "h"))
     likely = places.mapInArrow(lambda it: (b.filter(pa.array(in_bitmap(some.value, b.column("h").to_numpy()))) for b in it if b.num_rows), places.schema)
     shared = materialize(likely.join(anchors, "h"), "shared")
     mixed = shared.where("NOT same")
-    kinds = mixed.groupBy("h", "p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row", "l", "more")).alias("at"))
-    kinds = materialize(kinds.select("h", "p1", "p2", "n", "at.*"), "kinds")
-    size = kinds.groupBy("h").agg(F.sum(F.col("more") + LENGTH + 1).alias("bytes"))
+    kinds = mixed.groupBy("h", "p1", "p2").agg(several.alias("many"), F.min(F.struct("doc", "row", "l", "more")).alias("at"))
+    kinds = materialize(kinds.select("h", "p1", "p2", "many", "at.*"), "kinds")
+    size = kinds.groupBy("h").agg(F.sum((F.col("more") + unit.length) * unit.width + 1).alias("bytes"))
     total = size.where(F.col("bytes") <= SHARD_BYTES).agg(F.sum("bytes")).first()[0] or 0
     shards = 1 + 2 * total // SHARD_BYTES
     dealt = kinds.join(size, "h").withColumn("shard", F.when(F.col("bytes") <= SHARD_BYTES, F.pmod(F.xxhash64("h"), F.lit(shards))).otherwise(F.lit(-1)))
-    wanted = materialize(dealt.groupBy("doc", "row").agg(F.collect_list(F.struct("shard", "h", "p1", "p2", "n", "l", "more")).alias("want")), "wanted")
+    wanted = materialize(dealt.groupBy("doc", "row").agg(F.collect_list(F.struct("shard", "h", "p1", "p2", "doc", "many", "l", "more")).alias("want")), "wanted")
     texts = _only(docs, wanted).join(wanted.hint("shuffle_hash"), ["doc", "row"]).select("text", "want")
-    pieces = materialize(texts.mapInArrow(_cut, "shard long, h long, p1 long, p2 long, n long, data binary"), "pieces")
-    sharded = pieces.where("shard >= 0").repartition(max(parts, int(shards)), "shard").sortWithinPartitions("shard").mapInArrow(_shards, FOUND)
-    strings = pieces.where("shard < 0").repartition(parts).mapInArrow(_strings, "f1 long, f2 long, h long, p1 long, p2 long, n long, s long")
+    pieces = materialize(texts.mapInArrow(_cut(unit), PIECE), "pieces")
+    sharded = pieces.where("shard >= 0").repartition(max(parts, int(shards)), "shard").sortWithinPartitions("shard").mapInArrow(_shards(unit), FOUND)
+    strings = pieces.where("shard < 0").repartition(parts).mapInArrow(_strings(unit), "f1 long, f2 long, h long, p1 long, p2 long, doc long, many boolean, s long")
     strings = materialize(strings, "strings")
-    twice = strings.groupBy("f1", "f2").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
+    twice = strings.groupBy("f1", "f2").agg((F.bool_or("many") | several).alias("again")).where("again").drop("again")
     hot = strings.join(twice, ["f1", "f2"]).groupBy("h", "p1", "p2").agg(F.collect_list(F.struct(F.col("s").alias("a"), F.col("s").alias("z"))).alias("starts"))
     found = materialize(sharded.unionAll(hot), "found")
-    covered = mixed.join(found, ["h", "p1", "p2"]).select("doc", "row", F.explode("starts").alias("s"), "l").select("doc", "row", (F.col("l") + F.col("s.a")).alias("s"), (F.col("l") + F.col("s.z") + LENGTH).alias("e"))
-    plain = shared.where("same").select("doc", "row", F.col("l").alias("s"), (F.col("l") + F.col("more") + LENGTH).alias("e"))
+    covered = mixed.join(found, ["h", "p1", "p2"]).select("doc", "row", F.explode("starts").alias("s"), "l").select("doc", "row", (F.col("l") + F.col("s.a")).alias("s"), (F.col("l") + F.col("s.z") + unit.length).alias("e"))
+    plain = shared.where("same").select("doc", "row", F.col("l").alias("s"), (F.col("l") + F.col("more") + unit.length).alias("e"))
     return materialize(covered.unionAll(plain).groupBy("doc", "row").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "ranges")
 
 
@@ -343,43 +426,52 @@ def _only(docs: DataFrame, rows: DataFrame, inside: bool = True) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def _joined(ranges: list[dict[str, int]] | None) -> list[tuple[int, int]]:
+    """Maximal runs (start, end) of what the ranges cover."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((x["s"], x["e"]) for x in ranges or ()):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long"
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = b.column("doc_id")
-        ranges = b.column("ranges").to_pylist() if "ranges" in b.schema.names else [None] * b.num_rows
-        size, removed, spans, digests = [], [], [], []
-        for text, gone in zip(b.column("text").to_pylist(), ranges, strict=True):
+        none = [None] * b.num_rows
+        ranges, passages = (b.column(c).to_pylist() if c in b.schema.names else none for c in ("ranges", "passages"))
+        counts, digests = [], []
+        for text, gone, said in zip(b.column("text").to_pylist(), ranges, passages, strict=True):
             data = (text or "").encode()
-            kept, at, lost, n = [], 0, 0, 0
-            for s, e in sorted((x["s"], x["e"]) for x in gone or ()):
-                if s > at or not n:
-                    kept.append(data[at:s])
-                    n += 1
-                    lost += e - s
-                    at = e
-                elif e > at:
-                    lost += e - at
-                    at = e
-            kept.append(data[at:])
-            size.append(len(data))
-            removed.append(lost)
-            spans.append(n)
+            spans, words = _joined(gone), _joined(said)
+            kept = [data[s:e] for s, e in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(data)], strict=True)]
+            counts.append((len(data), sum(e - s for s, e in spans), len(spans), len(words), sum(e - s for s, e in words)))
             digests.append(hashlib.sha256(b"".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        n = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)] or [pa.array([], pa.int64())] * 5
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *n[:3], pa.array(digests, pa.string()), *n[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words"])
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words) for every row of docs.
 
     Null text counts as empty. A byte goes if a 400-byte string that covers it starts
     anywhere else too, in this document or another; overlaps count, all is judged on the
     input, and no string crosses documents. Texts are processed whole. Rows with equal
     doc_id and text lose the same bytes, as each is the other's copy. Texts under 400
     bytes lose none. An empty table gives none. Other columns are not read.
+
+    Passages are the runs of words that strings of 50 words cover which another document
+    (by doc_id) has too, whatever white space parts the words; they take no bytes of
+    their own. Words that differ count as equal with a chance of one in 255**3.
     """
     named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
-    ranges = repeated_ranges(named.where(F.octet_length("text") >= LENGTH).select("doc", "row", "text"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    hit = _only(named, ranges).join(ranges.hint("shuffle_hash"), ["doc", "row"], "left").select("doc_id", "text", "ranges")
-    rest = _only(named, ranges, inside=False).select("doc_id", "text")
-    return hit.mapInArrow(_remove, schema).unionAll(rest.mapInArrow(_remove, schema))
+    able = lambda unit: named.where(F.octet_length("text") >= (2 * unit.length - 1 if unit.words else unit.length)).select("doc", "row", "text")
+    ranges, passages = (repeated_ranges(able(unit), unit) for unit in (BYTES, WORDS))
+    both = materialize(ranges.join(passages.withColumnRenamed("ranges", "passages"), ["doc", "row"], "full_outer"), "both")
+    hit = _only(named, both).join(both.hint("shuffle_hash"), ["doc", "row"], "left").select("doc_id", "text", "ranges", "passages")
+    rest = _only(named, both, inside=False).select("doc_id", "text")
+    return hit.mapInArrow(_remove, SCHEMA).unionAll(rest.mapInArrow(_remove, SCHEMA))
