@@ -3,11 +3,13 @@
 The pages of a host are merged into one tree: a node is the path of tags, classes and
 ids from the root, and keeps how its pages style its children (presentation) and what
 they say there (content). A node's presentation counts for what its entropy is of the
-largest possible, its content for how little of it is the same on the host's pages.
-From branches that are low in both, the blocks that repeat are removed from each page,
-unless they are in an article or main part, besides what their own tags,
-roles and class names say they are: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, comments of readers. What is left of the article is the text.
+largest possible, its content for how little of it is the same on the host's pages. A
+few different pages are added to every host, so that the fewer pages there are, the
+more alike they must be. From branches that are low in both, the blocks that repeat are
+removed from each page, unless they are in an article or main part. Of what is left,
+blocks go whose own tags, roles and class names say that they are no article: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers. What
+is left of the article is the text.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-#: A branch goes if its importance is below this on a host with so many different pages.
+#: A branch goes if its importance is below this.
 LEAST_IMPORTANCE = 0.3
-LEAST_PAGES = 8
+#: Pages that each host is taken to have besides, all different: what few pages repeat says little.
+PRIOR_PAGES = 6
+#: Elements nested deeper than this count as children of the last such one, as in browsers.
+MOST_DEPTH = 512
 #: In such a branch, blocks go whose own words are on this share of its pages, and on two at least.
 LEAST_SHARE = 0.1
 
@@ -191,6 +196,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         node = _open(tag, m[4] or m[7] or "", stack[-1])
         if tag not in _INLINE:
             stack[-1].children.append(node.path)
+        if len(stack) > MOST_DEPTH:
+            node.branch = stack[MOST_DEPTH].branch
         stack.append(node)
     if at < len(page):
         say(page[at:])
@@ -207,10 +214,12 @@ def main_text(page: str | None, low: frozenset[int] = frozenset(), common: froze
     """The article's blocks; `low` are the host's branches of low importance, `common` the values of blocks that repeat there."""
     if not page:
         return ""
-    blocks = [b for b in parse(page)[0] if not b.noise]
+    blocks = parse(page)[0]
     if low:
+        own = [b for b in blocks if b.article >= 2 or not low.intersection(b.branch) or _value(b.text) not in common]
         # A page that only repeats keeps what it says.
-        blocks = [b for b in blocks if b.article >= 2 or not low.intersection(b.branch) or _value(b.text) not in common] or blocks
+        blocks = own if any(not b.noise for b in own) else blocks
+    blocks = [b for b in blocks if not b.noise]
     best = max((b.article for b in blocks), default=0)
     return "\n".join(b.text for b in blocks if b.article >= best)
 
@@ -225,7 +234,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in b.column("html").to_pylist():
             blocks, shapes = parse(page or "")
             seen, rows = set(), {}
-            for path, value, shape in [*((p, _value(x.text), False) for x in blocks for p in x.branch[-3:]), *((p, v, True) for p, v in shapes)]:
+            for path, value, shape in [*((p, _value(x.text), False) for x in blocks for p in x.branch), *((p, v, True) for p, v in shapes)]:
                 rows.setdefault((path, shape, value), (path, shape) not in seen)
                 seen.add((path, shape))
             styles.append([{"path": p, "shape": s, "value": v, "first": f} for (p, s, v), f in rows.items()])
@@ -239,10 +248,10 @@ def low_branches(pages: DataFrame) -> DataFrame:
     each = nodes.groupBy("host", "page").agg(F.first("nodes").alias("nodes")).select("host", F.explode("nodes").alias("x")).select("host", "x.*")
     said = materialize(each.groupBy("host", "path", "shape", "value").agg(F.count("*").alias("c"), F.sum(F.col("first").cast("long")).alias("f")), "said")
     node = said.groupBy("host", "path", "shape").agg(F.sum("f").alias("m"), F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    full = F.log(F.col("m").cast("double"))
+    full = F.log(F.col("m") + F.lit(float(PRIOR_PAGES)))
     # Content: 1 less what the values' spread over pages is of the largest. Presentation: entropy of the shapes, of the largest.
     importance = F.when(F.col("shape"), (F.log(F.col("n").cast("double")) - F.col("clogc") / F.col("n")) / full).otherwise(1 - F.col("clogc") / (F.col("n") * full))
-    rated = node.where(F.col("m") >= LEAST_PAGES).groupBy("host", "path").agg(F.max(importance).alias("importance"), F.max(F.expr("IF(shape, NULL, m)")).alias("pages"))
+    rated = node.groupBy("host", "path").agg(F.max(importance).alias("importance"), F.max(F.expr("IF(shape, NULL, m)")).alias("pages"))
     low = materialize(rated.where(F.col("pages").isNotNull() & (F.col("importance") < LEAST_IMPORTANCE)), "low")
     common = said.where("NOT shape AND c > 1").join(low, ["host", "path"]).where(F.col("c") >= LEAST_SHARE * F.col("pages"))
     # A share bounds the values of a host by its blocks a page.
