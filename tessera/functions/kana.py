@@ -7,55 +7,81 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import to_hira
 
-_VOWELS = "aiueo"
-#: Rows of the syllabary by their consonant.
-_ROWS = {"": "あいうえお", "k": "かきくけこ", "s": "さしすせそ", "t": "たちつてと", "n": "なにぬねの", "h": "はひふへほ", "m": "まみむめも", "r": "らりるれろ", "g": "がぎぐげご", "z": "ざじずぜぞ", "d": "だぢづでど", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ"}
-#: Syllables that the rows don't give.
-_OTHERS = {"し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji", "ぢ": "ji", "づ": "zu", "や": "ya", "ゆ": "yu", "よ": "yo", "わ": "wa", "ゐ": "i", "ゑ": "e", "を": "wo", "ん": "n", "ゔ": "vu"}
-_SMALL = dict(zip("ぁぃぅぇぉ", _VOWELS, strict=True))
-_GLIDES = dict(zip("ゃゅょ", "auo", strict=True))
+
+def _entries(table: str) -> dict[str, str]:
+    words = table.split()
+    return dict(zip(words[::2], words[1::2], strict=True))
+
+
+#: Single kana.
+_SYLLABLES = _entries("""
+    あ a い i う u え e お o
+    か ka き ki く ku け ke こ ko
+    さ sa し shi す su せ se そ so
+    た ta ち chi つ tsu て te と to
+    な na に ni ぬ nu ね ne の no
+    は ha ひ hi ふ fu へ he ほ ho
+    ま ma み mi む mu め me も mo
+    や ya ゆ yu よ yo
+    ら ra り ri る ru れ re ろ ro
+    わ wa ゐ i ゑ e を wo ん n
+    が ga ぎ gi ぐ gu げ ge ご go
+    ざ za じ ji ず zu ぜ ze ぞ zo
+    だ da ぢ ji づ zu で de ど do
+    ば ba び bi ぶ bu べ be ぼ bo
+    ぱ pa ぴ pi ぷ pu ぺ pe ぽ po
+    ぁ a ぃ i ぅ u ぇ e ぉ o ゔ vu
+""")
+#: Kana with a small one, read as one syllable.
+_JOINED = _entries("""
+    きゃ kya きゅ kyu きょ kyo
+    しゃ sha しゅ shu しょ sho
+    ちゃ cha ちゅ chu ちょ cho
+    にゃ nya にゅ nyu にょ nyo
+    ひゃ hya ひゅ hyu ひょ hyo
+    みゃ mya みゅ myu みょ myo
+    りゃ rya りゅ ryu りょ ryo
+    ゐゃ ya ゐゅ yu ゐょ yo
+    ぎゃ gya ぎゅ gyu ぎょ gyo
+    じゃ ja じゅ ju じょ jo
+    ぢゃ ja ぢゅ ju ぢょ jo
+    びゃ bya びゅ byu びょ byo
+    ぴゃ pya ぴゅ pyu ぴょ pyo
+    いぁ a いぃ i いぅ u いぇ e いぉ o
+    うぁ wa うぃ wi うぅ wu うぇ we うぉ wo
+    きぁ ka きぃ ki きぅ ku きぇ ke きぉ ko
+    しぁ sha しぃ shi しぅ shu しぇ she しぉ sho
+    ちぁ cha ちぃ chi ちぅ chu ちぇ che ちぉ cho
+    てぃ ti
+    にぁ na にぃ ni にぅ nu にぇ ne にぉ no
+    ひぁ ha ひぃ hi ひぅ hu ひぇ he ひぉ ho
+    ふぁ fa ふぃ fi ふぅ fu ふぇ fe ふぉ fo
+    みぁ ma みぃ mi みぅ mu みぇ me みぉ mo
+    りぁ ra りぃ ri りぅ ru りぇ re りぉ ro
+    ゐぁ a ゐぃ i ゐぅ u ゐぇ e ゐぉ o
+    ぎぁ ga ぎぃ gi ぎぅ gu ぎぇ ge ぎぉ go
+    じぁ ja じぃ ji じぅ ju じぇ je じぉ jo
+    ぢぁ ja ぢぃ ji ぢぅ ju ぢぇ je ぢぉ jo
+    でぃ di
+    びぁ ba びぃ bi びぅ bu びぇ be びぉ bo
+    ぴぁ pa ぴぃ pi ぴぅ pu ぴぇ pe ぴぉ po
+""")
 #: Signs of the display form.
 _SIGNS = {"、": ",", "。": ".", "？": "?", "！": "!", "　": " "}
 
-_SYLLABLES = {kana: row + vowel for row, kanas in _ROWS.items() for kana, vowel in zip(kanas, _VOWELS, strict=True)} | _OTHERS
-
-
-def _palatal(latin: str) -> str:
-    """What a syllable in i becomes before the vowel of a glide."""
-    return latin[:-1] if latin in ("shi", "chi", "ji") else latin[:-1] + "y"
-
-
-def _joined() -> dict[str, str]:
-    """Syllables of two kana: glides after those in i, and small vowels where they are read as one."""
-    out = {}
-    for kana, latin in _SYLLABLES.items():
-        if latin.endswith("i") and latin != "i":
-            out |= {kana + g: _palatal(latin) + v for g, v in _GLIDES.items()}
-        for small, v in _SMALL.items():
-            if kana == "ふ":
-                out[kana + small] = "f" + v
-            elif kana == "う":
-                out[kana + small] = "w" + v
-            elif kana in "てで" and small == "ぃ":
-                out[kana + small] = latin[0] + v
-            elif latin.endswith("i"):
-                out[kana + small] = latin[:-1] + v
-    return out
-
 
 def _table(entries: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
 
 
 def to_romaji(x: Column) -> Column:
-    """Kana in Latin letters, run together (kyou, gitaa, wo); what isn't kana stays.
+    """Kana in Latin letters, run together; what isn't kana stays.
 
     A small tsu doubles the next syllable's first letter unless that is a vowel or n; a
     long mark says the last vowel again. Null gives null.
     """
-    pairs = _joined()
-    table = _table(_SYLLABLES | _SMALL | pairs)
-    units = F.regexp_extract_all(to_hira(x), F.lit(f"(?s){'|'.join(pairs)}|."), F.lit(0))
+    table = _table(_SYLLABLES | _JOINED)
+    units = F.regexp_extract_all(to_hira(x), F.lit(f"(?s){'|'.join(_JOINED)}|."), F.lit(0))
     start = F.struct(F.lit("").alias("said"), F.lit(False).alias("double"))
 
     def step(a: Column, u: Column) -> Column:
@@ -73,7 +99,7 @@ def display_romaji(x: Column) -> Column:
     A mora is a kana with the small kana, long marks and small tsu that go with it; what
     isn't kana stays, in hiragana. Null gives null.
     """
-    table = _table(_SYLLABLES | _SMALL | {"ゃ": "ya", "ゅ": "yu", "ょ": "yo", "ゎ": "wa"})
+    table = _table(_SYLLABLES | {"ゃ": "ya", "ゅ": "yu", "ょ": "yo", "ゎ": "wa"})
     signs = _table(_SIGNS)
 
     def said(u: Column) -> Column:

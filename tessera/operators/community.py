@@ -2,9 +2,10 @@
 
 Rounds of moves and then of merging: in a round each node of one half, dealt by a hash
 of node and round, weighs the communities of its neighbours and moves to the best one.
-As only one half moves at a time, two nodes don't trade places for ever; a level ends
-when modularity grows by less than `gain`. Communities become the nodes of the next
-level. All of it is joins by node and sums by community; the driver sees one number a round.
+As only one half moves at a time, two nodes don't trade places for ever. Two rounds, one
+for each half, are one job that writes a table; a level ends when few nodes moved in
+them, and counts only if modularity grew. Communities become the nodes of the next
+level. All of it is joins by node and sums by community; the driver sees a few numbers.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import ensure_checkpoints
+from tessera.operators.graph import written
 
 
 def modularity(arcs: DataFrame, labels: DataFrame, resolution: float) -> float:
@@ -27,51 +28,50 @@ def _half(i: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed + i), "node"), F.lit(2)) == 0
 
 
-def _moved(arcs: DataFrame, degree: DataFrame, labels: DataFrame, total: float, resolution: float, turn: Column) -> DataFrame:
-    """Labels after the nodes of one turn moved to what raises modularity most; ties go to the smallest community."""
-    sums = labels.join(degree, "node").groupBy("comm").agg(F.sum("d").alias("weight"))
+def _moved(arcs: DataFrame, labels: DataFrame, total: float, resolution: float, turn: Column) -> DataFrame:
+    """Labels (node, comm, d) after the nodes of one turn moved to what raises modularity most; ties go to the smallest community."""
+    sums = labels.groupBy("comm").agg(F.sum("d").alias("weight"))
     near = arcs.where("a <> b").join(labels.select(F.col("node").alias("b"), "comm"), "b").groupBy(F.col("a").alias("node"), "comm").agg(F.sum("w").alias("w"))
     own = labels.select("node", "comm", F.lit(0.0).alias("w"))
-    choices = near.unionByName(own).groupBy("node", "comm").agg(F.sum("w").alias("w")).join(sums, "comm").join(degree, "node").join(labels.select("node", F.col("comm").alias("now")), "node")
+    choices = near.unionByName(own).groupBy("node", "comm").agg(F.sum("w").alias("w")).join(sums, "comm").join(labels.withColumnRenamed("comm", "now"), "node")
     others = F.col("weight") - F.when(F.col("comm") == F.col("now"), F.col("d")).otherwise(0.0)
     # Rounded, so that equal sums in another order tie.
     score = F.round(F.col("w") - resolution * F.col("d") * others / total, 12)
-    best = choices.groupBy("node").agg(F.min_by("comm", F.struct(-score, "comm")).alias("best"), F.first("now").alias("now"))
-    return best.select("node", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("comm"))
+    best = choices.groupBy("node").agg(F.min_by("comm", F.struct(-score, "comm")).alias("best"), F.first("now").alias("now"), F.first("d").alias("d"))
+    return best.select("node", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("comm"), "d")
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, seed: int = 7, gain: float = 1e-4, rounds: int = 16, levels: int = 4) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, seed: int = 7, gain: float = 1e-4, few: float = 0.02, rounds: int = 5, levels: int = 3) -> DataFrame:
     """(node, comm) for every end of edges (a, b, score); comm is the smallest node of its community.
 
     Repeated edges add up; null ends, and weights of null or 0, count for nothing. An
-    empty graph gives no rows. Communities follow from the data and the seed; another
-    implementation's seeded result differs, so compare modularity.
+    empty graph gives no rows. A level ends after `rounds` pairs of rounds, or when a
+    share of `few` of its nodes, or less, moved in one. Communities follow from the data and the
+    seed; another implementation's seeded result differs, so compare modularity.
     """
-    ensure_checkpoints(edges.sparkSession)
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND score > 0").select("a", "b", F.col("score").cast("double").alias("w"))
-    arcs = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")).checkpoint()
-    membership = arcs.select(F.col("a").alias("node"), F.col("a").alias("comm")).distinct().checkpoint()
+    arcs = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "arcs")
+    membership = arcs.select(F.col("a").alias("node"), F.col("a").alias("comm")).distinct()
     total = arcs.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()["w"]
     best = modularity(arcs, membership, resolution) if total else 0.0
     for level in range(levels if total else 0):
-        degree = arcs.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d")).checkpoint()
-        labels = degree.select("node", F.col("node").alias("comm"))
-        start = now = best
+        labels = written(arcs.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("d")).select("node", F.col("node").alias("comm"), "d"), "labels")
+        nodes = labels.count()
         for i in range(rounds):
-            tried = _moved(arcs, degree, labels, total, resolution, _half(level * rounds + i, seed)).checkpoint()
-            q = modularity(arcs, tried, resolution)
-            if q > now:
-                labels, slow, now = tried, q - now < gain, q
-                if slow and i % 2:
-                    break
-            elif i % 2:
+            at = 2 * (level * rounds + i)
+            turn = _half(at, seed)
+            tried = _moved(arcs, _moved(arcs, labels, total, resolution, turn), total, resolution, ~turn)
+            now = written(tried.join(labels.select("node", F.col("comm").alias("was")), "node").select("node", "comm", "d", (F.col("comm") != F.col("was")).alias("moved")), "labels")
+            labels = now.drop("moved")
+            if now.where("moved").count() <= few * nodes:
                 break
-        if now - start < gain:
+        q = modularity(arcs, labels, resolution)
+        if q - best < gain:
             break
-        best = now
-        membership = membership.join(labels.select(F.col("node").alias("comm"), F.col("comm").alias("next")), "comm").select("node", F.col("next").alias("comm")).checkpoint()
+        best = q
+        membership = written(membership.join(labels.select(F.col("node").alias("comm"), F.col("comm").alias("next")), "comm").select("node", F.col("next").alias("comm")), "members")
         la, lb = labels.select(F.col("node").alias("a"), F.col("comm").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comm").alias("cb"))
-        arcs = arcs.join(la, "a").join(lb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")).checkpoint()
+        arcs = written(arcs.join(la, "a").join(lb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "arcs")
     names = membership.groupBy("comm").agg(F.min("node").alias("least"))
     return membership.join(names, "comm").select("node", F.col("least").alias("comm"))
 

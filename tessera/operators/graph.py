@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.mart import shared_dir
+
 
 def cooccurrence(items: DataFrame, line: str, word: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) of distinct (line, word): pairs of words with how many lines hold both, from `least` on; words with their lines."""
@@ -29,29 +31,30 @@ def top_edges(edges: DataFrame, k: int = 6) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("a", "b", "score").distinct()
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only a local master without it gets a folder of its own."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = f"file://{tempfile.gettempdir()}/tessera-shared"
-    spark.sparkContext.setCheckpointDir(at)
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df, written to the shared folder and read back: its lineage ends here, and a lost executor costs a read."""
+    path = f"{shared_dir(df.sparkSession)}/tessera-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, comp): the smallest node that edges (a, b) reach; labels spread, and jump to their labels' labels, until none changes."""
-    ensure_checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = both.checkpoint()
+    """(node, comp): the smallest node that edges (a, b) reach; labels spread, and jump to their labels' labels, until none changes.
+
+    A written table is one step of two spreads and jumps.
+    """
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
-    for _ in range(rounds):
+
+    def step(labels: DataFrame) -> DataFrame:
         spread = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        lower = labels.join(spread, "node").select("node", "comp", F.least("comp", "near").alias("low"))
+        lower = labels.join(spread, "node").select("node", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("far"))
-        new = lower.join(jump, "low").select("node", F.least("low", "far").alias("comp"), (F.col("comp") != F.least("low", "far")).alias("moved")).checkpoint()
+        return lower.join(jump, "low").select("node", F.least("low", "far").alias("comp"))
+
+    for _ in range(rounds):
+        new = step(step(labels)).join(labels.select("node", F.col("comp").alias("was")), "node")
+        new = written(new.select("node", "comp", (F.col("comp") != F.col("was")).alias("moved")), "spread")
         labels = new.select("node", "comp")
         if new.where("moved").isEmpty():
             return labels

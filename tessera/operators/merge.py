@@ -22,6 +22,19 @@ def three_way_log(cloud: DataFrame, local: DataFrame, base: DataFrame, keys: lis
     return x.select(*keys, (zero("c") + zero("l") - zero("b")).alias(value))
 
 
+def three_way_srs(cloud: DataFrame, local: DataFrame, base: DataFrame, keys: list[str], box: str, due: str) -> DataFrame:
+    """Reviews (keys, box, due): the cloud's, but for those that this device changed since the base.
+
+    Of a word that both changed the review with the later due date counts, at equal dates
+    the larger box; one that only this device removed goes.
+    """
+    state = lambda d, n: d.select(*keys, F.struct(F.col(due).alias("due"), F.col(box).alias("box")).alias(n))
+    x = state(cloud, "c").join(state(local, "l"), keys, "full_outer").join(state(base, "b"), keys, "full_outer")
+    mine, theirs = ~F.col("l").eqNullSafe(F.col("b")), ~F.col("c").eqNullSafe(F.col("b"))
+    kept = x.select(*keys, F.when(mine & theirs, F.greatest("c", "l")).when(mine, F.col("l")).otherwise(F.col("c")).alias("s"))
+    return kept.where("s IS NOT NULL").select(*keys, F.col("s.box").alias(box), F.col("s.due").alias(due))
+
+
 def union_larger(cloud: DataFrame, local: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Without a base: all keys, the larger (or later) value of each."""
     x = cloud.select(*keys, F.col(value).alias("c")).join(local.select(*keys, F.col(value).alias("l")), keys, "full_outer")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let, sums_before
+
 
 def _many(x: str | list[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
@@ -69,14 +71,14 @@ def regex_spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches, as spans in code points; empty matches are not spans."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["0"]
-        e = s + F.length(x["1"])
-        return F.struct(e.alias("at"), F.concat(acc["spans"], F.array(_span(s, e))).alias("spans"))
+    def spans(x: Column) -> Column:
+        words, between = x["w"], F.slice(x["g"], F.lit(1), F.size(x["w"]))
+        # Each match starts after the gaps up to it and the matches before it.
+        starts = sums_before(F.zip_with(between, words, lambda g, w: g + F.length(w)))
+        return F.zip_with(F.zip_with(starts, between, lambda s, g: s + g), words, lambda s, w: _span(s, s + F.length(w)))
 
-    return F.aggregate(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("0"), found.alias("1")), zero, step, lambda acc: acc["spans"])
+    return let(F.struct(found.alias("w"), gaps.alias("g")), spans)
 
 
 def greedy(spans: Column) -> Column:
@@ -85,6 +87,38 @@ def greedy(spans: Column) -> Column:
     return F.aggregate(F.array_sort(F.array_distinct(spans)), none, lambda acc, x: F.when((F.size(acc) == 0) | (x["s"] >= F.element_at(acc, -1)["e"]), F.concat(acc, F.array(x))).otherwise(acc))
 
 
+def lexicon_matches(text: Column, tokens: Column, entries: dict[str, list]) -> Column:
+    """(w, s, e) of all entries in a line, by w, s and e.
+
+    Each alternative of an entry is a lemma, {"re": pattern} or a list of conditions in
+    turn; overlaps of one entry's spans go as in greedy(). Lemmas are looked up by a map,
+    so that the expression grows only with the other alternatives.
+    """
+    lemmas: dict[str, list[str]] = {}
+    tagged = []
+    tag = lambda spans, w: F.transform(spans, lambda x: F.struct(F.lit(w).alias("w"), x["s"].alias("s"), x["e"].alias("e")))
+    for w, match in entries.items():
+        for alt in match:
+            if isinstance(alt, str):
+                lemmas.setdefault(alt, []).append(w)
+            else:
+                tagged.append(tag(rule_spans(text, tokens, alt if isinstance(alt, dict) else {"tok": alt}), w))
+    if lemmas:
+        words = F.create_map(*(x for l, ws in lemmas.items() for x in (F.lit(l), F.array(*map(F.lit, ws)))))
+        known = F.filter(F.transform(tokens, lambda t: F.struct(F.try_element_at(words, t["l"]).alias("ws"), _span(t["b"], t["e"]).alias("x"))), lambda t: t["ws"].isNotNull())
+        tagged.append(F.flatten(F.transform(known, lambda t: F.transform(t["ws"], lambda w: F.struct(w.alias("w"), t["x"]["s"].alias("s"), t["x"]["e"].alias("e"))))))
+    none = F.array().cast("array<struct<w:string,s:int,e:int>>")
+    if not tagged:
+        return none
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        free = last.isNull() | (last["w"] != x["w"]) | (x["s"] >= last["e"])
+        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
+
+    return F.aggregate(F.array_sort(F.array_distinct(F.concat(*tagged))), none, step)
+
+
 def rule_spans(text: Column, tokens: Column, rule: dict) -> Column:
     if "re" in rule:
         return regex_spans(text, rule["re"])
@@ -95,7 +129,10 @@ def rule_spans(text: Column, tokens: Column, rule: dict) -> Column:
 
 def match_rules(text: Column, tokens: Column, rules: dict[str, dict]) -> Column:
     """Spans (s, id, e) of all rules, by start and then id."""
-    tagged = [F.transform(rule_spans(text, tokens, r), lambda x, i=i: F.struct(x["s"].alias("s"), F.lit(i).alias("id"), x["e"].alias("e"))) for i, r in rules.items()]
+    def named(i: str, r: dict) -> Column:
+        return F.transform(rule_spans(text, tokens, r), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("id"), x["e"].alias("e")))
+
+    tagged = [named(i, r) for i, r in rules.items()]
     return F.array_sort(F.concat(*tagged))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Lines of timed text that say who made it, not what is sung; fixed values.
 CREDITS = ("作词", "作詞", "作曲", "编曲", "編曲", "演唱", "制作人", "标题", "歌")
+#: Fixed value: dashes of title lines.
 _DASH = "[-－–—]"
 
 
@@ -25,9 +26,9 @@ def nearest_align(left: DataFrame, right: DataFrame, key: str, within: int) -> D
 
 
 def stamp_ms(stamp: Column) -> Column:
-    """[mm:ss.fff] in milliseconds; the fraction is padded, or cut, to three digits."""
+    """[mm:ss.fff] in milliseconds; the fraction is padded, or cut, to three digits. Any other text gives null."""
     part = lambda i: F.regexp_extract(stamp, r"^\[?(\d+):(\d+)(?:[.:](\d+))?\]?$", i)
-    return (part(1).cast("int") * 60000 + part(2).cast("int") * 1000 + F.rpad(part(3), 3, "0").cast("int")).cast("long")
+    return part(1).try_cast("long") * 60000 + part(2).try_cast("long") * 1000 + F.rpad(part(3), 3, "0").try_cast("long")
 
 
 def parse_timed_text(files: DataFrame, performers: tuple[str, ...] = ()) -> DataFrame:
@@ -38,7 +39,9 @@ def parse_timed_text(files: DataFrame, performers: tuple[str, ...] = ()) -> Data
     """
     at = files.select("path", F.posexplode(F.split("value", r"\r\n|[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]", -1)).alias("file_line", "line"))
     lead = F.regexp_extract("line", r"^((?:\[\d+:\d+(?:[.:]\d+)?\])*)", 1)
-    text = F.regexp_replace(F.substring(F.col("line"), F.length(lead) + 1, F.length("line")), r"(?U)^[\s\x{200B}\x{200E}\x{200F}\x{FEFF}]+|[\s\x{200B}\x{200E}\x{200F}\x{FEFF}]+$", "")
+    text = F.substring(F.col("line"), F.length(lead) + 1, F.length("line"))
+    for blank in (r"\s", r"\x{200B}\x{200E}\x{200F}\x{FEFF}", r"\s"):  # space, marks, and space within them
+        text = F.regexp_replace(text, rf"(?U)^[{blank}]+|[{blank}]+$", "")
     rows = at.select("path", "file_line", text.alias("text"), F.posexplode(F.regexp_extract_all(lead, F.lit(r"\[[^\]]*\]"), F.lit(0))).alias("stamp_no", "stamp"))
     kept = rows.where((F.length("text") > 0) & ~F.col("text").rlike(rf"(?U)^(?:{'|'.join(CREDITS)})\s*[:：]"))
     for name in performers:
@@ -47,9 +50,40 @@ def parse_timed_text(files: DataFrame, performers: tuple[str, ...] = ()) -> Data
     return kept.withColumn("ms", stamp_ms(F.col("stamp"))).withColumn("ord", F.row_number().over(w) - 1).select("path", "ms", "text", "ord")
 
 
-def current_line(moments: DataFrame, timed: DataFrame, key: str) -> DataFrame:
-    """For each (key, at) the last (t, text) at or before it: one union and one window, no range join."""
-    both = moments.select(key, F.col("at").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text")).unionByName(timed.select(key, "t", F.lit(0).alias("kind"), "text"))
-    w = Window.partitionBy(key).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct("t", "text")), ignorenulls=True).over(w)
-    return both.withColumn("line", last).where("kind = 1").select(key, F.col("t").alias("at"), F.col("line.t").alias("line_t"), F.col("line.text").alias("text"))
+def _carried(rows: DataFrame, key: str, bucket: str, state: str) -> DataFrame:
+    """(key, bucket, before): the last state of an earlier bucket of the key; its window is over the buckets, not the rows."""
+    last = rows.where(F.col(state).isNotNull()).groupBy(key, bucket).agg(F.max(state).alias("_end"))
+    every = rows.select(key, bucket).distinct().join(last, [key, bucket], "left")
+    w = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return every.select(key, bucket, F.last("_end", ignorenulls=True).over(w).alias("before"))
+
+
+def current_line(moments: DataFrame, timed: DataFrame, key: str, bucket: int = 3_600_000) -> DataFrame:
+    """moments (key, at, ...) with the last (line_t, text) of timed (key, t, ord, text) at or before `at`; of lines at one t the largest ord counts.
+
+    Rows of a key are dealt by buckets of time; each bucket takes the last line of those
+    before it, so a key with very many rows is spread over tasks. Repeated moments each
+    give a row; a null key or time gives null.
+    """
+    at = moments.withColumn("_t", F.col("at").cast("long")).withColumn("_kind", F.lit(1)).withColumn("_m", F.struct(*moments.columns))
+    line = F.struct(F.col("t").cast("long").alias("t"), "ord", F.col("text"))
+    both = at.select(key, "_t", "_kind", F.lit(None).cast("long").alias("_o"), "_m").unionByName(timed.select(key, F.col("t").cast("long").alias("_t"), F.lit(0).alias("_kind"), F.col("ord").cast("long").alias("_o"), line.alias("_line")), allowMissingColumns=True)
+    both = both.withColumn("_b", F.floor(F.col("_t") / bucket))
+    w = Window.partitionBy(key, "_b").orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("_last", F.last("_line", ignorenulls=True).over(w)).where("_kind = 1")
+    before = _carried(both.where("_t IS NOT NULL"), key, "_b", "_line").select(F.col(key).alias("_k"), F.col("_b").alias("_c"), "before")
+    out = own.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")), "left").withColumn("_last", F.when(F.col(key).isNotNull() & F.col("_t").isNotNull(), F.coalesce("_last", "before")))
+    return out.select("_m.*", F.col("_last.t").alias("line_t"), F.col("_last.text").alias("text"))
+
+
+def line_durations(timed: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """timed (key, t, order) with ms until the key's next row, `most` at most, which the last row has too.
+
+    No later row counts than one in the next `most` ms, so rows meet in buckets of that
+    width, and each bucket sees the first row of the next.
+    """
+    b = timed.withColumn("_b", F.floor(F.col("t") / most))
+    first = b.groupBy(F.col(key).alias("_k"), (F.col("_b") - 1).alias("_c")).agg(F.min("t").alias("_next"))
+    w = Window.partitionBy(key, "_b").orderBy("t", order)
+    wide = b.withColumn("_own", F.lead("t").over(w)).join(first, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")), "left")
+    return wide.withColumn("ms", F.least(F.coalesce("_own", "_next") - F.col("t"), F.lit(most)).cast("long")).withColumn("ms", F.coalesce("ms", F.lit(most).cast("long"))).drop("_b", "_k", "_c", "_own", "_next")

@@ -2,7 +2,7 @@
 
 Documents stand for songs, sources for albums, lines for lyric lines, letter runs for
 tokens, lower-cased words for lemmas; labels with quality 1 for finished albums;
-benchmark words for the lexicon; orders and part brands for lines and words of a graph.
+benchmark words for the lexicon; orders and parts for lines and words of a graph.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let
 from tessera.functions.text import base_title, mark_span
 from tessera.operators import graph, library, merge, temporal
-from tessera.operators.community import louvain, top_groups
-from tessera.operators.sequence import first_rule, match_rules, regex_spans, rule_spans, seq_spans
-from tessera.sources.mart import counted, lines, load, placed_tokens, tokens
+from tessera.operators.community import louvain, modularity, top_groups
+from tessera.operators.sequence import first_rule, lexicon_matches, match_rules, regex_spans, rule_spans, seq_spans
+from tessera.sources import ingest
+from tessera.sources.ingest import ranked
+from tessera.sources.mart import counted, lines, load, token_array, tokens
 from tessera.streaming.daily import daily_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,9 +141,12 @@ def missing_keys(s, d):
     return _lexicon(s, d).join(_tok(s, d).select(F.col("lemma").alias("word")), "word", "left_anti")
 
 
-@query("SELECT sha256(text) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING n > 1")
+@query("SELECT sha256(text) AS key, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING n > 1 UNION ALL SELECT 'null', count(*) FILTER (text IS NULL) FROM documents")
 def dup_keys(s, d):
-    return _docs(s, d).groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    """Keys that repeat, and how many are null."""
+    keys = _docs(s, d).select(F.sha2("text", 256).alias("key"))
+    nulls = keys.agg(F.count_if(F.col("key").isNull()).alias("n")).select(F.lit("null").alias("key"), "n")
+    return keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 AND key IS NOT NULL").unionAll(nulls)
 
 
 @query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'benchmark', count(*) FROM benchmark")
@@ -162,6 +168,19 @@ def _entries(s: SparkSession, d: str) -> DataFrame:
     return lines(_docs(s, d)).select("doc_id", "line_idx", F.explode(regex_spans(F.col("line"), _PHRASE)).alias("x")).select("doc_id", "line_idx", F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"))
 
 
+def _placed_lines(s: SparkSession, d: str) -> DataFrame:
+    """Lines with their tokens (tok) and hits, as arrays in code points."""
+    return lines(_docs(s, d)).select("doc_id", "line_idx", token_array(F.col("line")).alias("tok"), regex_spans(F.col("line"), _PHRASE).alias("hits"))
+
+
+def _both() -> Column:
+    return F.struct("tok", "hits")
+
+
+def _within(t: Column, h: Column) -> Column:
+    return (t["c_start"] >= h["s"]) & (t["c_end"] <= h["e"])
+
+
 _HITS = _PLACED + r", hs AS (SELECT *, regexp_extract_all(line, '\p{Lu}\p{Ll}+ \p{Ll}+') AS ms, regexp_split_to_array(line, '\p{Lu}\p{Ll}+ \p{Ll}+') AS os FROM l), h AS (SELECT doc_id, line_idx, s, s + len(m) AS e FROM (SELECT doc_id, line_idx, ms[i] AS m, (list_sum([len(x) FOR x IN os[1:i]]) + coalesce(list_sum([len(x) FOR x IN ms[1:i-1]]), 0))::BIGINT AS s FROM hs, range(1, len(ms) + 1) r(i)))"
 
 
@@ -172,14 +191,15 @@ def regex_spans_lines(s, d):
 
 @query(f"WITH {_HITS} SELECT lemma, count(*) AS n FROM p JOIN h USING (doc_id, line_idx) WHERE c_start >= s AND c_end <= e GROUP BY lemma")
 def interval_containment(s, d):
-    return placed_tokens(lines(_docs(s, d))).join(_entries(s, d), ["doc_id", "line_idx"]).where("c_start >= s AND c_end <= e").groupBy("lemma").agg(F.count("*").alias("n"))
+    inside = lambda x: F.filter(x["tok"], lambda t: F.exists(x["hits"], lambda h: _within(t, h)))
+    return _placed_lines(s, d).select(F.explode(let(_both(), inside)).alias("t")).groupBy("t.lemma").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_HITS} SELECT lemma, count(DISTINCT doc_id) AS songs FROM p WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = p.doc_id AND h.line_idx = p.line_idx AND p.c_start >= h.s AND p.c_end <= h.e) GROUP BY lemma HAVING songs >= 2")
 def uncovered_anti(s, d):
-    t, h = placed_tokens(lines(_docs(s, d))), _entries(s, d)
-    free = t.alias("p").join(h.alias("h"), (F.col("p.doc_id") == F.col("h.doc_id")) & (F.col("p.line_idx") == F.col("h.line_idx")) & (F.col("c_start") >= F.col("s")) & (F.col("c_end") <= F.col("e")), "left_anti")
-    return free.select("lemma", "doc_id").distinct().groupBy("lemma").agg(F.count("*").alias("songs")).where("songs >= 2")
+    free = lambda x: F.array_distinct(F.transform(F.filter(x["tok"], lambda t: ~F.exists(x["hits"], lambda h: _within(t, h))), lambda t: t["lemma"]))
+    rows = _placed_lines(s, d).select("doc_id", F.explode(let(_both(), free)).alias("lemma"))
+    return rows.distinct().groupBy("lemma").agg(F.count("*").alias("songs")).where("songs >= 2")
 
 
 @query(f"WITH {_TOKENS}{_LEXICON} SELECT lemma FROM t WHERE length(lemma) >= 8 UNION SELECT word FROM lex")
@@ -189,8 +209,12 @@ def union_distinct(s, d):
 
 @query(f"WITH {_PLACED} SELECT doc_id, line_idx::INT AS line_idx, pos::INT AS pos, substr(line, 1, c_start) || '【' || surface || '】' || substr(line, c_end + 1) AS marked FROM p WHERE length(surface) >= 12")
 def mark_spans(s, d):
-    t = placed_tokens(lines(_docs(s, d))).where(F.length("surface") >= 12)
-    return t.select("doc_id", "line_idx", "pos", mark_span(F.col("line"), F.col("c_start").cast("int"), F.col("c_end").cast("int")).alias("marked"))
+    def marked(tok: Column) -> Column:
+        at = F.transform(tok, lambda t, i: F.struct(i.alias("pos"), t.alias("t")))
+        long = F.filter(at, lambda x: F.length(x["t"]["surface"]) >= 12)
+        return F.transform(long, lambda x: F.struct(x["pos"].alias("pos"), mark_span(F.col("line"), x["t"]["c_start"].cast("int"), x["t"]["c_end"].cast("int")).alias("marked")))
+
+    return lines(_docs(s, d)).select("doc_id", "line_idx", F.explode(let(token_array(F.col("line")), marked)).alias("x")).select("doc_id", "line_idx", "x.*")
 
 
 def _token_lines(s: SparkSession, d: str) -> DataFrame:
@@ -213,23 +237,65 @@ def token_seq_match(s, d):
 
 @query(f"WITH {_TAGGED}, x AS (SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after FROM g WINDOW w AS (PARTITION BY doc_id, line_idx ORDER BY pos)) SELECT before, after, count(*) AS n FROM x WHERE lemma = 'the' GROUP BY ALL")
 def neighbor_context(s, d):
-    t = _token_lines(s, d).select("doc_id", "line_idx", F.posexplode("tok").alias("pos", "x"))
-    w = Window.partitionBy("doc_id", "line_idx").orderBy("pos")
-    return t.select(F.col("x.l").alias("lemma"), F.lag("x.p").over(w).alias("before"), F.lead("x.p").over(w).alias("after")).where("lemma = 'the'").groupBy("before", "after").agg(F.count("*").alias("n"))
+    side = lambda t, i: F.when(i >= 0, F.get(t, i)["p"])
+    near = lambda t: F.transform(F.filter(F.transform(t, lambda x, i: F.struct(x["l"].alias("l"), side(t, i - 1).alias("before"), side(t, i + 1).alias("after"))), lambda x: x["l"] == "the"), lambda x: F.struct(x["before"].alias("before"), x["after"].alias("after")))
+    return _token_lines(s, d).select(F.explode(let(F.col("tok"), near)).alias("x")).groupBy("x.before", "x.after").agg(F.count("*").alias("n"))
 
 
-@query()
+#: Of candidates c (doc_id, line_idx, s, e, by the same keys), the greedy choice: the shortest at a start, then the next that starts at or after its end.
+_GREEDY = ", f AS (SELECT {keys}, s, min(e) AS e FROM c GROUP BY ALL), nx AS (SELECT f.*, g.s AS nxt FROM f ASOF LEFT JOIN f g ON {same} AND f.e <= g.s), kept AS (SELECT {keys}, s, e, nxt FROM nx QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY s) = 1 UNION ALL SELECT {of_nx}, nx.s, nx.e, nx.nxt FROM kept JOIN nx ON {joined} AND nx.s = kept.nxt)"
+
+
+def _greedy_sql(*keys: str) -> str:
+    return _GREEDY.format(keys=", ".join(keys), same=" AND ".join(f"f.{k} = g.{k}" for k in keys), of_nx=", ".join(f"nx.{k}" for k in keys), joined=" AND ".join(f"nx.{k} = kept.{k}" for k in keys))
+
+
+@query(f"WITH RECURSIVE {_TAGGED}, x AS (SELECT *, {_NEXT.format('p', 1)} AS p1, {_NEXT.format('p', 2)} AS p2 FROM g), c AS (SELECT doc_id, line_idx, pos AS s, pos + 2 AS e FROM x WHERE p = 'short' AND p1 = 'short' UNION SELECT doc_id, line_idx, pos, pos + 3 FROM x WHERE p = 'short' AND p1 = 'word' AND p2 = 'short'){_greedy_sql('doc_id', 'line_idx')} SELECT doc_id, line_idx::INT AS line_idx, s::INT AS s, e::INT AS e FROM kept")
 def greedy_nonoverlap(s, d):
     rule = {"any": [{"tok": [{"p": "short"}, {"p": "short"}]}, {"tok": [{"p": "short"}, {"p": "word"}, {"p": "short"}]}]}
     return _token_lines(s, d).select("doc_id", "line_idx", F.explode(rule_spans(F.col("line"), F.col("tok"), rule)).alias("x")).select("doc_id", "line_idx", "x.s", "x.e")
 
 
-@query()
+_FULL_STOPS = r"fs AS (SELECT *, regexp_extract_all(line, '\p{Ll}+\.') AS ms, regexp_split_to_array(line, '\p{Ll}+\.') AS os FROM l), st AS (SELECT doc_id, line_idx, s, s + len(m) AS e FROM (SELECT doc_id, line_idx, ms[i] AS m, (list_sum([len(x) FOR x IN os[1:i]]) + coalesce(list_sum([len(x) FOR x IN ms[1:i-1]]), 0))::BIGINT AS s FROM fs, range(1, len(ms) + 1) r(i)))"
+
+
+@query(f"WITH {_TAGGED}, x AS (SELECT *, {_NEXT.format('p', 1)} AS p1, {_NEXT.format('p', 2)} AS p2 FROM g), {_FULL_STOPS} SELECT doc_id, line_idx::INT AS line_idx, 'pair' AS id, pos::INT AS s, (pos + 2)::INT AS e FROM x WHERE lemma IN ('the', 'of') AND p1 <> 'short' AND p2 IS DISTINCT FROM 'cap' UNION ALL SELECT doc_id, line_idx::INT, 'start', pos::INT, (pos + 1)::INT FROM x WHERE p = 'cap' AND p1 = 'short' UNION ALL SELECT doc_id, line_idx::INT, 'stop', s::INT, e::INT FROM st")
 def rule_hits(s, d):
     rules = {"pair": {"tok": [{"l": ["the", "of"]}, {"p": "!short", "!next": {"p": "cap"}}]}, "start": {"tok": [{"p": "cap", "next": {"p": "short"}}]}, "stop": {"re": r"\p{Ll}+\."}}
     return _token_lines(s, d).select("doc_id", "line_idx", F.explode(match_rules(F.col("line"), F.col("tok"), rules)).alias("x")).select("doc_id", "line_idx", "x.id", "x.s", "x.e")
 
 
+#: Entries with what matches them: a lemma, a regex, or conditions on tokens in turn.
+_ENTRIES = {"article": ["the", "la", [{"l": "of"}, {"l": ["the", "a"]}]], "end": [{"re": r"\p{Ll}+\."}, "and"], "name": [[{"p": "cap"}, {"p": "short"}], [{"p": "cap"}]]}
+
+
+def _entry_hits(s: SparkSession, d: str) -> DataFrame:
+    tag = lambda x: F.when(x.rlike(r"^\p{Lu}"), "cap").when(F.length(x) <= 3, "short").otherwise("word")
+    one = lambda t: F.struct(t["surface"].alias("s"), t["lemma"].alias("l"), tag(t["surface"]).alias("p"), F.lit("").alias("k"), F.lit("").alias("f"), F.lit("").alias("p2"), t["c_start"].alias("b"), t["c_end"].alias("e"))
+    found = lambda tok: lexicon_matches(F.col("line"), tok, _ENTRIES)
+    return lines(_docs(s, d)).select("doc_id", "line_idx", F.explode(let(F.transform(token_array(F.col("line")), one), found)).alias("x")).select("doc_id", "line_idx", "x.*")
+
+
+_ENTRY_HITS = _PLACED + ", g AS (SELECT *, CASE WHEN regexp_matches(surface, '^\\p{Lu}') THEN 'cap' WHEN length(surface) <= 3 THEN 'short' ELSE 'word' END AS p FROM p), x AS (SELECT *, " + ", ".join(f"{_NEXT.format(c, 1)} AS {c}1" for c in ("p", "lemma", "c_end")) + f" FROM g), {_FULL_STOPS}, c AS (SELECT 'article' AS w, doc_id, line_idx, c_start AS s, c_end AS e FROM x WHERE lemma IN ('the', 'la') UNION SELECT 'article', doc_id, line_idx, c_start, c_end1 FROM x WHERE lemma = 'of' AND lemma1 IN ('the', 'a') UNION SELECT 'end', doc_id, line_idx, s, e FROM st UNION SELECT 'end', doc_id, line_idx, c_start, c_end FROM x WHERE lemma = 'and' UNION SELECT 'name', doc_id, line_idx, c_start, c_end FROM x WHERE p = 'cap' UNION SELECT 'name', doc_id, line_idx, c_start, c_end1 FROM x WHERE p = 'cap' AND p1 = 'short'){_greedy_sql('w', 'doc_id', 'line_idx')}"
+
+
+@query(f"WITH RECURSIVE {_ENTRY_HITS} SELECT w, doc_id, line_idx::INT AS line_idx, s::INT AS s, e::INT AS e FROM kept")
+def lexicon_hits(s, d):
+    return _entry_hits(s, d)
+
+
+@query(f"WITH RECURSIVE {_ENTRY_HITS}, n AS (SELECT w, doc_id, count(*) AS n FROM kept GROUP BY ALL) SELECT w, count(*) AS songs, sum(n)::BIGINT AS total FROM n GROUP BY w")
+def lexicon_occurrences(s, d):
+    return _entry_hits(s, d).groupBy("w", "doc_id").agg(F.count("*").alias("n")).groupBy("w").agg(F.count("*").alias("songs"), F.sum("n").alias("total"))
+
+
+@query(f"WITH RECURSIVE {_ENTRY_HITS} SELECT h.w, d.source, count(*) AS n, count(DISTINCT h.doc_id) AS songs FROM kept h JOIN l USING (doc_id, line_idx) JOIN documents d ON d.doc_id = h.doc_id GROUP BY ALL")
+def chain_join(s, d):
+    """Hits to lines to songs."""
+    hits, l = _entry_hits(s, d).groupBy("w", "doc_id").agg(F.count("*").alias("n")), _docs(s, d).select("doc_id", "source")
+    return hits.join(l, "doc_id").groupBy("w", "source").agg(F.sum("n").alias("n"), F.count("*").alias("songs"))
+
+
 @query(f"WITH {_TAGGED}, x AS (SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after FROM g WINDOW w AS (PARTITION BY doc_id, line_idx ORDER BY pos)) SELECT coalesce(CASE WHEN lemma = 'the' AND after = 'word' THEN 'article' WHEN p = 'short' AND before = 'cap' THEN 'second' WHEN p = 'short' THEN 'small' END, 'none') AS fix, count(*) AS n FROM x GROUP BY 1")
 def first_match_rule(s, d):
     rules = [({"l": "the", "next": {"p": "word"}}, "article"), ({"p": "short", "prev": {"p": "cap"}}, "second"), ({"p": "short"}, "small")]
@@ -239,11 +305,13 @@ def first_match_rule(s, d):
 
 @query(f"WITH {_TAGGED}, x AS (SELECT *, (p <> 'short' OR coalesce(lag(p) OVER w, 'cap') = 'cap')::INT AS new FROM g WINDOW w AS (PARTITION BY doc_id, line_idx ORDER BY pos)), y AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, line_idx ORDER BY pos) AS seg FROM x) SELECT doc_id, line_idx::INT AS line_idx, seg::BIGINT AS seg, string_agg(surface, '' ORDER BY pos) AS text FROM y GROUP BY ALL")
 def segment_islands(s, d):
-    t = _token_lines(s, d).select("doc_id", "line_idx", F.posexplode("tok").alias("pos", "x"))
-    w = Window.partitionBy("doc_id", "line_idx").orderBy("pos")
-    new = ((F.col("x.p") != "short") | (F.coalesce(F.lag("x.p").over(w), F.lit("cap")) == "cap")).cast("int")
-    seg = t.withColumn("new", new).withColumn("seg", F.sum("new").over(w))
-    return seg.groupBy("doc_id", "line_idx", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x.s"))), lambda v: v["s"]), "").alias("text"))
+    def islands(t: Column) -> Column:
+        new = F.filter(F.transform(t, lambda x, i: F.when((x["p"] != "short") | (F.when(i > 0, F.coalesce(F.get(t, i - 1)["p"], F.lit("cap"))).otherwise("cap") == "cap"), i)), lambda i: i.isNotNull())
+        part = lambda b, e: F.array_join(F.transform(F.slice(t, b + 1, e - b), lambda x: x["s"]), "")
+        return let(new, lambda at: F.transform(at, lambda b, j: part(b, F.coalesce(F.get(at, j + 1), F.size(t)))))
+
+    t = _token_lines(s, d).select("doc_id", "line_idx", F.posexplode(let(F.col("tok"), islands)).alias("seg", "text"))
+    return t.withColumn("seg", (F.col("seg") + 1).cast("long"))
 
 
 # --- occurrences and examples -----------------------------------------------------
@@ -261,9 +329,30 @@ _COST = "greatest(0, length(line) - 80) + greatest(0, 40 - length(line))"
 
 @query(f"WITH {_TOKENS}{_LEXICON} SELECT lemma, arg_min(line, ({_COST}, doc_id, line_idx)) AS example FROM t WHERE lemma IN (SELECT word FROM lex) GROUP BY lemma")
 def argmin_example(s, d):
-    l = lines(_docs(s, d))
-    t = tokens(l).select("doc_id", "line_idx", "lemma").distinct().join(_lexicon(s, d), F.col("lemma") == F.col("word"), "left_semi")
-    return t.join(l.select("doc_id", "line_idx", "line"), ["doc_id", "line_idx"]).groupBy("lemma").agg(F.min_by("line", F.struct(F.expr(_COST).alias("cost"), "doc_id", "line_idx")).alias("example"))
+    docs = _docs(s, d)
+    l = lines(docs).select("*", F.expr(_COST).alias("cost"), F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(r"\p{L}+"), 0), F.lower)).alias("ws"))
+    t = l.select("cost", "doc_id", "line_idx", F.explode("ws").alias("lemma")).join(_lexicon(s, d), F.col("lemma") == F.col("word"), "left_semi")
+    best = t.groupBy("lemma").agg(F.min(F.struct("cost", "doc_id", "line_idx")).alias("at")).select("lemma", "at.doc_id", "at.line_idx")
+    # Only the winners' texts are joined.
+    return best.join(docs.select("doc_id", "text"), "doc_id").select("lemma", F.get(F.split("text", "\n", -1), F.col("line_idx")).alias("example"))
+
+
+#: Words of the lexicon by how they are listed: those of two songs or more by songs and total, the others by their first song and total.
+@query(f"WITH {_TOKENS}{_LEXICON}, c AS (SELECT lemma, count(DISTINCT doc_id) AS songs, count(*) AS total, min(doc_id) AS first_doc FROM t WHERE lemma IN (SELECT word FROM lex) GROUP BY lemma) SELECT lemma, songs >= 2 AS vocab, row_number() OVER (PARTITION BY songs >= 2 ORDER BY CASE WHEN songs >= 2 THEN -songs ELSE first_doc END, total DESC, lemma) AS rank FROM c")
+def vocab_order(s, d):
+    c = _tok(s, d).join(_lexicon(s, d), F.col("lemma") == F.col("word"), "left_semi").groupBy("lemma", "doc_id").agg(F.count("*").alias("n"))
+    c = c.groupBy("lemma").agg(F.count("*").alias("songs"), F.sum("n").alias("total"), F.min("doc_id").alias("first_doc"))
+    c = c.select("lemma", (F.col("songs") >= 2).alias("vocab"), F.when(F.col("songs") >= 2, -F.col("songs")).otherwise(F.col("first_doc")).alias("by"), (-F.col("total")).alias("rest"))
+    both = [ranked(c.where(F.col("vocab") == v), ["by", "rest", "lemma"], "rank") for v in (True, False)]
+    return both[0].unionByName(both[1]).select("lemma", "vocab", "rank")
+
+
+@query(f"WITH {_TOKENS}, c AS (SELECT lemma, lang, doc_id, max(surface) AS reading, count(*) AS n FROM t WHERE lang IN ('en', 'fr') GROUP BY ALL) SELECT lemma, lang, max(reading) AS reading, count(*) AS songs, sum(n)::BIGINT AS total FROM c GROUP BY ALL ORDER BY songs DESC, total DESC, lemma, lang LIMIT 20")
+def top_terms_with_reading(s, d):
+    """The most frequent words by tag, with the largest of their readings (surfaces)."""
+    c = _tok(s, d).where(F.col("lang").isin("en", "fr")).groupBy("lemma", "lang", "doc_id").agg(F.max("surface").alias("reading"), F.count("*").alias("n"))
+    c = c.groupBy("lemma", "lang").agg(F.max("reading").alias("reading"), F.count("*").alias("songs"), F.sum("n").alias("total"))
+    return c.orderBy(F.desc("songs"), F.desc("total"), "lemma", "lang").limit(20)
 
 
 @query(f"WITH {_TOKENS}{_LEXICON}, f AS (SELECT lemma, doc_id, min((line_idx, pos)) AS fst FROM t WHERE lemma IN (SELECT word FROM lex) GROUP BY ALL) SELECT lemma, doc_id, fst[1]::INT AS line_idx, fst[2]::INT AS pos FROM f QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY doc_id) <= 3")
@@ -292,9 +381,12 @@ def group_naming(s, d):
     return top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "lemma"))), lambda x: x["lemma"]), " ").alias("name"))
 
 
-@query("WITH c AS (SELECT source, line, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY ALL) SELECT * FROM c WHERE n > 1")
+@query(f"WITH {_LINES}, c AS (SELECT source, line, count(*) AS n, arg_min(doc_id || ':' || line_idx, (doc_id, line_idx)) AS first FROM l GROUP BY ALL) SELECT * FROM c WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, line) <= 20")
 def repeat_collapse(s, d):
-    return lines(_docs(s, d)).groupBy("source", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    """Lines that repeat in a source: the 20 most frequent of each, with the first place and the count."""
+    c = lines(_docs(s, d)).groupBy("source", "line").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_idx")).alias("at")).where("n > 1")
+    top = c.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "line"))).where("rn <= 20")
+    return top.select("source", "line", "n", F.concat_ws(":", "at.doc_id", "at.line_idx").alias("first"))
 
 
 @query(f"WITH {_TOKENS} SELECT lemma, CASE WHEN count(DISTINCT lang) = 1 THEN max(lang) ELSE 'both' END AS lang FROM t GROUP BY lemma")
@@ -321,10 +413,10 @@ def _top_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 200).alias("word"))
+    return load(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("word"))
 
 
-_PAIRS = "d AS (SELECT DISTINCT l_orderkey AS line, l_partkey % 200 AS w FROM lineitem), e AS (SELECT x.w AS a, y.w AS b, count(*) AS n FROM d x JOIN d y ON x.line = y.line AND x.w < y.w GROUP BY ALL HAVING n >= 2), m AS (SELECT w, count(*) AS lines FROM d GROUP BY w), s AS (SELECT a, b, n, n / sqrt(p.lines::DOUBLE * q.lines) AS score FROM e JOIN m p ON p.w = a JOIN m q ON q.w = b)"
+_PAIRS = "d AS (SELECT DISTINCT l_orderkey AS line, l_partkey AS w FROM lineitem), e AS (SELECT x.w AS a, y.w AS b, count(*) AS n FROM d x JOIN d y ON x.line = y.line AND x.w < y.w GROUP BY ALL HAVING n >= 2), m AS (SELECT w, count(*) AS lines FROM d GROUP BY w), s AS (SELECT a, b, n, n / sqrt(p.lines::DOUBLE * q.lines) AS score FROM e JOIN m p ON p.w = a JOIN m q ON q.w = b)"
 _TOP = _PAIRS + ", u AS (SELECT a, b, a AS me, b AS you, score FROM s UNION ALL SELECT a, b, b, a, score FROM s), top AS (SELECT DISTINCT a, b, score FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY me ORDER BY score DESC, you DESC) <= 6))"
 
 
@@ -343,6 +435,30 @@ def topk_edges(s, d):
     return _top_edges(s, d).select("a", "b")
 
 
+@query(f"WITH {_TOP}, r AS (SELECT top.a, top.b, x.line FROM top JOIN d x ON x.w = top.a JOIN d y ON y.w = top.b AND y.line = x.line), o AS (SELECT r.*, row_number() OVER (PARTITION BY a, b ORDER BY abs(length(o_orderpriority) - 6), line) AS rn, count(*) OVER (PARTITION BY a, b) AS n FROM r JOIN orders ON o_orderkey = line) SELECT a, b, n, string_agg(line::VARCHAR, ',' ORDER BY rn) AS refs FROM o WHERE rn <= 20 GROUP BY ALL")
+def edge_refs(s, d):
+    """Each edge with its first 20 lines, those of fitting length first, and the number of all."""
+    items = _items(s, d).select(F.col("l_orderkey").alias("line"), "word").distinct()
+    lines_of = load(s, d, "orders").select(F.col("o_orderkey").alias("line"), F.abs(F.length("o_orderpriority") - 6).alias("off"))
+    x = items.join(lines_of, "line")
+    edges = _top_edges(s, d).select("a", "b")
+    refs = edges.join(x.withColumnRenamed("word", "a"), "a").join(items.withColumnRenamed("word", "b"), ["b", "line"])
+    w = Window.partitionBy("a", "b").orderBy("off", "line")
+    n = refs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    top = refs.withColumn("rn", F.row_number().over(w)).where("rn <= 20").groupBy("a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda r: r["line"].cast("string")), ",").alias("refs"))
+    return top.join(n, ["a", "b"]).select("a", "b", "n", "refs")
+
+
+@query(f"WITH {_PAIRS}, nd AS (SELECT d.w, count(*) AS n, list(DISTINCT o_orderpriority) AS kinds, min(o_orderdate)::DATE::VARCHAR AS fa FROM d JOIN orders ON o_orderkey = line GROUP BY d.w) SELECT w AS id, n, CASE WHEN len(kinds) = 1 THEN kinds[1] ELSE 'both' END AS band, fa, p_name AS name FROM nd JOIN part ON p_partkey = w")
+def graph_nodes(s, d):
+    """Nodes with how many lines hold them, their one kind or both, their first day and name."""
+    items = _items(s, d).select(F.col("l_orderkey").alias("o_orderkey"), F.col("word").alias("id")).distinct()
+    by = items.join(load(s, d, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day")), "o_orderkey").groupBy("id")
+    x = by.agg(F.count("*").alias("n"), F.min("o_orderpriority").alias("lo"), F.max("o_orderpriority").alias("hi"), F.min("day").cast("string").alias("fa"))
+    names = load(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return x.join(names, "id").select("id", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("both").alias("band"), "fa", "name")
+
+
 @query(f"WITH {_TOKENS}, x AS (SELECT DISTINCT doc_id, line_idx, lemma FROM t WHERE lemma IN ('the', 'and')) SELECT count(*) AS n FROM x a JOIN x b USING (doc_id, line_idx) WHERE a.lemma = 'the' AND b.lemma = 'and'")
 def self_join_cooccur(s, d):
     x = _tok(s, d).where(F.col("lemma").isin("the", "and")).select("doc_id", "line_idx", "lemma").distinct()
@@ -359,14 +475,37 @@ def communities(s, d):
     return top_groups(louvain(_top_edges(s, d), resolution=0.45))
 
 
+@query(f"WITH {_TOP} SELECT (SELECT count(DISTINCT me) FROM u JOIN top USING (a, b)) AS nodes, true AS each_once, true AS within_components, true AS better_than_components, true AS groups_in_order")
+def communities_hold(s, d):
+    """What must hold of any right answer: a label for each node, no community across components, modularity not under that of the components, groups by size."""
+    edges = graph.written(_top_edges(s, d), "edges")
+    found = graph.written(louvain(edges, resolution=0.45), "communities")
+    comps = graph.written(graph.components(edges), "components")
+    arcs = edges.selectExpr("a", "b", "score AS w").unionByName(edges.selectExpr("b AS a", "a AS b", "score AS w"))
+    q = [modularity(arcs, x, 0.45) for x in (found, comps.withColumnRenamed("comp", "comm"))]
+    across = found.join(comps, "node").groupBy("comm").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    sizes = top_groups(found).where("g >= 0").groupBy("g").agg(F.count("*").alias("n"))
+    wrong = sizes.alias("p").join(sizes.alias("q"), F.expr("p.g + 1 = q.g")).where(F.expr("p.n < q.n"))
+    nodes = found.agg(F.count("*").alias("n"), F.countDistinct("node").alias("nodes"))
+    other = comps.join(found, "node", "full_outer").agg(F.count("*").alias("both"))  # one row each
+    held = nodes.crossJoin(other).select("nodes", ((F.col("n") == F.col("nodes")) & (F.col("both") == F.col("nodes"))).alias("each_once"))
+    return held.select("nodes", "each_once", F.lit(across.isEmpty()).alias("within_components"), F.lit(q[0] >= q[1]).alias("better_than_components"), F.lit(wrong.isEmpty() and sizes.where("n < 8 OR g > 9").isEmpty()).alias("groups_in_order"))
+
+
 @query("WITH w AS (SELECT DISTINCT p_name AS w FROM part), c AS (SELECT DISTINCT w, unnest(regexp_extract_all(w, '[a-z0-9]')) AS ch FROM w), n AS (SELECT x.w AS a, y.w AS b, count(*) AS shared FROM c x JOIN c y ON x.ch = y.ch AND x.w <> y.w GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 14")
 def shared_char_relation(s, d):
     words = load(s, d, "part").select(F.col("p_name").alias("w")).distinct()
-    c = words.select("w", F.explode(F.array_distinct(F.regexp_extract_all("w", F.lit("[a-z0-9]"), 0))).alias("ch"))
-    x, y = c.select(F.col("w").alias("a"), "ch"), c.select(F.col("w").alias("b"), "ch")
-    near = x.join(y, "ch").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    w = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-    return near.withColumn("rn", F.row_number().over(w)).where("rn <= 14").drop("rn")
+    sets = words.withColumn("cs", F.array_sort(F.array_distinct(F.regexp_extract_all("w", F.lit("[a-z0-9]"), 0)))).where(F.size("cs") > 0)
+    # Words of the same letters are one class; of each only its first words can be among the best 14 of another.
+    w = Window.partitionBy("cs").orderBy("w")
+    firsts = sets.withColumn("rn", F.row_number().over(w)).where("rn <= 15").groupBy("cs").agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    c = firsts.select("cs", F.explode("cs").alias("ch"))
+    near = c.select(F.col("cs").alias("x"), "ch").join(c.select(F.col("cs").alias("y"), "ch"), "ch").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    # The best 14 others of a word are among the best 15 of its class, itself included.
+    best = near.join(firsts.select(F.col("cs").alias("y"), "ws"), "y").select("x", "shared", F.explode("ws").alias("b"))
+    best = best.withColumn("rn", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "b"))).where("rn <= 15").drop("rn")
+    pairs = sets.select(F.col("w").alias("a"), F.col("cs").alias("x")).join(best, "x").where("a <> b")
+    return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))).where("rn <= 14").select("a", "b", "shared")
 
 
 # --- time and progress ------------------------------------------------------------
@@ -395,15 +534,13 @@ def nearest_time_align(s, d):
 
 @query(f"WITH {_SERIES} SELECT a.event_id, (SELECT arg_max(b.event_id, (b.t, b.event_id)) FROM b WHERE b.user_id = a.user_id AND b.t <= a.t) AS line FROM a")
 def asof_current_line(s, d):
-    a = _events(s, d, True).select("user_id", F.col("t").alias("at"), "ord")
-    out = temporal.current_line(a.select("user_id", "at"), _events(s, d, False), "user_id")
-    return a.join(out, ["user_id", "at"]).select(F.col("ord").alias("event_id"), F.col("text").cast("long").alias("line"))
+    moments = _events(s, d, True).select("user_id", F.col("t").alias("at"), F.col("ord").alias("event_id"))
+    return temporal.current_line(moments, _events(s, d, False), "user_id").select("event_id", F.col("text").cast("long").alias("line"))
 
 
 @query("SELECT event_id, least(coalesce(lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_ms(ts), 12000), 12000)::BIGINT AS ms FROM events")
 def line_duration(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return load(s, d, "events").select("event_id", F.least(F.coalesce(F.lead(_ms()).over(w) - _ms(), F.lit(12000)), F.lit(12000)).cast("long").alias("ms"))
+    return temporal.line_durations(load(s, d, "events").select("user_id", _ms().alias("t"), "event_id"), "user_id", "event_id", 12000).select("event_id", "ms")
 
 
 @query("WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS island FROM d), c AS (SELECT user_id, island, count(*) AS n FROM g GROUP BY ALL) SELECT user_id, max(n) AS longest, count(*) AS streaks FROM c GROUP BY user_id")
@@ -457,6 +594,21 @@ def three_way_log(s, d):
     return merge.three_way_log(*counts, ["user_id", "day"], "n")
 
 
+def _reviews(s: SparkSession, d: str, types: tuple[str, ...]) -> DataFrame:
+    """A box and due day for each user and hour, of the events of some types."""
+    of = load(s, d, "events").where(F.col("event_type").isin(*types)).groupBy("user_id", F.hour("ts").alias("word"))
+    return of.agg((F.count("*") % 3).cast("int").alias("box"), F.datediff(F.to_date(F.max("ts")), F.lit("1970-01-01")).alias("due"))
+
+
+def _reviews_sql(types: tuple[str, ...]) -> str:
+    return f"SELECT user_id, hour(ts)::INT AS word, (count(*) % 3)::INT AS box, (max(ts)::DATE - DATE '1970-01-01')::INT AS due FROM events WHERE event_type IN {types} GROUP BY ALL"
+
+
+@query(f"WITH c AS ({_reviews_sql(_CLOUD)}), l AS ({_reviews_sql(_LOCAL)}), b AS ({_reviews_sql(('view',))}), k AS (SELECT user_id, word FROM c UNION SELECT user_id, word FROM l UNION SELECT user_id, word FROM b), x AS (SELECT k.*, (c.due, c.box) AS cs, (l.due, l.box) AS ls, c.user_id IS NOT NULL AS hc, l.user_id IS NOT NULL AS hl, NOT ((l.user_id IS NULL AND b.user_id IS NULL) OR (l.user_id IS NOT NULL AND b.user_id IS NOT NULL AND l.due = b.due AND l.box = b.box)) AS mine, NOT ((c.user_id IS NULL AND b.user_id IS NULL) OR (c.user_id IS NOT NULL AND b.user_id IS NOT NULL AND c.due = b.due AND c.box = b.box)) AS theirs FROM k LEFT JOIN c USING (user_id, word) LEFT JOIN l USING (user_id, word) LEFT JOIN b USING (user_id, word)), y AS (SELECT user_id, word, CASE WHEN mine AND theirs THEN CASE WHEN NOT hc THEN ls WHEN NOT hl THEN cs WHEN cs >= ls THEN cs ELSE ls END WHEN mine THEN ls ELSE cs END AS st, CASE WHEN mine AND theirs THEN hc OR hl WHEN mine THEN hl ELSE hc END AS there FROM x) SELECT user_id, word, st[2] AS box, st[1] AS due FROM y WHERE there")
+def three_way_srs(s, d):
+    return merge.three_way_srs(*(_reviews(s, d, t) for t in (_CLOUD, _LOCAL, ("view",))), ["user_id", "word"], "box", "due")
+
+
 @query(f"SELECT user_id, hour(ts)::INT AS hour, max(ts::DATE)::VARCHAR AS due FROM events WHERE event_type IN {_CLOUD + _LOCAL + _BASE} GROUP BY ALL")
 def union_merge(s, d):
     side = lambda t: load(s, d, "events").where(F.col("event_type").isin(*t)).groupBy("user_id", F.hour("ts").alias("hour")).agg(F.max(F.to_date("ts")).alias("due"))
@@ -476,11 +628,26 @@ def word_search(s, d):
     return library.search(_per_doc(s, d).groupBy("lemma").agg(F.count("*").alias("n")), "ar", ["lemma"], "n")
 
 
-@query(f"WITH {_TOKENS}{_LEXICON} SELECT lemma AS w, count(DISTINCT doc_id) AS songs, count(*) AS n FROM t WHERE lang IN ('fr', 'de') AND source IN ('src1', 'src2') AND lemma IN (SELECT word FROM lex) GROUP BY lemma")
-def scope_vocab(s, d):
-    docs = _docs(s, d).select(F.col("doc_id").alias("id"), F.col("lang").alias("band"), F.col("source").alias("album"))
+_SCOPE = "WITH {0}{1}, sc AS (SELECT doc_id FROM documents WHERE lang IN ('fr', 'de') AND source IN ('src1', 'src2'){2}) SELECT lemma AS w, count(DISTINCT doc_id) AS songs, count(*) AS n FROM t WHERE doc_id IN (SELECT doc_id FROM sc) AND (lemma IN (SELECT word FROM lex) OR (SELECT count(*) FROM sc) < 5) GROUP BY lemma"
+_FEW = " ORDER BY doc_id LIMIT 4"
+
+
+@query(_SCOPE.format(_TOKENS, _LEXICON, _FEW))
+def scope_few(s, d):
+    """Rare words count too where the scope is of fewer than 5 songs."""
+    some = _docs(s, d).where(F.col("lang").isin("fr", "de") & F.col("source").isin("src1", "src2")).orderBy("doc_id").limit(4)
+    return _scope(s, d, some)
+
+
+def _scope(s: SparkSession, d: str, docs: DataFrame) -> DataFrame:
+    songs = library.in_scope(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("band"), F.col("source").alias("album")), bands=["fr", "de"], albums=["src1", "src2"])
     occurrences = _per_doc(s, d).join(_lexicon(s, d), F.col("lemma") == F.col("word"), "left").select(F.col("lemma").alias("w"), F.col("doc_id").alias("song"), F.col("word").isNull().alias("rare"), "n")
-    return library.scope_words(occurrences, library.in_scope(docs, bands=["fr", "de"], albums=["src1", "src2"]), few=0)
+    return library.scope_words(occurrences, songs)
+
+
+@query(_SCOPE.format(_TOKENS, _LEXICON, ""))
+def scope_vocab(s, d):
+    return _scope(s, d, _docs(s, d))
 
 
 _CODES = {"src0": "a", "src1": "b", "src2": "c"}
@@ -492,6 +659,23 @@ def map_lookup(s, d):
     return _docs(s, d).select("doc_id", F.coalesce(F.try_element_at(codes, F.col("source")), F.lit("")).alias("code"))
 
 
+@query("WITH v AS (SELECT p_partkey, p_brand, p_size, p_type AS title FROM part) SELECT p_partkey, NULLIF(first_value(p_partkey) OVER (PARTITION BY p_brand, title ORDER BY p_size, p_partkey), p_partkey) AS dup_of FROM v")
+def first_versions(s, d):
+    """The first part of a brand and base title, by size and key, stands for later versions."""
+    suffix = F.when(F.col("p_partkey") % 3 == 0, " (Live Ver.)").when(F.col("p_partkey") % 3 == 1, "(demo)").otherwise("")
+    songs = load(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("band"), F.col("p_size").alias("album_ord"), F.lit(None).cast("int").alias("track"), F.concat("p_type", suffix).alias("title"))
+    return ingest.first_versions(songs).select(F.col("id").alias("p_partkey"), "dup_of")
+
+
+@query("SELECT p_partkey, p_name || '!' AS zh, p_type || ' a' AS spec, p_brand || '。' AS note, p_name || '=' || p_type || ',x=y' AS titles FROM part")
+def background_notes(s, d):
+    """What an album's notes say, from notes written for each part."""
+    text = F.concat(F.lit("intro\n# 《"), F.col("p_type"), F.lit(" (one / "), F.col("p_name"), F.lit("!)》\n- **专辑规格**： "), F.col("p_type"), F.lit(" a \n## 一、about\n\n"), F.col("p_brand"), F.lit("。More。\n\n| **1. "), F.col("p_name"), F.lit("** | **"), F.col("p_type"), F.lit(" / z** |\n| **12.x** | **y** |\n"))
+    x = ingest.background(text)
+    titles = F.array_join(F.transform(F.map_entries(x["titles"]), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return load(s, d, "part").select("p_partkey", x["zh"].alias("zh"), x["spec"].alias("spec"), x["note"].alias("note"), titles.alias("titles"))
+
+
 @query("SELECT p_partkey, p_name AS title FROM part")
 def base_titles(s, d):
     return load(s, d, "part").select("p_partkey", base_title(F.concat("p_name", F.lit(" (Live Ver.)"))).alias("title"))

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import os
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.sequence import regex_spans
+
 #: The built-in tokenizer back-end: runs of letters.
 LETTERS = r"\p{L}+"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that has fewer splits than there are cores, as all is in one row group, say, is dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in _SPREAD and df.rdd.getNumPartitions() < cores else df
+
+
+#: Tables whose rows are long, or give many rows.
+_SPREAD = ("documents", "pages", "conversations")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local master without it gets one of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
+    return at.rstrip("/")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -23,16 +45,16 @@ def tokens(text_lines: DataFrame) -> DataFrame:
     return text_lines.select("doc_id", "source", "lang", "line_idx", F.posexplode(F.regexp_extract_all("line", F.lit(LETTERS), 0)).alias("pos", "surface")).withColumn("lemma", F.lower("surface"))
 
 
+def token_array(line: Column) -> Column:
+    """The letter runs of a line: array of surface, lemma, c_start and c_end (half-open, in code points)."""
+    spans = regex_spans(line, LETTERS)
+    words = F.regexp_extract_all(line, F.lit(LETTERS), 0)
+    return F.zip_with(words, spans, lambda w, x: F.struct(w.alias("surface"), F.lower(w).alias("lemma"), x["s"].cast("long").alias("c_start"), x["e"].cast("long").alias("c_end")))
+
+
 def placed_tokens(text_lines: DataFrame) -> DataFrame:
-    """tokens with c_start and c_end, half-open, in code points of the line.
-
-    The text between tokens is split off too; running sums of both lengths give places.
-    """
-    both = F.arrays_zip(F.split("line", LETTERS, -1).alias("gap"), F.regexp_extract_all("line", F.lit(LETTERS), 0).alias("word"))
-    rows = text_lines.select("doc_id", "source", "lang", "line_idx", "line", F.posexplode(both).alias("pos", "x")).select("*", "x.gap", "x.word").drop("x")
-    w = Window.partitionBy("doc_id", "line_idx").orderBy("pos")
-    end = F.sum(F.length("gap") + F.length(F.coalesce("word", F.lit("")))).over(w)
-    return rows.withColumn("c_end", end.cast("long")).where("word IS NOT NULL").withColumn("c_start", F.col("c_end") - F.length("word")).withColumn("lemma", F.lower("word")).withColumnRenamed("word", "surface").drop("gap")
+    """tokens with c_start and c_end; places are summed within the line's array, without a shuffle."""
+    return text_lines.select("doc_id", "source", "lang", "line_idx", F.posexplode(token_array(F.col("line"))).alias("pos", "x")).select("doc_id", "source", "lang", "line_idx", "pos", "x.*")
 
 
 def counted(docs: DataFrame) -> DataFrame:

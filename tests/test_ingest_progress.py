@@ -9,7 +9,7 @@ def test_names(spark):
     one = lambda f, x: spark.createDataFrame([(x,)], "x string").select(f(F.col("x")).alias("y")).first().y
     assert tuple(one(album_dir, "[single] A title (2019.04)")) == ("single", "A title", "2019.04")
     assert tuple(one(track_file, "03.a.b.ja.lrc")) == (3, "a.b", "ja") and one(track_file, "cover.jpg") is None
-    assert one(credit, "[ti:x]\n[by: me ]\n[from:you]") == "me" and one(credit, "none") == ""
+    assert tuple(one(credit, "[ti:x]\n[by: m]e\u3000]\n[from:you] \n[by:x]")) == ("m]e", "you") and tuple(one(credit, "none")) == ("", "")
     with pytest.raises(Exception, match="not an album"):
         one(album_dir, "misc")
 
