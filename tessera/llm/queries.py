@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.decontaminate import contained_items
@@ -12,7 +13,7 @@ from tessera.llm.html_extract import extract_pages
 from tessera.llm.importance import resample
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.line_dedup import line_digest
-from tessera.llm.quality import quality_rules
+from tessera.llm.quality import Limits, quality_rules
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.segment import sample_segmentations
 from tessera.llm.suffix_dedup import suffix_dedup
@@ -20,7 +21,10 @@ from tessera.llm.warc import round_trip
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    limits = Limits()
+    found = quality_rules(table(spark, sf_dir, "documents"), limits)
+    shares = [F.get("dup_ngram_chars", F.lit(i)).alias(f"dup_chars_{k}") for i, (k, _) in enumerate(limits.dup_ngram_chars)]
+    return found.select(*(c for c in found.columns if c not in ("dup_ngram_chars", "base_failed", "kept")), *shares, "base_failed", "kept")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +65,47 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_warc_salvage, op6_sentencepiece_sampling, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup)}
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _secret_sql() -> str:
+    """Spans of each kind by what stands between its matches; a match of `assign` counts by its second group."""
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+    kinds = [("assign", f"(?i){assign}", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+    more = [("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?-----END [A-Z ]*PRIVATE KEY-----)?"), ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), ("forge", r"\bgh[pousr]_[A-Za-z0-9]{36,}"), ("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), ("cloud", r"\bAIza[A-Za-z0-9_-]{35}")]
+    kinds += [(k, rule, 0, 0) for k, rule in more]
+    found = " UNION ALL ".join(f"SELECT r, {i} AS k, '{k}' AS kind, regexp_extract_all(t, '{rule}') AS ms, regexp_split_to_array(t, '{rule}') AS gs, regexp_extract_all(t, '{rule}', {group}) AS xs, {least} AS least FROM d" for i, (k, rule, group, least) in enumerate(kinds))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+m AS (SELECT r, k, kind, i, len(gs[i]) AS gap, len(ms[i]) AS size, len(xs[i]) >= least AS ok FROM f, range(1, len(ms) + 1) x(i)),
+s AS (SELECT r, k, kind, ok, (sum(gap + size) OVER (PARTITION BY r, k ORDER BY i))::BIGINT AS e, size FROM m),
+g AS (SELECT r, k, e - size AS s, kind || ':' || (e - size) || ':' || e AS said FROM s WHERE ok)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY s, k), '') AS spans
+FROM d LEFT JOIN g USING (r) GROUP BY d.r, d.doc_id"""
+
+
 SQL: dict[str, str] = {
+    "op1_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+p AS (SELECT r, i, len(ws[i]) AS n FROM d, range(1, len(ws) + 1) x(i)),
+g AS (SELECT r, k, i, hash(ws[i:i + k - 1]) AS g FROM d, (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS k), range(1, len(ws) - k + 2) x(i)),
+again AS (SELECT r, k, i FROM (SELECT *, count(*) OVER (PARTITION BY r, k, g) AS c, row_number() OVER (PARTITION BY r, k, g ORDER BY i) AS rn FROM g) WHERE c > 1 AND (k = 3 OR rn > 1)),
+covered AS (SELECT DISTINCT r, k, i + j AS i FROM again, range(0, k) x(j)),
+shares AS (SELECT r, k, count(*) AS words, sum(n) AS chars FROM covered JOIN p USING (r, i) GROUP BY r, k),
+l AS (SELECT r, i, line, list_sum([len(w) FOR w IN regexp_extract_all(line, '{_WORD}')]) AS n FROM (SELECT r, i, string_split(t, chr(10))[i] AS line FROM d, range(1, len(string_split(t, chr(10))) + 1) x(i)) WHERE regexp_matches(line, '{_WORD}')),
+ll AS (SELECT r, count(*) AS n_lines, count(*) FILTER (rn > 1) AS n_dup_lines, sum(n) FILTER (rn > 1) AS dup_line_chars FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY i) AS rn FROM l) GROUP BY r),
+s AS (SELECT r, {", ".join(f"max(chars) FILTER (k = {k}) AS dup_chars_{k}" for k in (5, 6, 7, 8, 9, 10))}, max(words) FILTER (k = 3) AS n_repeat_words FROM shares GROUP BY r),
+x AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum([len(w) FOR w IN ws]), 0)::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, {", ".join(f"coalesce(dup_chars_{k}, 0)::BIGINT AS dup_chars_{k}" for k in (5, 6, 7, 8, 9, 10))},
+    coalesce(n_lines, 0) AS n_lines, len(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, len(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
+  FROM d LEFT JOIN ll USING (r) LEFT JOIN s USING (r)
+), y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
+SELECT * EXCLUDE (n_lines, upper, letters), NOT base_failed AND NOT (n_dup_lines > 0.3::DOUBLE * n_lines OR dup_line_chars > 0.2::DOUBLE * word_chars OR n_symbols > 0.1::DOUBLE * n_words OR upper > 0.6::DOUBLE * letters OR greatest({", ".join(f"dup_chars_{k}" for k in (5, 6, 7, 8, 9, 10))}) > 0.2::DOUBLE * word_chars) AS kept
+FROM y""",
+    "op7_secret_scan": _secret_sql(),
     "op2_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
