@@ -20,10 +20,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IS_SPACE, chunks, materialize, over_arrow, shingles, text_bytes, unique_per_row, word_hashes, word_spans
+from tessera.llm.common import IS_SPACE, chunks, over_arrow, shingles, text_bytes, unique_per_row, word_hashes, word_spans
 
 SHINGLE_WORDS = 5
 CONTAINMENT_PERCENT = 80
@@ -48,8 +49,8 @@ def _shingled(text: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np
 class _Index:
     """The sketches and shingles of one slice of the items."""
 
-    def __init__(self, items: list[tuple[int, str]], percent: int) -> None:
-        ids = np.array([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | None, str]], percent: int) -> None:
+        ids = [i for i, _ in items]
         texts = pa.array([t for _, t in items], pa.large_string())
         n_words = np.concatenate([n for *_, n, _ in _shingled(texts, SHINGLE_WORDS)] or [np.zeros(0, np.int64)])
         self.by_length = {}
@@ -73,7 +74,7 @@ class _Index:
                 mine = part[at[keep][order]] == p
                 sketches.append((int(need[part == p].min()), h[keep][order][mine], at[keep][order][mine]))
             self.by_length[k] = (ids, h, first, sizes, need, sketches)
-        self.texts = texts
+        self.texts, self.ids = texts, ids
 
     def words(self, item: int, k: int) -> set[bytes]:
         if not hasattr(self, "spelled"):
@@ -85,11 +86,11 @@ class _Index:
         return self.spelled[item, k]
 
 
-def _search(b: pa.RecordBatch, index: _Index) -> Iterator[pa.RecordBatch]:
-    doc_id = b.column("doc_id")
+def _matches(text: pa.Array, index: _Index) -> list[tuple[int, int, int, int]]:
+    """(row, item's place, its shingles, shared ones) of every text that contains an item, by row and item."""
     found: list[tuple[int, int, int, int]] = []
-    for k, (ids, _, _, sizes, need, sketches) in index.by_length.items():
-        for i, j, h, at, n_words, (data, starts, ends, _) in _shingled(b.column("text"), k):
+    for k, (_, _, _, sizes, need, sketches) in index.by_length.items():
+        for i, j, h, at, n_words, (data, starts, ends, _) in _shingled(text, k):
             room = np.maximum(n_words - k + 1, 0)  # at least as many as distinct shingles
             pairs = set()
             for least, values, owners in sketches:
@@ -106,42 +107,57 @@ def _search(b: pa.RecordBatch, index: _Index) -> Iterator[pa.RecordBatch]:
                     spelled = {row: {b" ".join(w[x : x + k]) for x in range(len(w) - k + 1)}}
                 shared = len(index.words(item, k) & spelled[row])
                 if shared >= need[item]:
-                    found.append((i + row, int(ids[item]), int(sizes[item]), shared))
-    if found:
-        at, *rest = (np.array(x) for x in zip(*sorted(found), strict=True))
-        yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(at)), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "item_id", "n_item_shingles", "n_shared"])
+                    found.append((i + row, item, int(sizes[item]), shared))
+    return sorted(found)
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
-    """(doc_id, item_id, n_item_shingles, n_shared): documents with percent of an item's distinct shingles, or more.
-
-    Shingles are five words of the lower-cased text, without ASCII punctuation; an item
-    of fewer words is one shingle of all its words. Items without words, and null or
-    empty texts on either side, are in no pair. Repeated items and repeated documents
-    each give their own rows. An empty table gives none. No column but the two ids and
-    texts is read, so that clashing names don't matter.
-    """
-    spark = docs.sparkSession
-    found = []
-    held: list[tuple[int, str]] = []
-    size = 0
+def _search(b: pa.RecordBatch, index: _Index) -> Iterator[pa.RecordBatch]:
+    if found := _matches(b.column("text"), index):
+        at, items, *rest = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array([index.ids[x] for x in items], pa.int64()), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "item_id", "n_item_shingles", "n_shared"])
 
-    def search() -> None:
-        shared = spark.sparkContext.broadcast(_Index(held, percent))
-        found.append(over_arrow(docs.select("doc_id", "text"), lambda b: _search(b, shared.value), SCHEMA))
 
+def _slices(benchmark: DataFrame, percent: int) -> Iterator[Broadcast]:
+    """The items, indexed and broadcast in slices of bounded size; one slice at least."""
+    spark = benchmark.sparkSession
+    held: list[tuple[int | None, str]] = []
+    size, sent = 0, False
     for row in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         held.append((row.item_id, row.text))
         size += len(row.text) // 2 + 1
         if size > SLICE_SHINGLES:
-            search()
-            held, size = [], 0
-    if held or not found:
-        search()
+            yield spark.sparkContext.broadcast(_Index(held, percent))
+            held, size, sent = [], 0, True
+    if held or not sent:
+        yield spark.sparkContext.broadcast(_Index(held, percent))
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
+    """(doc_id, item_id, n_item_shingles, n_shared): documents with percent of an item's distinct shingles, or more.
+
+    Shingles are five words of the lower-cased text, without ASCII punctuation; an item
+    of fewer words is one shingle of all its words. Items without words, and null or
+    empty texts on either side, are in no pair; null ids are handed on. Repeated items and
+    repeated documents each give their own rows. An empty table gives none. No column but
+    the two ids and texts is read, so that clashing names don't matter.
+    """
+    found = [over_arrow(docs.select("doc_id", "text"), lambda b, shared=shared: _search(b, shared.value), SCHEMA) for shared in _slices(benchmark, percent)]
     return reduce(DataFrame.unionAll, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
-    """The documents that contain no item; other columns stay as they are."""
-    leaks = materialize(contained_items(docs, benchmark, percent).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"] == leaks["__leak"], "left_anti")
+    """The rows of docs whose text contains no item, judged row by row, whatever their doc_id; all columns stay as they are.
+
+    Null and empty texts stay, repeated rows go or stay alike, an empty table of either
+    kind takes nothing away.
+    """
+    schema = docs.schema
+    for shared in _slices(benchmark, percent):
+
+        def clean(b: pa.RecordBatch, shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            keep = np.ones(b.num_rows, bool)
+            keep[[row for row, *_ in _matches(b.column("text"), shared.value)]] = False
+            yield b.filter(pa.array(keep))
+
+        docs = over_arrow(docs, clean, schema)
+    return docs
