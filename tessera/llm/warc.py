@@ -28,6 +28,8 @@ ROLL_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of a member that are unpacked at a time; a record that has come whole is not held on to.
+PIECE_BYTES = 1 << 16
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MANIFEST = "path string, n_records long, n_bytes long"
@@ -139,19 +141,54 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     }, start + n + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member that starts at `at` and where it ends; the input goes in pieces."""
-    z, out, x = zlib.decompressobj(31), [], at
+def _inflate(data: bytes, at: int) -> Iterator[bytes | tuple[int, str]]:
+    """What the member that starts at `at` unpacks to, in pieces, up to where it is damaged; last, where it ends and what is wrong with it, if anything."""
+    z, x, left = zlib.decompressobj(31), at, b""
     view = memoryview(data)
     try:
-        while not z.eof and x < len(data):
-            out.append(z.decompress(view[x : x + 65536]))
-            x += 65536
+        while not z.eof and (left or x < len(data)):
+            if not left:
+                left, x = bytes(view[x : x + PIECE_BYTES]), x + PIECE_BYTES
+            piece = z.decompress(left, 16 * PIECE_BYTES)
+            left = z.unconsumed_tail
+            if piece:
+                yield piece
     except zlib.error as e:
-        raise ValueError(f"bad member: {e}") from None
-    if not z.eof:
-        raise ValueError("member cut short")
-    return b"".join(out), min(x, len(data)) - len(z.unused_data)
+        yield at, f"bad member: {e}"
+        return
+    yield min(x, len(data)) - len(z.unused_data), "" if z.eof else "member cut short"
+
+
+def _whole(text: bytes) -> bool:
+    """Whether text holds all of the record that it starts with, as far as its header says."""
+    end = text.find(b"\r\n\r\n")
+    length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", text[: end + 2]) if end >= 0 else None
+    return length is not None and len(text) >= end + 8 + int(length[1])
+
+
+def _member_records(data: bytes, at: int) -> Iterator[dict | tuple[int, str]]:
+    """Records of the member at `at`, as they unpack; last, where it ends and what is wrong in it, if anything."""
+    held, end, wrong = b"", at, ""
+    broken = False  # what follows a bad record is looked through at the end
+    for piece in _inflate(data, at):
+        if isinstance(piece, tuple):
+            end, wrong = piece
+            break
+        held += piece
+        while not broken and _whole(held):
+            try:
+                record, used = parse_record(held)
+            except ValueError:
+                broken = True
+                break
+            yield record
+            held = held[used:]
+    for r in _records(held):
+        if isinstance(r, dict):
+            yield r
+        else:
+            wrong = wrong or r[2]
+    yield end, wrong
 
 
 def _records(text: bytes) -> Iterator[dict | tuple[int, int, str]]:
@@ -174,34 +211,32 @@ def _records(text: bytes) -> Iterator[dict | tuple[int, int, str]]:
 
 
 def salvage(data: bytes) -> Iterator[dict | tuple[int, int, str]]:
-    """Every record of an archive, gzip by member or plain, and a gap for all bytes that are in none."""
+    """Every record of an archive, gzip by member or plain, and a gap for all bytes that are in none.
+
+    The records before the damage in a member are given too; its gap is the whole member, up
+    to the next one.
+    """
     if not data.startswith(_MAGIC) and (_VERSION.search(data) or _MAGIC not in data):
         yield from _records(data)
         return
     at = 0
     while at < len(data):
-        try:
-            text, end = _inflate(data, at)
-            found = list(_records(text))
-            if any(isinstance(r, tuple) for r in found):
-                reason = next(r[2] for r in found if isinstance(r, tuple))
-                yield from (r for r in found if isinstance(r, dict))
-                yield at, end, reason
+        for r in _member_records(data, at):
+            if isinstance(r, dict):
+                yield r
             else:
-                yield from found
-            at = end
-        except ValueError as e:
-            start, at = at, len(data)
-            x = data.find(_MAGIC, start + 1)
+                end, wrong = r
+        if end == at:  # damaged: on to the next member that starts with a record
+            end, x = len(data), data.find(_MAGIC, at + 1)
             while x >= 0:
-                try:
-                    if _VERSION.match(_inflate(data, x)[0]):
-                        at = x
-                        break
-                except ValueError:
-                    pass
+                first = next(_inflate(data, x))
+                if isinstance(first, bytes) and _VERSION.match(first):
+                    end = x
+                    break
                 x = data.find(_MAGIC, x + 1)
-            yield start, at, str(e)
+        if wrong:
+            yield at, end, wrong
+        at = end
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
