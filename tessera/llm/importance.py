@@ -2,13 +2,15 @@
 
 Two generative models of hashed n-grams are counted, one over the target (documents
 labelled good) and one over the whole raw corpus. A document's log importance weight is
-the ratio of the models over its n-grams, for two families: words without case and ASCII
-punctuation, where only ratios beyond chance count against it, and raw words with pairs
-of adjacent ones. Each family's weight is measured from the place under which held-out good
-documents hardly ever fall, so that 0 parts what looks like the target from what
-doesn't; the lesser of the two is the document's weight. Gumbel noise from the row's key
-is added, and the k documents with the largest sums are kept, where k is the number of
-weights at or over 0 in this very corpus.
+the sum of log(p / q) over its n-grams, for two families: words without case and ASCII
+punctuation, where ratios within chance count as 1, and raw words with pairs of adjacent
+ones. As the raw corpus is mostly good itself, each family's p is tilted by a constant an
+n-gram, placed where held-out good documents hardly ever weigh less than nothing. The
+lesser of the two weights is the document's, in nats. Standard Gumbel noise from the
+row's key is added, and the k documents with the largest sums are kept: a sample without
+replacement by weight, where k is the number of weights at or over 0 in this very corpus.
+Documents whose weight is far from the last place's stay or go for sure, short ones and
+odd ones by chance.
 """
 
 from __future__ import annotations
@@ -35,9 +37,9 @@ class Settings:
     bits: int = 18  # words have 2**bits buckets, raw words and pairs as many each; the models' size is fixed by this alone
     max_labelled: int = 200_000  # labelled rows used at most, least hashes of doc_id first; they are broadcast
     chance: float = 4.0  # a word's ratio counts from so many standard deviations
-    prior: float = 0.2  # share of the raw model mixed into the target's raw words and pairs
+    prior: float = 0.5  # added to the target's counts, and to those that the raw model expects
+    extra: int = 50  # n-grams of ratio 1 that every document is taken to have besides: short ones are judged less by their few
     good_below: float = 0.005  # share of held-out good documents under a family's zero
-    sharpness: float = 20.0  # weights are multiplied by this before standard Gumbel noise is added
     seed: int = 9
 
 
@@ -73,41 +75,43 @@ def _count(batches: Iterator[pa.RecordBatch], target: np.ndarray, bits: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(raw[part]), pa.array(good[part])], ["at", "raw", "good"])
 
 
-def _score(text: pa.Array, weights: list[np.ndarray], bits: int) -> np.ndarray:
-    """Each document's weight in both families; NaN without words."""
-    out = np.full((len(text), 2), np.nan)
-    for i, j, (w_at, w_rows), (p_at, p_rows) in _features(text, bits):
-        n = j - i
-        n_words, n_grams = np.bincount(w_rows, minlength=n), np.bincount(p_rows, minlength=n)
-        out[i:j, 0] = np.where(n_words > 0, np.bincount(w_rows, weights[0][w_at], minlength=n) / (n_words + 20), np.nan)
-        out[i:j, 1] = np.where(n_grams > 0, np.bincount(p_rows, weights[1][p_at], minlength=n) / (n_grams + 1), np.nan)
+def _score(text: pa.Array, weights: list[np.ndarray], settings: Settings) -> np.ndarray:
+    """Each document's mean log ratio in both families, with the extra n-grams, and its numbers of n-grams with them; NaN without words."""
+    out = np.full((len(text), 4), np.nan)
+    for i, j, *families in _features(text, settings.bits):
+        for k, (at, rows) in enumerate(families):
+            n = np.bincount(rows, minlength=j - i)
+            out[i:j, 2 + k] = np.where(n > 0, n + settings.extra, np.nan)
+            out[i:j, k] = np.bincount(rows, weights[k][at], minlength=j - i) / out[i:j, 2 + k]
     return out
 
 
+_PARTS_OF = ("words", "grams", "n_words", "n_grams")
+
+
 @dataclass
 class Model:
     weights: Broadcast
     zeros: tuple[float, float]
-    scales: tuple[float, float]
     settings: Settings
 
-    def key(self, doc_id: Column, words: Column, grams: Column) -> tuple[Column, Column]:
+    def key(self, doc_id: Column, means: list[Column], sizes: list[Column]) -> tuple[Column, Column]:
         """(weight, weight with noise); without words both are null."""
-        w = F.least(*((x - z) / s for x, z, s in zip((words, grams), self.zeros, self.scales, strict=True)))
+        w = F.least(*((x - z) * n for x, n, z in zip(means, sizes, self.zeros, strict=True)))
         u = (F.pmod(F.xxhash64(F.lit(self.settings.seed), doc_id), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-        return w, w * self.settings.sharpness - F.log(-F.log(u))
+        return w, w - F.log(-F.log(u))
 
 
-def _scores(docs: DataFrame, weights: Broadcast, bits: int) -> DataFrame:
+def _scores(docs: DataFrame, weights: Broadcast, settings: Settings) -> DataFrame:
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        s = _score(b.column("text"), weights.value, bits)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(s[:, k], from_pandas=True) for k in (0, 1))], ["doc_id", "words", "grams"])
+        s = _score(b.column("text"), weights.value, settings)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(s[:, k], from_pandas=True) for k in range(4))], ["doc_id", *_PARTS_OF])
 
-    return over_arrow(docs.select("doc_id", "text"), run, "doc_id long, words double, grams double")
+    return over_arrow(docs.select("doc_id", "text"), run, "doc_id long, " + ", ".join(f"{c} double" for c in _PARTS_OF))
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame]:
-    """The model, and the table (doc_id, words, grams) of every document's weights by family.
+    """The model, and the table (doc_id, words, grams, n_words, n_grams) of every document's mean log ratios by family, and numbers of n-grams.
 
     Half of the labelled good documents make the target model, the other half places the
     zeros. Without labelled good documents the raw corpus is its own target: all is kept.
@@ -130,24 +134,21 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         r, h = raw[own], hit[own]
         if h.sum():
             expected = r / r.sum() * h.sum()
+            w = np.log((h + settings.prior) / (expected + settings.prior))
             if k == 0:
-                w = np.minimum(np.log((h + 0.5) / (expected + 0.5)), 0)
                 w[np.abs(h - expected) < settings.chance * np.sqrt(expected)] = 0
-            else:
-                w = np.log((h + settings.prior * expected + 1e-9) / ((1 + settings.prior) * np.maximum(expected, 1e-12)))
             w[r == 0] = 0
             weights[k] = w
     shared = sc.broadcast(weights)
-    scores = materialize(_scores(docs, shared, bits), "weights")
+    scores = materialize(_scores(docs, shared, settings), "weights")
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(np.isin(b.column("doc_id").to_numpy(zero_copy_only=False), held_out.value)))
 
-    low = scores.mapInArrow(mine, scores.schema).agg(*(F.percentile_approx(c, [settings.good_below, 0.5], 20000).alias(c) for c in ("words", "grams"))).first()
-    zeros = tuple(low[c][0] if low[c] else -1e300 for c in ("words", "grams"))
-    scales = tuple(max(low[c][1] - low[c][0], 1e-6) if low[c] else 1.0 for c in ("words", "grams"))
-    return Model(shared, zeros, scales, settings), scores
+    low = scores.mapInArrow(mine, scores.schema).agg(*(F.percentile_approx(c, settings.good_below, 20000).alias(c) for c in ("words", "grams"))).first()
+    zeros = tuple(low[c] if low[c] is not None else -1e300 for c in ("words", "grams"))
+    return Model(shared, zeros, settings), scores
 
 
 def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096) -> float:
@@ -181,23 +182,28 @@ def resample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
 
 def _cut(model: Model, scores: DataFrame) -> tuple[DataFrame, float]:
-    w, p = model.key(F.col("doc_id"), F.col("words"), F.col("grams"))
+    w, p = model.key(F.col("doc_id"), [F.col("words"), F.col("grams")], [F.col("n_words"), F.col("n_grams")])
     keyed = scores.select("doc_id", w.alias("log_weight"), p.alias("perturbed"))
     k = keyed.where("log_weight >= 0").count()
     return keyed, kth_largest(keyed.where("perturbed IS NOT NULL"), "perturbed", k) if k else float("inf")
 
 
 def keep_resampled(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs that resample() keeps, with all their columns; no text is shuffled."""
+    """The rows of docs that resample() keeps, with all their columns; no text is shuffled.
+
+    Null, empty and repeated rows, rows with a null doc_id (one key for all of them) and
+    empty tables are as in resample().
+    """
     model, scores = fit(docs, labels, settings)
     _, last = _cut(model, scores)
-    weights, bits, schema = model.weights, settings.bits, docs.schema
-    names = [unused(docs, "__words"), unused(docs, "__grams")]
+    weights, schema = model.weights, docs.schema
+    names = [unused(docs, f"__{c}") for c in _PARTS_OF]
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        s = _score(b.column("text"), weights.value, bits)
-        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(s[:, k], from_pandas=True) for k in (0, 1))], [*b.schema.names, *names])
+        s = _score(b.column("text"), weights.value, settings)
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(s[:, k], from_pandas=True) for k in range(4))], [*b.schema.names, *names])
 
     wide = over_arrow(docs, run, StructType([*schema.fields, *(StructField(c, DoubleType()) for c in names)]))
-    _, p = model.key(F.col("doc_id"), *map(F.col, names))
+    cols = [F.col(c) for c in names]
+    _, p = model.key(F.col("doc_id"), cols[:2], cols[2:])
     return wide.where(p >= last).drop(*names)
