@@ -24,8 +24,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier in the corpus, or nearly, go; so do documents that lose their last word with them."""
-    left = dedup_lines(docs, short_copies=True)
-    return left.where(F.col(left.columns[-1]).isNull() | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = dedup_lines(docs)
+    left = left.where(F.col(left.columns[-1]).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain 80 % of a benchmark item's five-word shingles go."""
+    """Rows whose text contains 80 % of a benchmark item's five-word shingles go."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -55,6 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the whole documents table; each stage is written and read again.
+
+    Null texts, empty ones and those without words go in the first stage. Rows with a null
+    doc_id are scored, decontaminated and encoded like others, but share no lines or
+    shingles with any. Rows that repeat a doc_id and text go or stay together. Further
+    columns are handed on as far as the last stage, whatever they are called. An empty
+    table gives no rows, and empty labels keep all that has words.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
