@@ -1,10 +1,11 @@
 """Secret scans with an incremental blob ledger.
 
-A document's text is a blob, named by its SHA-256; a table of documents is one version
-of the paths (doc_id) that hold blobs. The ledger keeps the findings of every blob and
-rule version that was ever scanned, with an empty list for clean ones. A scan looks only
-at blobs that the ledger lacks under the present rule version, one copy of each, and the
-findings are joined back to all paths.
+A text is a blob, named by its SHA-256; a history is a table of versions, each of which
+holds blobs at paths (doc_id). The ledger keeps the findings of every blob and rule
+version that was ever scanned, with an empty list for clean ones. A scan looks only at
+blobs of the history that the ledger lacks under the present rule version, one copy of
+each, and the findings are joined back to all versions and paths. A table of documents
+is a history of one version.
 """
 
 from __future__ import annotations
@@ -57,26 +58,40 @@ def _scan(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([b.column("sha"), pa.array([RULES_VERSION] * len(found), pa.int32()), pa.array(found, kind)], ["sha", "rules", "spans"])
 
 
-def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(paths, new): (doc_id, path, sha) of every row, where path is doc_id or the least long for null, and the ledger rows of blobs that the ledger lacks.
+def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(paths, new): (version, doc_id, path, sha) of every row, where path is doc_id or the least long for null, and the ledger rows of blobs that the ledger lacks.
 
-    Append `new` to the ledger; findings() joins both back to the paths.
+    `version` names the column (long) that parts a history's versions; without it all is
+    version 0. Append `new` to the ledger; findings() joins both back to the paths.
     """
-    named = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    paths = materialize(named.select("doc_id", "path", "sha"), "paths")
-    blobs = paths.groupBy("sha").agg(F.min("path").alias("path"))  # one path for each blob, by partial aggregates
+    at = F.lit(0) if version is None else F.coalesce(version, F.lit(-1))
+    named = docs.select(at.cast("long").alias("version"), "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
+    paths = materialize(named.select("version", "doc_id", "path", "sha"), "paths")
+    # One version and path for each blob, by partial aggregates.
+    blobs = paths.groupBy("sha").agg(F.min("path").alias("path")) if version is None else paths.groupBy("sha").agg(F.min(F.struct("version", "path")).alias("x")).select("sha", "x.*")
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rules") == RULES_VERSION).select("sha"), "sha", "left_anti")
     # The texts are shuffled once and not sorted; the ids are the build side of each partition.
-    todo = named.join(blobs.hint("shuffle_hash"), ["path", "sha"]).select("sha", "text")
+    todo = named.join(blobs.hint("shuffle_hash"), ["path", "sha"] if version is None else ["version", "path", "sha"]).select("sha", "text")
     return paths, materialize(over_arrow(todo, _scan, LEDGER).groupBy("sha", "rules").agg(F.max("spans").alias("spans")), "ledger")
 
 
 def findings(paths: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(doc_id, spans) for every path; clean blobs give an empty list."""
+    """(version, doc_id, spans) for every version and path; clean blobs give an empty list."""
     hits = ledger.where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).select("sha", "spans")
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")
-    return paths.join(hits, "sha", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    return paths.join(hits, "sha", "left").select("version", "doc_id", F.coalesce("spans", none).alias("spans"))
+
+
+def scan_history(history: DataFrame, ledger: DataFrame | None = None, version: str = "version") -> tuple[DataFrame, DataFrame]:
+    """(found, ledger): findings (version, doc_id, spans) of every row of a history, and the ledger with what was new.
+
+    Versions may come in one table or a few at a time: what an earlier call has scanned
+    isn't scanned again.
+    """
+    paths, new = scan_unseen(history, ledger, version)
+    known = new if ledger is None else ledger.select(*new.columns).unionAll(new)
+    return findings(paths, known), known
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
