@@ -3,7 +3,6 @@
 import base64
 import collections
 import hashlib
-import os
 import random
 import re
 
@@ -12,14 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import html_extract, suffix_dedup, warc
-from tessera.llm.decontaminate import contained_items
+from tessera.llm import html_extract, line_dedup, segment, suffix_dedup, warc
+from tessera.llm.decontaminate import contained_items, decontaminate
 from tessera.llm.html_extract import extract_pages, main_text
 from tessera.llm.importance import Settings, keep_resampled, kth_largest, resample
 from tessera.llm.jaccard import jaccard_components, keep_one_each
 from tessera.llm.line_dedup import dedup_lines, line_digest, removed_lines, within
 from tessera.llm.quality import quality_rules
-from tessera.llm.secrets import scan_secrets, scan_unseen, spans
+from tessera.llm.secrets import scan_history, scan_secrets, scan_unseen, spans
 from tessera.llm.segment import sample_segmentations
 from tessera.llm.suffix_dedup import repeated_starts, suffix_array
 
@@ -136,6 +135,16 @@ def test_contained_items(spark, docs, rows):
     assert contained_items(docs, bench.limit(0)).count() == 0 and contained_items(docs.limit(0), bench).count() == 0
 
 
+def test_null_items(spark, docs, rows):
+    text = " ".join(rows[0][1].split()[:12])
+    bench = spark.createDataFrame([(None, text), (None, None), (7, text)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contained_items(docs, bench).collect()}
+    assert {i for _, i in got} == {None, 7} and {d for d, i in got if i is None} == {d for d, i in got if i == 7}
+    wide = spark.createDataFrame([(None, text, 1), (None, "clean words", 2), (1, "a " + text, 3), (1, "other", 4), (2, None, 5), (3, "", 6), (1, "other", 4)], "doc_id long, text string, item_id int")
+    assert sorted(r.item_id for r in decontaminate(wide, bench).collect()) == [2, 4, 4, 5, 6] and decontaminate(wide, bench).columns == wide.columns
+    assert decontaminate(wide, bench.limit(0)).count() == 7 and decontaminate(wide.limit(0), bench).count() == 0
+
+
 def test_html():
     page = '<body><header><h1>Site</h1></header><nav>n</nav><div class="cookie-notice">c</div><article><header><h1>T &amp; U</h1></header><p>One  <b>two</b>\n three<p>Four &lt;x&gt;<ul><li>a<li>b</ul><div class="ad">buy</div><section class="comments"><p>bad</section></article><aside>s</aside><footer>f</footer>'
     assert main_text(page) == "T & U\nOne two three\nFour <x>\na\nb"
@@ -250,6 +259,81 @@ def test_salvage(packed):
     assert [(s, e) for s, e, _ in (r for r in found if isinstance(r, tuple))] == [(cut[2], cut[3]), (cut[4], cut[4] + 25)]
 
 
+def test_salvage_of_one_member(monkeypatch):
+    monkeypatch.setattr(warc, "PIECE_BYTES", 100)
+    records = [warc.make_record(i, f"http://x/{i}", random.Random(i).randbytes(700), None, False) for i in range(8)]
+    one, other = warc._member(b"".join(records[:6])), warc._member(b"".join(records[6:]))
+    whole = list(warc.salvage(one + other))
+    assert [r["page_id"] for r in whole] == list(range(8))
+    bad = bytearray(one)
+    bad[len(bad) // 2] ^= 0xFF
+    found = list(warc.salvage(bytes(bad) + other))
+    pages = [r["page_id"] for r in found if isinstance(r, dict)]
+    assert pages[:2] == [0, 1] and pages[-2:] == [6, 7] and set(pages) < set(range(8))
+    assert [(s, e) for s, e, _ in (r for r in found if isinstance(r, tuple))] == [(0, len(one))]
+    cut = list(warc.salvage(one[: len(one) // 2]))
+    assert [r["page_id"] for r in cut if isinstance(r, dict)][:2] == [0, 1] and [r[:2] for r in cut if isinstance(r, tuple)] == [(0, len(one) // 2)]
+    broken = b"".join(records[:2]) + records[2][:-30] + b"".join(records[3:6])
+    found = list(warc.salvage(warc._member(broken)))
+    assert [r["page_id"] for r in found if isinstance(r, dict)] == [0, 1, 3, 4, 5]
+
+
+def _all_segmentations(text, v):
+    """(log probability, sizes) of every path through the lattice of a text, by recursion."""
+    data = text.encode()
+    t = segment._Lattice(np.frombuffer(data, np.uint8), np.array([0, len(data)]), v)
+
+    def paths(word, place):
+        if place == t.length[word]:
+            yield 0.0, ()
+            return
+        row = t.base[word] + place
+        for e in range(t.edge[row], t.edge[row + 1]):
+            for p, rest in paths(word, place + int(t.size[e])):
+                yield float(t.log_p[e]) + p, ((int(t.piece[e]), place), *rest)
+
+    out = [(0.0, ())]
+    for w in range(len(t.starts)):
+        out = [(a + b, (*x, *y)) for a, x in out for b, y in paths(w, 0)]
+    return out
+
+
+def test_all_segmentations(spark):
+    """With k as large as there are segmentations, all of them come, each once, with its probability; and short texts whose rest is tiny have them too."""
+    with open(segment.model_path(), "rb") as f:
+        v = segment.vocabulary(f.read())
+    texts = ["the", "of a", "é", "abc", "of", "x y", "and"]
+    want = {t: sorted(p for p, _ in _all_segmentations(t, v)) for t in texts}
+    for t, ps in want.items():
+        assert np.exp(ps).sum() == pytest.approx(1, abs=1e-9) and len(ps) > 1, t
+    got = collections.defaultdict(list)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in sample_segmentations(df, k=max(map(len, want.values())) + 3, with_ids=True).collect():
+        got[texts[r.doc_id]].append(r)
+    for t, ps in want.items():
+        assert sorted(r.log_prob for r in got[t]) == pytest.approx(ps, abs=1e-6), t
+        by = sorted(got[t], key=lambda r: r.sample)
+        assert len({tuple(r.ids) for r in by}) == len(ps) and all(a.perturbed >= b.perturbed for a, b in zip(by, by[1:], strict=False))
+        assert by[-1].inclusion == pytest.approx(1)
+
+
+def test_samples_follow_the_lattice(spark):
+    """Over many row keys, the first sample is drawn by probability, and both samples as often as the two best of Gumbel sums."""
+    with open(segment.model_path(), "rb") as f:
+        v = segment.vocabulary(f.read())
+    n, text = 4000, "thing"
+    p = np.exp(sorted((p for p, _ in _all_segmentations(text, v)), reverse=True))
+    rows = sample_segmentations(spark.createDataFrame([(i, text) for i in range(n)], "doc_id long, text string"), k=2).collect()
+    first = collections.Counter(round(r.log_prob, 6) for r in rows if r.sample == 1)
+    second = collections.Counter(round(r.log_prob, 6) for r in rows if r.sample == 2)
+    for i, q in enumerate(p[:4]):
+        share = first[round(float(np.log(q)), 6)] / n
+        assert abs(share - q) < 5 * np.sqrt(q * (1 - q) / n) + 1e-3, i
+        both = sum(p[j] * q / (1 - p[j]) for j in range(len(p)) if j != i)
+        share = second[round(float(np.log(q)), 6)] / n
+        assert abs(share - both) < 5 * np.sqrt(both * (1 - both) / n) + 1e-3, i
+
+
 def test_segmentations(spark, docs):
     got = sample_segmentations(docs, k=3, with_ids=True).collect()
     assert all(r.decoded for r in got)
@@ -272,6 +356,22 @@ def test_secrets(spark, docs):
     assert sorted(map(str, scan_secrets(docs, first).collect())) == sorted(map(str, scan_secrets(docs).collect()))
 
 
+def test_history_of_blobs(spark):
+    key = lambda i: f"token = {'abcdefghij'[i] * 8}"
+    versions = [(1, 10, key(0)), (1, 11, "clean"), (2, 10, "clean"), (2, 11, key(1)), (2, 12, key(0)), (3, 10, key(2)), (3, 12, key(0)), (3, 12, key(0)), (None, 10, None)]
+    df = lambda rows: spark.createDataFrame(rows, "version long, doc_id long, text string")
+    found, ledger = scan_history(df(versions))
+    want = collections.Counter((-1 if v is None else v, d, tuple(spans(t or ""))) for v, d, t in versions)
+    plain = lambda f: collections.Counter((r.version, r.doc_id, tuple((s.start, s.end, s.kind) for s in r.spans)) for r in f.collect())
+    assert plain(found) == want and ledger.count() == 5
+    early, first = scan_history(df([x for x in versions if x[0] in (1, 2)]))
+    late, both = scan_history(df([x for x in versions if x[0] not in (1, 2)]), first)
+    assert plain(early) + plain(late) == want and both.count() == 5 and first.count() == 3  # key(2) and the empty text are new
+    old = first.withColumn("rules", F.lit(0))
+    assert scan_unseen(df(versions), old, "version")[1].count() == 5  # other rules: all is scanned again
+    assert scan_history(df([]), first)[0].count() == 0
+
+
 def _distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -282,6 +382,40 @@ def _distance(a, b):
     return p[-1]
 
 
+def _near_lines(a, b):
+    n, m = sorted((len(a), len(b)))
+    if a == b or m - n <= min(2, n // 10) and _distance(a, b) <= min(2, n // 10):
+        return True
+    v, w = WORDS.findall(a), WORDS.findall(b)
+    return min(len(v), len(w)) >= 10 and _distance(v, w) <= 1
+
+
+@pytest.mark.parametrize("widths", [(2, 16, None), (1, 2, None), (3, None)])
+def test_groups_of_near_lines(spark, widths, monkeypatch):
+    """Groups in which few are near the earliest, in one doc and in many: each line with a near one before it goes, and pairs stay few."""
+    monkeypatch.setattr(line_dedup, "WIDTHS", widths)
+    monkeypatch.setattr(line_dedup, "_TILE", 8)
+    monkeypatch.setattr(line_dedup, "_SMALL", 64 if widths[0] == 2 else 1)
+    rnd = random.Random(11)
+    base = ["".join(rnd.choice("abcdefghij ") for _ in range(n)) for n in (12, 19, 24, 48)]
+    lines = list(base)
+    for _ in range(150):
+        s = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+            s[rnd.randrange(len(s))] = rnd.choice("xyz")
+        lines.append("".join(s))
+    rnd.shuffle(lines)
+    rows = [(d, "\n".join(lines[4 * d : 4 * d + 4])) for d in range(len(lines) // 4)]
+    rows = [*rows, rows[3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = [(d, n, x) for d, t in rows[:-1] for n, x in enumerate(t.split("\n"))]
+    want = collections.defaultdict(list)
+    for d, n, x in seen:
+        if any((e, m) < (d, n) and _near_lines(x, y) for e, m, y in seen):
+            want[d].append(n)
+    assert {r.doc_id: list(r.lines) for r in removed_lines(df).collect()} == want
+
+
 def test_line_dedup(spark):
     rnd = random.Random(3)
 
@@ -296,13 +430,13 @@ def test_line_dedup(spark):
         a = "".join(rnd.choice("ab") for _ in range(rnd.randrange(5, 30)))
         b = changed(a, rnd.randrange(5))
         assert within(*(np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b)), 2) == (_distance(a, b) <= 2)
-    base = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(15, 60))) for _ in range(20)]
+    base = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(8, 60))) for _ in range(20)]
     rows = [(d, "\n".join(changed(rnd.choice(base), rnd.choice([0, 0, 1, 2, 3])) for _ in range(rnd.randrange(4)))) for d in range(40)]
     df = spark.createDataFrame([*rows, (90, None), (None, base[0])], "doc_id long, text string")
-    seen = [(d, n, x) for d, t in rows for n, x in enumerate(t.split("\n")) if len(x) >= 20]
+    seen = [(d, n, x) for d, t in rows for n, x in enumerate(t.split("\n")) if x.strip()]
     want = collections.defaultdict(list)
     for d, n, x in seen:
-        if any((e, m) < (d, n) and abs(len(x) - len(y)) < 3 and _distance(x, y) < 3 for e, m, y in seen):
+        if any((e, m) < (d, n) and _near_lines(x, y) for e, m, y in seen):
             want[d].append(n)
     assert {r.doc_id: list(r.lines) for r in removed_lines(df).collect()} == want and want
     wide = dedup_lines(df.withColumn("__lines", F.lit(1)))
@@ -311,30 +445,22 @@ def test_line_dedup(spark):
     assert texts == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want.get(d, [])) for d, t in rows} | {90: None}
 
 
-def test_lines_but_one_stretch(spark):
+def test_lines_but_one_word(spark):
     rnd = random.Random(12)
 
     def word():
         return "".join(rnd.choice("abcdé") for _ in range(rnd.randrange(1, 12)))
 
-    def near(a, b):
-        n, m = sorted((len(a), len(b)))
-        if m - n < 3 and _distance(a, b) < 3:
-            return True
-        return n >= 60 and any(a[:k] == b[:k] and m - k - min(n - k, len(os.path.commonprefix([a[k:][::-1], b[k:][::-1]]))) <= n // 5 for k in range(n + 1))
-
-    base = [" ".join(word() for _ in range(n)) for n in (8, 10, 12, 14, 20, 40, 90, 200)]
+    base = [" ".join(word() for _ in range(n)) for n in (8, 9, 10, 11, 14, 20, 40, 90, 200)]
     lines = list(base)
     for _ in range(110):
         w = rnd.choice(base).split(" ")
         for _ in range(rnd.choice([1, 1, 1, 2])):
-            i = rnd.randrange(len(w))
-            k = rnd.choice([0, 1, 1, 1, len(w) // 8, len(w) // 5])
-            w[i : i + k] = [word() for _ in range(rnd.choice([k, k, k + 1, len(w) // 7]))]
-        lines.append(" ".join(w))
-    lines = [x for x in lines if len(x) >= 20]
+            i, what = rnd.randrange(len(w)), rnd.randrange(3)
+            w[i : i + (what != 1)] = [word()] if what < 2 else []
+        lines.append(rnd.choice([" ", " ", "  ", "\t"]).join(w))
     df = spark.createDataFrame([(d, x) for d, x in enumerate(lines)], "doc_id long, text string").repartition(3)
-    want = {d for d, x in enumerate(lines) if any(x == y or near(x, y) for y in lines[:d])}
+    want = {d for d, x in enumerate(lines) if any(_near_lines(x, y) for y in lines[:d])}
     by_edits = {d for d, x in enumerate(lines) if any(abs(len(x) - len(y)) < 3 and _distance(x, y) < 3 for y in lines[:d])}
     assert {r.doc_id for r in removed_lines(df).collect()} == want
     assert len(want) > len(by_edits) + 20 and len(want) < len(lines) - 20
@@ -362,7 +488,7 @@ def test_short_copies(spark):
 
 def test_importance(spark):
     rnd = random.Random(5)
-    good, bad = [f"g{i}" for i in range(80)], [f"b{i}" for i in range(80)]
+    good, bad = [f"k{i}" for i in range(20)], [f"z{i}" for i in range(20)]
     rows = [(i, " ".join(rnd.choice(bad if i % 4 == 0 else good) for _ in range(60))) for i in range(800)]
     docs = spark.createDataFrame([*rows, (9000, None), (9001, ""), (None, rows[1][1])], "doc_id long, text string").withColumn("kept", F.lit(1)).withColumn("__words", F.lit(2.0))
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 800, 2)] + [(None, None, None)], "doc_id long, quality int, toxic int")
@@ -373,6 +499,32 @@ def test_importance(spark):
     kept = keep_resampled(docs, labels, Settings(bits=12))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for d, k in got.items() if k and d is not None)
     assert resample(docs.limit(0), labels.limit(0)).count() == 0
+    # A plain version of the weights, from counts of the words themselves.
+    split = {i: t.split() for i, t in rows}
+    good_ids = [r.doc_id for r in labels.where("quality = 1").orderBy(F.xxhash64(F.lit(10), "doc_id")).collect()]
+    target, held = set(sorted(good_ids)[0::2]), set(sorted(good_ids)[1::2])
+    means, sizes = collections.defaultdict(list), collections.defaultdict(list)
+    for k, grams in enumerate((lambda w: w, lambda w: [*w, *zip(w, w[1:], strict=False)])):
+        raw, hit = collections.Counter(), collections.Counter()
+        for i, w in [*split.items(), (None, split[1])]:
+            raw.update(grams(w))
+            if i in target:
+                hit.update(grams(w))
+        weight = {}
+        for g, r in raw.items():
+            e = r * hit.total() / raw.total()
+            weight[g] = 0.0 if k == 0 and abs(hit[g] - e) < 4 * e**0.5 else float(np.log((hit[g] + 0.5) / (e + 0.5)))
+        for i, w in split.items():
+            sizes[i].append(len(grams(w)) + 50)
+            means[i].append(sum(weight[g] for g in grams(w)) / sizes[i][-1])
+    zeros = [sorted(means[i][k] for i in held)[max(0, int(np.ceil(0.005 * len(held))) - 1)] for k in (0, 1)]
+    full = resample(docs, labels, Settings(bits=20)).collect()  # no two n-grams share a bucket
+    weights = {r.doc_id: r.log_weight for r in full if r.doc_id in split}
+    for i in split:
+        assert weights[i] == pytest.approx(min((m - z) * n for m, z, n in zip(means[i], zeros, sizes[i], strict=True)), abs=1e-6)
+    words = [r for r in full if r.log_weight is not None]
+    k = sum(r.log_weight >= 0 for r in words)
+    assert [r.kept for r in sorted(words, key=lambda r: -r.perturbed)] == [True] * k + [False] * (len(words) - k)
     assert kth_largest(spark.range(1000).select((F.col("id") % 100).cast("double").alias("x")), "x", 15) == 98.0
 
 
