@@ -48,10 +48,20 @@ def title_part(x: Column, last: bool = False) -> Column:
     return F.trim(F.element_at(F.split(x, "/"), -1 if last else 1))
 
 
+def _proper(lemma: Column, surface: Column, p2: Column) -> tuple[Column, Column]:
+    own = F.substring_index(F.coalesce(lemma, surface), "-", 1)
+    return own, F.coalesce((p2 == "固有名詞") & own.rlike(r"^[ァ-ヺー・]+\z"), F.lit(False))
+
+
 def lemma_form(lemma: Column, surface: Column, p2: Column) -> Column:
     """The lemma up to a hyphen; a proper noun's that is all katakana gives way to the surface."""
-    own = F.substring_index(F.coalesce(lemma, surface), "-", 1)
-    return F.when((p2 == "固有名詞") & own.rlike(r"^[ァ-ヺー・]+\z"), surface).otherwise(own)
+    own, proper = _proper(lemma, surface, p2)
+    return F.when(proper, surface).otherwise(own)
+
+
+def lemma_kana(lemma: Column, surface: Column, p2: Column, k: Column, lk: Column) -> Column:
+    """The lemma's reading; where lemma_form() gives way to the surface it is the surface's, if that has one."""
+    return F.when(_proper(lemma, surface, p2)[1], F.coalesce(k, lk)).otherwise(lk)
 
 
 @F.pandas_udf(StringType())

@@ -327,12 +327,14 @@ def occurrence_index(s, d):
 _COST = "greatest(0, length(line) - 80) + greatest(0, 40 - length(line))"
 
 
-@query(f"WITH {_TOKENS}{_LEXICON} SELECT lemma, arg_min(line, ({_COST}, doc_id, line_idx)) AS example FROM t WHERE lemma IN (SELECT word FROM lex) GROUP BY lemma")
+@query(f"WITH {_TOKENS}{_LEXICON}, k AS (SELECT *, count(*) OVER (PARTITION BY lemma, doc_id) AS hits FROM t WHERE lemma IN (SELECT word FROM lex)) SELECT lemma, arg_min(line, (lang <> 'en', {_COST}, -hits, doc_id, line_idx)) AS example FROM k GROUP BY lemma")
 def argmin_example(s, d):
+    """The line that shows a word best: in the first language, of fitting length, from a document with many hits."""
     docs = _docs(s, d)
-    l = lines(docs).select("*", F.expr(_COST).alias("cost"), F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(r"\p{L}+"), 0), F.lower)).alias("ws"))
-    t = l.select("cost", "doc_id", "line_idx", F.explode("ws").alias("lemma")).join(_lexicon(s, d), F.col("lemma") == F.col("word"), "left_semi")
-    best = t.groupBy("lemma").agg(F.min(F.struct("cost", "doc_id", "line_idx")).alias("at")).select("lemma", "at.doc_id", "at.line_idx")
+    l = lines(docs).select("lang", F.expr(_COST).alias("cost"), "doc_id", "line_idx", F.explode(F.regexp_extract_all("line", F.lit(r"\p{L}+"), 0)).alias("surface"))
+    t = l.withColumn("lemma", F.lower("surface")).join(_lexicon(s, d), F.col("lemma") == F.col("word"), "left_semi")
+    per_doc = t.groupBy("lemma", "doc_id").agg(F.count("*").alias("hits"), F.max((F.col("lang") != "en").cast("int")).alias("other"), F.min(F.struct("cost", "line_idx")).alias("at"))
+    best = per_doc.groupBy("lemma").agg(F.min(F.struct("other", "at.cost", -F.col("hits"), "doc_id", "at.line_idx")).alias("at")).select("lemma", "at.doc_id", "at.line_idx")
     # Only the winners' texts are joined.
     return best.join(docs.select("doc_id", "text"), "doc_id").select("lemma", F.get(F.split("text", "\n", -1), F.col("line_idx")).alias("example"))
 
@@ -551,6 +553,15 @@ def streaks(s, d):
     return runs.groupBy("user_id").agg(F.max("n").alias("longest"), F.count("*").alias("streaks"))
 
 
+@query("WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), z AS (SELECT max(day) AS today FROM d) SELECT user_id, count(*) FILTER (day > today - 14) AS days, coalesce(sum(n) FILTER (day = today), 0)::BIGINT AS today FROM d, z GROUP BY user_id")
+def recent_days(s, d):
+    """Of each user, the days among the last 14 with an event, and the events of the last day of all."""
+    days = load(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    last = days.agg(F.max("day").alias("last"))  # one row
+    x = days.crossJoin(F.broadcast(last))
+    return x.groupBy("user_id").agg(F.count_if(F.col("day") > F.date_sub("last", 14)).alias("days"), F.sum(F.when(F.col("day") == F.col("last"), F.col("n")).otherwise(0)).alias("today"))
+
+
 @query("SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def daily_event_log(s, d):
     return daily_log(load(s, d, "events")).withColumn("day", F.col("day").cast("string"))
@@ -628,6 +639,18 @@ def word_search(s, d):
     return library.search(_per_doc(s, d).groupBy("lemma").agg(F.count("*").alias("n")), "ar", ["lemma"], "n")
 
 
+@query(f"WITH {_LINES} SELECT doc_id, line_idx::INT AS line_idx, line FROM l WHERE contains(line, 'thand')")
+def line_search(s, d):
+    return lines(_docs(s, d)).where(F.col("line").contains("thand")).select("doc_id", "line_idx", "line")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT, c_custkey) AS rank FROM customer")
+def suffix_order(s, d):
+    """Names in the order of the number that they end in."""
+    c = load(s, d, "customer").select("c_custkey", F.regexp_extract("c_name", r"([0-9]+)$", 1).try_cast("long").alias("number"))
+    return ranked(c, ["number", "c_custkey"], "rank").select("c_custkey", "rank")
+
+
 _SCOPE = "WITH {0}{1}, sc AS (SELECT doc_id FROM documents WHERE lang IN ('fr', 'de') AND source IN ('src1', 'src2'){2}) SELECT lemma AS w, count(DISTINCT doc_id) AS songs, count(*) AS n FROM t WHERE doc_id IN (SELECT doc_id FROM sc) AND (lemma IN (SELECT word FROM lex) OR (SELECT count(*) FROM sc) < 5) GROUP BY lemma"
 _FEW = " ORDER BY doc_id LIMIT 4"
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tessera.operators.sequence import regex_spans
 
@@ -45,6 +49,36 @@ def tokens(text_lines: DataFrame) -> DataFrame:
     return text_lines.select("doc_id", "source", "lang", "line_idx", F.posexplode(F.regexp_extract_all("line", F.lit(LETTERS), 0)).alias("pos", "surface")).withColumn("lemma", F.lower("surface"))
 
 
+TOKEN = "struct<s:string,l:string,p:string,p2:string,k:string,lk:string,f:string,b:int,e:int>"
+
+
+def tagged_lines(text_lines: DataFrame, tagger: Callable[[], Callable[[str], list[dict]]]) -> DataFrame:
+    """text_lines with tok, an array of tokens by a back-end of the caller's choice.
+
+    tagger() is called once for each task and gives a function from a line to its tokens,
+    dicts with s and whatever else TOKEN has. Tokens without a place get the next one
+    where the surface is found, l defaults to s. Null lines have no tokens.
+    """
+
+    def place(line: str, found: list[dict]) -> list[dict]:
+        at, out = 0, []
+        for t in found:
+            b = t["b"] if "b" in t else max(line.find(t["s"], at), at)
+            at = t.get("e", b + len(t["s"]))
+            out.append({"l": t["s"], **t, "b": b, "e": at})
+        return out
+
+    schema = StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in text_lines.schema) + f", tok array<{TOKEN}>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag, kind = tagger(), to_arrow_type(schema["tok"].dataType)
+        for b in batches:
+            rows = [place(x, tag(x)) if x is not None else [] for x in b.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], [*b.schema.names, "tok"])
+
+    return text_lines.mapInArrow(run, schema)
+
+
 def token_array(line: Column) -> Column:
     """The letter runs of a line: array of surface, lemma, c_start and c_end (half-open, in code points)."""
     spans = regex_spans(line, LETTERS)

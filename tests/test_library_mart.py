@@ -4,9 +4,12 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import sums_before
+from tessera.functions.text import first_sentence, lemma_form, lemma_kana
 from tessera.operators import merge, temporal
+from tessera.operators.library import create_own_view
 from tessera.operators.sequence import lexicon_matches
 from tessera.sources import ingest, library
+from tessera.sources.mart import tagged_lines
 
 
 def test_sums(spark):
@@ -145,3 +148,26 @@ def test_reviews_of_two_devices(spark):
     cloud = df(("same", 1, 5), ("mine", 1, 5), ("theirs", 3, 20), ("both", 0, 8), ("gone", 1, 5), ("far", 4, 4), ("tie", 1, 6))
     got = {tuple(r) for r in merge.three_way_srs(cloud, local, base, ["w"], "box", "due").collect()}
     assert got == {("same", 1, 5), ("mine", 2, 9), ("theirs", 3, 20), ("both", 0, 8), ("new", 0, 1), ("far", 4, 4), ("tie", 2, 6)}
+
+
+def test_taggers(spark):
+    def tagger():
+        return lambda line: [{"s": w, "p": "n", "l": w.lower()} if w[0].isupper() else {"s": w} for w in line.split()]
+
+    df = spark.createDataFrame([(1, "Ab  cd Ab"), (2, None), (3, "")], "doc_id long, line string")
+    got = {r.doc_id: [(t.s, t.l, t.p, t.b, t.e) for t in r.tok] for r in tagged_lines(df, tagger).collect()}
+    assert got == {1: [("Ab", "ab", "n", 0, 2), ("cd", "cd", None, 4, 6), ("Ab", "ab", "n", 7, 9)], 2: [], 3: []}
+
+
+def test_small_functions(spark):
+    row = spark.createDataFrame([("一。二！三", "コダイラ", "小平", "固有名詞", "こだいら", "x")], "t string, l string, s string, p2 string, k string, lk string")
+    f = row.select(first_sentence(F.col("t")).alias("a"), lemma_form(F.col("l"), F.col("s"), F.col("p2")).alias("b"), lemma_kana(F.col("l"), F.col("s"), F.col("p2"), F.col("k"), F.col("lk")).alias("c"), lemma_kana(F.col("l"), F.col("s"), F.lit(None).cast("string"), F.col("k"), F.col("lk")).alias("d"))
+    assert tuple(f.first()) == ("一。", "小平", "こだいら", "x")
+
+
+def test_own_view(spark):
+    me = spark.sql("SELECT current_user() AS u").first().u
+    spark.createDataFrame([(me, 1), ("other", 2)], "user_id string, x int").createOrReplaceTempView("progress")
+    for _ in range(2):
+        create_own_view(spark, "progress", "my_progress")
+    assert [tuple(r) for r in spark.table("my_progress").collect()] == [(me, 1)]
