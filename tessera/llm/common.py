@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.sources.mart import load
+
 #: Bytes of text that one round of numpy work holds; a longer document is a round of its own.
 CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch.
@@ -30,7 +32,8 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of long rows with fewer splits than there are cores is dealt out."""
+    return load(spark, sf_dir, name)
 
 
 # --- scratch tables ---------------------------------------------------------------

@@ -164,15 +164,15 @@ def _entries(edits: int):
                 doc = ids[i + b.rows]
                 order = np.lexsort((doc, b.id))
                 some = order[np.concatenate(([True], b.id[order][1:] != b.id[order][:-1]))[: len(order)]]  # the least doc of each line
-                if len(seen):
-                    at = np.minimum(np.searchsorted(seen, b.id[some]), len(seen) - 1)
-                    some = some[(seen[at] != b.id[some]) | (docs[at] > doc[some])]  # copies nearby
-                both, both_docs = np.concatenate((seen, b.id[some])), np.concatenate((docs, doc[some]))
-                order = np.lexsort((both_docs, both))
-                first = np.concatenate(([True], both[order][1:] != both[order][:-1]))[: len(order)]
-                seen, docs = both[order][first], both_docs[order][first]
+                new, at = b.id[some], np.searchsorted(seen, b.id[some])
+                known = seen[np.minimum(at, len(seen) - 1)] == new if len(seen) else np.zeros(len(new), bool)
+                less = known.copy()
+                less[known] = docs[at[known]] > doc[some[known]]
+                docs[at[less]] = doc[some[less]]
+                seen, docs = np.insert(seen, at[~known], new[~known]), np.insert(docs, at[~known], doc[some[~known]])
+                some = some[~known | less]  # without copies nearby
                 if len(seen) > 1_000_000:
-                    seen, docs = b.id[some], doc[some]
+                    seen, docs = seen[:0], docs[:0]
                 for key, line, probes, bits in _all_keys(b, edits, some):
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.id[line] & ~np.int64(1) | np.int64(probes)), pa.array(bits), pa.array(doc[line])], ["key", "id", "counts", "doc"])
 
