@@ -18,6 +18,7 @@ from tessera.llm.secrets import scan_secrets
 from tessera.llm.segment import sample_segmentations
 from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.warc import round_trip
+from tessera.llm.whitening import whiten_embeddings
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_warc_salvage, op6_sentencepiece_sampling, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_warc_salvage, op6_sentencepiece_sampling, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup, op11_whitening)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
