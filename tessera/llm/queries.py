@@ -17,6 +17,7 @@ from tessera.llm.quality import Limits, quality_rules
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.segment import sample_segmentations
 from tessera.llm.suffix_dedup import suffix_dedup
+from tessera.llm.trie import conversation_trie
 from tessera.llm.warc import round_trip
 from tessera.llm.whitening import whiten_embeddings
 
@@ -68,7 +69,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_warc_salvage, op6_sentencepiece_sampling, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup, op11_whitening)}
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_warc_salvage, op6_sentencepiece_sampling, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup, op11_whitening, op12_conversation_trie)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -92,6 +97,25 @@ FROM d LEFT JOIN g USING (r) GROUP BY d.r, d.doc_id"""
 
 
 SQL: dict[str, str] = {
+    # A member's path is a list of turns; nodes are its prefixes. crc32 goes bit by bit.
+    "op12_conversation_trie": r"""
+WITH o AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT *, (xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT FOR i IN range(8)]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 6)::BIGINT AS h FROM o
+), p AS (
+  SELECT a.c, list_concat(coalesce(b.own[1:a.h], []), a.own[a.h + 1:]) AS path FROM h a LEFT JOIN o b ON b.c = a.c - a.c % 100
+), k AS (SELECT c, path, d, path[1:d] AS k FROM p, range(0, len(path) + 1) x(d)),
+n AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(path) = d) AS ends FROM k GROUP BY k, d),
+ch AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (k)),
+s AS (
+  SELECT f.k[1:u] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(CASE WHEN f.d = 0 THEN 0 ELSE (n_convs - 1) * len(f.k[f.d].t) END)::BIGINT AS saved_tokens
+  FROM f, range(0, f.d + 1) x(u) GROUP BY ALL
+)
+SELECT f.conv_id, f.d AS depth, CASE WHEN f.d > 0 THEN up.conv_id END AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN s USING (k) LEFT JOIN n up ON f.d > 0 AND up.k = f.k[1:f.d - 1]""",
     "op1_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 p AS (SELECT r, i, len(ws[i]) AS n FROM d, range(1, len(ws) + 1) x(i)),

@@ -151,9 +151,10 @@ def symmetric_qr(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d, e, q = tridiagonal(v)
     q = np.ascontiguousarray(q.T)  # rows are turned, as they lie together
     tiny = np.finfo(np.float64).eps
+    least = tiny * tiny * max(np.abs(d).max(initial=0), np.abs(e).max(initial=0))  # far below the error of rounding
     hi, steps = len(d) - 1, 0
     while hi > 0:
-        small = np.abs(e[:hi]) <= tiny * (np.abs(d[:hi]) + np.abs(d[1 : hi + 1]))
+        small = np.abs(e[:hi]) <= np.maximum(tiny * (np.abs(d[:hi]) + np.abs(d[1 : hi + 1])), least)
         e[:hi][small] = 0
         if e[hi - 1] == 0:
             hi, steps = hi - 1, 0
