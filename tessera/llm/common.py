@@ -360,3 +360,41 @@ def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return bitmap[_slots(ids, len(bitmap).bit_length() - 1)]
+
+
+#: Bits of a filter for each id, and the most ids that one is made for: 32 MB.
+FILTER_BITS, MOST_FILTERED = 8, 1 << 25
+
+
+def id_filter(df: DataFrame, col: str) -> np.ndarray | None:
+    """Words of a filter with a bit set for each id (long), sized by their number; None, which lets all pass, beyond MOST_FILTERED.
+
+    It only spares shuffles and may say yes too often, never no: an exact join must
+    follow. df should be a written table, as it is read twice.
+    """
+    n = df.select(col).count()
+    if n > MOST_FILTERED:
+        return None
+    bits = max(12, (FILTER_BITS * max(n, 1) - 1).bit_length())
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = np.unique(_slots(b.column(0).to_numpy(zero_copy_only=False), bits))
+            if len(slot):
+                word, first = np.unique(slot >> 6, return_index=True)
+                value = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (slot & 63).astype(np.uint64)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(value.view(np.int64))], ["w", "b"])
+
+    words = df.select(F.col(col).cast("long")).where(F.col(col).isNotNull()).mapInArrow(mark, "w int, b long")
+    t = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()  # 2**(bits - 6) rows at most
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[t["w"].to_numpy()] = t["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_filter(words: np.ndarray | None, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in the filter."""
+    if words is None:
+        return np.ones(len(ids), bool)
+    slot = _slots(ids, (len(words) << 6).bit_length() - 1)
+    return (words[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)

@@ -13,6 +13,7 @@ from tessera.llm.html_extract import extract_pages
 from tessera.llm.importance import resample
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.line_dedup import line_digest
+from tessera.llm.minhash import near_duplicates
 from tessera.llm.quality import Limits, quality_rules
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.segment import sample_segmentations
@@ -73,7 +74,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_warc_salvage, op6_sentencepiece_sampling, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup, op11_whitening, op12_conversation_trie)}
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_decontamination, op4_html_extraction, op5_warc_salvage, op6_sentencepiece_sampling, op7_secret_scan, op8_line_dedup, op9_importance_resampling, op10_suffix_dedup, op11_whitening, op12_conversation_trie, op13_minhash_dedup)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -96,6 +101,26 @@ SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS
 FROM d LEFT JOIN g USING (r) GROUP BY d.r, d.doc_id"""
 
 
+def _links_sql(k: int) -> str:
+    """Components of documents whose sets of k-word shingles share 85 % of their union."""
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= {k} THEN [array_to_string(ws[i:i + {k - 1}], ' ') FOR i IN range(1, len(ws) - {k - 2})] WHEN len(ws) > 0 THEN ['short ' || array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 185 * count(*) >= 85 * ((SELECT n.n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n.n FROM n WHERE n.doc_id = b.doc_id))
+), r AS (
+  SELECT doc_id, doc_id AS reach FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = w.doc_id"""
+
+
 SQL: dict[str, str] = {
     # A member's path is a list of turns; nodes are its prefixes. crc32 goes bit by bit.
     "op12_conversation_trie": r"""
@@ -135,22 +160,8 @@ x AS (
 SELECT * EXCLUDE (n_lines, upper, letters), NOT base_failed AND NOT (n_dup_lines > 0.3::DOUBLE * n_lines OR dup_line_chars > 0.2::DOUBLE * word_chars OR n_symbols > 0.1::DOUBLE * n_words OR upper > 0.6::DOUBLE * letters OR greatest({", ".join(f"dup_chars_{k}" for k in (5, 6, 7, 8, 9, 10))}) > 0.2::DOUBLE * word_chars) AS kept
 FROM y""",
     "op7_secret_scan": _secret_sql(),
-    "op2_jaccard_join": r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
-), s AS (
-  SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN [array_to_string(ws[i:i+3], ' ') FOR i IN range(1, len(ws) - 2)] WHEN len(ws) > 0 THEN ['short ' || array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)
-), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-l AS (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
-  GROUP BY a.doc_id, b.doc_id HAVING 185 * count(*) >= 85 * ((SELECT n.n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n.n FROM n WHERE n.doc_id = b.doc_id))
-), r AS (
-  SELECT doc_id, doc_id AS reach FROM documents
-  UNION
-  SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a
-)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
-FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = w.doc_id""",
+    "op2_jaccard_join": _links_sql(4),
+    "op13_minhash_dedup": f"SELECT *, doc_id = component_id AS kept FROM ({_links_sql(5)})",
     "op5_warc_salvage": r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 k AS (SELECT hex, max(page_id) AS keeper FROM p GROUP BY hex)
