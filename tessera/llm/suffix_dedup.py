@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BASES, chunks, id_bitmap, in_bitmap, materialize, mix, partitions, prefix_hash, runs, span_hash, text_bytes, word_hashes, word_spans
-
+from tessera.llm.common import BASES, chunks, id_filter, in_filter, materialize, mix, partitions, prefix_hash, runs, span_hash, text_bytes, word_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -390,8 +389,8 @@ def repeated_ranges(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     places = materialize(docs.mapInArrow(_pieces(unit), PLACE), "places")
     anchors = places.groupBy("h").agg(several.alias("several"), F.min("p1").alias("a1"), F.max("p1").alias("z1"), F.min("p2").alias("a2"), F.max("p2").alias("z2")).where("several")
     anchors = materialize(anchors.select("h", F.expr("a1 = z1 AND a2 = z2").alias("same")), "anchors")
-    some = spark.sparkContext.broadcast(id_bitmap(anchors, "h"))
-    likely = places.mapInArrow(lambda it: (b.filter(pa.array(in_bitmap(some.value, b.column("h").to_numpy()))) for b in it if b.num_rows), places.schema)
+    some = spark.sparkContext.broadcast(id_filter(anchors, "h"))
+    likely = places.mapInArrow(lambda it: (b.filter(pa.array(in_filter(some.value, b.column("h").to_numpy()))) for b in it if b.num_rows), places.schema)
     shared = materialize(likely.join(anchors, "h"), "shared")
     mixed = shared.where("NOT same")
     kinds = mixed.groupBy("h", "p1", "p2").agg(several.alias("many"), F.min(F.struct("doc", "row", "l", "more")).alias("at"))
@@ -416,12 +415,12 @@ def repeated_ranges(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
 
 def _only(docs: DataFrame, rows: DataFrame, inside: bool = True) -> DataFrame:
     """Rows of docs that may be, or surely aren't, among `rows`; it spares shuffles of texts."""
-    some = docs.sparkSession.sparkContext.broadcast(id_bitmap(rows, "row"))
+    some = docs.sparkSession.sparkContext.broadcast(id_filter(rows, "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.filter(pa.array(in_bitmap(some.value, b.column("row").to_numpy()) == inside))
+                yield b.filter(pa.array(in_filter(some.value, b.column("row").to_numpy()) == inside))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -437,41 +436,59 @@ def _joined(ranges: list[dict[str, int]] | None) -> list[tuple[int, int]]:
     return out
 
 
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        none = [None] * b.num_rows
-        ranges, passages = (b.column(c).to_pylist() if c in b.schema.names else none for c in ("ranges", "passages"))
+        ranges = b.column("ranges").to_pylist() if "ranges" in b.schema.names else [None] * b.num_rows
         counts, digests = [], []
-        for text, gone, said in zip(b.column("text").to_pylist(), ranges, passages, strict=True):
+        for text, gone in zip(b.column("text").to_pylist(), ranges, strict=True):
             data = (text or "").encode()
-            spans, words = _joined(gone), _joined(said)
+            spans = _joined(gone)
             kept = [data[s:e] for s, e in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(data)], strict=True)]
-            counts.append((len(data), sum(e - s for s, e in spans), len(spans), len(words), sum(e - s for s, e in words)))
+            counts.append((len(data), sum(e - s for s, e in spans), len(spans)))
             digests.append(hashlib.sha256(b"".join(kept)).hexdigest())
-        n = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)] or [pa.array([], pa.int64())] * 5
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *n[:3], pa.array(digests, pa.string()), *n[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words"])
+        n = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)] or [pa.array([], pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *n, pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        runs_ = [_joined(r) for r in b.column("ranges").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(r) for r in runs_], pa.int64()), pa.array([sum(e - s for s, e in r) for r in runs_], pa.int64())], ["doc_id", "n_passages", "n_passage_words"])
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Rows with a name of their own; rows with equal doc_id and text share one, as each is the other's copy."""
+    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words) for every row of docs.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs.
 
     Null text counts as empty. A byte goes if a 400-byte string that covers it starts
     anywhere else too, in this document or another; overlaps count, all is judged on the
     input, and no string crosses documents. Texts are processed whole. Rows with equal
     doc_id and text lose the same bytes, as each is the other's copy. Texts under 400
     bytes lose none. An empty table gives none. Other columns are not read.
-
-    Passages are the runs of words that strings of 50 words cover which another document
-    (by doc_id) has too, whatever white space parts the words; they take no bytes of
-    their own. Words that differ count as equal with a chance of one in 255**3.
     """
-    named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc"), F.xxhash64("doc_id", "text").alias("row"))
-    able = lambda unit: named.where(F.octet_length("text") >= (2 * unit.length - 1 if unit.words else unit.length)).select("doc", "row", "text")
-    ranges, passages = (repeated_ranges(able(unit), unit) for unit in (BYTES, WORDS))
-    both = materialize(ranges.join(passages.withColumnRenamed("ranges", "passages"), ["doc", "row"], "full_outer"), "both")
-    hit = _only(named, both).join(both.hint("shuffle_hash"), ["doc", "row"], "left").select("doc_id", "text", "ranges", "passages")
-    rest = _only(named, both, inside=False).select("doc_id", "text")
+    named = _named(docs)
+    ranges = repeated_ranges(named.where(F.octet_length("text") >= BYTES.length).select("doc", "row", "text"))
+    hit = _only(named, ranges).join(ranges.hint("shuffle_hash"), ["doc", "row"], "left").select("doc_id", "text", "ranges")
+    rest = _only(named, ranges, inside=False).select("doc_id", "text")
     return hit.mapInArrow(_remove, SCHEMA).unionAll(rest.mapInArrow(_remove, SCHEMA))
+
+
+def shared_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_passages, n_passage_words) for every row of docs.
+
+    Passages are the maximal runs of words that strings of 50 words cover which another
+    document (by doc_id) has too, whatever white space parts the words. Words that differ
+    count as equal with a chance of one in 255**3. Rows without any, among them null and
+    short texts, have 0. Rows with equal doc_id and text count as one document. An empty
+    table gives none. Other columns are not read.
+    """
+    named = _named(docs)
+    ranges = repeated_ranges(named.where(F.octet_length("text") >= 2 * WORDS.length - 1).select("doc", "row", "text"), WORDS)
+    return named.select("doc_id", "doc", "row").join(ranges, ["doc", "row"], "left").select("doc_id", "ranges").mapInArrow(_count, "doc_id long, n_passages long, n_passage_words long")
