@@ -22,8 +22,8 @@ def to_hira(x: Column) -> Column:
 
 
 def base_title(x: Column) -> Column:
-    """Without a last "(... ver.)" or "(demo)"."""
-    return F.regexp_replace(x, r"(?i)\s*[(（](?:[^()（）]*ver\.?|demo)[)）]\s*$", "")
+    """Without a last "(... ver.)" or "(demo)"; full-width parentheses are part of a title."""
+    return F.regexp_replace(x, r"(?iuU)\s*\((?:[^()]*ver\.?|demo)\)\s*$", "")  # fixed value: the pattern of versions
 
 
 def mark_span(line: Column, start: Column, end: Column) -> Column:

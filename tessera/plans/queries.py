@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arrays import let
 from tessera.functions.text import base_title, mark_span
-from tessera.operators import graph, library, merge, temporal
+from tessera.operators import candidates, graph, library, merge, temporal
 from tessera.operators.community import louvain, modularity, top_groups
+from tessera.operators.lexicon import as_phrase, table_hits
 from tessera.operators.sequence import first_rule, lexicon_matches, match_rules, regex_spans, rule_spans, seq_spans
 from tessera.sources import ingest
 from tessera.sources.ingest import ranked
@@ -138,7 +139,10 @@ def coverage_pct(s, d):
 
 @query(f"WITH {_TOKENS}{_LEXICON} SELECT word FROM lex EXCEPT SELECT lemma FROM t")
 def missing_keys(s, d):
-    return _lexicon(s, d).join(_tok(s, d).select(F.col("lemma").alias("word")), "word", "left_anti")
+    """Words of the lexicon that no text has; tokens that are no such word go before the shuffle, and the rest are distinct words."""
+    words = graph.written(_lexicon(s, d), "words")
+    there = _tok(s, d).select(F.col("lemma").alias("word")).join(words, "word", "left_semi").distinct()
+    return words.join(there, "word", "left_anti")
 
 
 @query("SELECT sha256(text) AS key, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING n > 1 UNION ALL SELECT 'null', count(*) FILTER (text IS NULL) FROM documents")
@@ -270,30 +274,97 @@ _ENTRIES = {"article": ["the", "la", [{"l": "of"}, {"l": ["the", "a"]}]], "end":
 
 
 def _entry_hits(s: SparkSession, d: str) -> DataFrame:
-    tag = lambda x: F.when(x.rlike(r"^\p{Lu}"), "cap").when(F.length(x) <= 3, "short").otherwise("word")
-    one = lambda t: F.struct(t["surface"].alias("s"), t["lemma"].alias("l"), tag(t["surface"]).alias("p"), F.lit("").alias("k"), F.lit("").alias("f"), F.lit("").alias("p2"), t["c_start"].alias("b"), t["c_end"].alias("e"))
-    found = lambda tok: lexicon_matches(F.col("line"), tok, _ENTRIES)
-    return lines(_docs(s, d)).select("doc_id", "line_idx", F.explode(let(F.transform(token_array(F.col("line")), one), found)).alias("x")).select("doc_id", "line_idx", "x.*")
+    found = lexicon_matches(F.col("line"), F.col("tok"), _ENTRIES)
+    return _placed_lines(s, d).select("doc_id", "line_idx", F.explode(found).alias("x")).select("doc_id", "line_idx", "x.*")
 
 
 _ENTRY_HITS = _PLACED + ", g AS (SELECT *, CASE WHEN regexp_matches(surface, '^\\p{Lu}') THEN 'cap' WHEN length(surface) <= 3 THEN 'short' ELSE 'word' END AS p FROM p), x AS (SELECT *, " + ", ".join(f"{_NEXT.format(c, 1)} AS {c}1" for c in ("p", "lemma", "c_end")) + f" FROM g), {_FULL_STOPS}, c AS (SELECT 'article' AS w, doc_id, line_idx, c_start AS s, c_end AS e FROM x WHERE lemma IN ('the', 'la') UNION SELECT 'article', doc_id, line_idx, c_start, c_end1 FROM x WHERE lemma = 'of' AND lemma1 IN ('the', 'a') UNION SELECT 'end', doc_id, line_idx, s, e FROM st UNION SELECT 'end', doc_id, line_idx, c_start, c_end FROM x WHERE lemma = 'and' UNION SELECT 'name', doc_id, line_idx, c_start, c_end FROM x WHERE p = 'cap' UNION SELECT 'name', doc_id, line_idx, c_start, c_end1 FROM x WHERE p = 'cap' AND p1 = 'short'){_greedy_sql('w', 'doc_id', 'line_idx')}"
 
 
 @query(f"WITH RECURSIVE {_ENTRY_HITS} SELECT w, doc_id, line_idx::INT AS line_idx, s::INT AS s, e::INT AS e FROM kept")
-def lexicon_hits(s, d):
+def entry_rule_hits(s, d):
+    """Hits of entries with lemmas, patterns and conditions among their alternatives."""
     return _entry_hits(s, d)
 
 
-@query(f"WITH RECURSIVE {_ENTRY_HITS}, n AS (SELECT w, doc_id, count(*) AS n FROM kept GROUP BY ALL) SELECT w, count(*) AS songs, sum(n)::BIGINT AS total FROM n GROUP BY w")
+def _placed_lines(s: SparkSession, d: str) -> DataFrame:
+    """Lines with an array of tokens whose spans are places in the line."""
+    tag = lambda x: F.when(x.rlike(r"^\p{Lu}"), "cap").when(F.length(x) <= 3, "short").otherwise("word")
+    one = lambda t: F.struct(t["surface"].alias("s"), t["lemma"].alias("l"), tag(t["surface"]).alias("p"), F.lit("").alias("k"), F.lit("").alias("f"), F.lit("").alias("p2"), t["c_start"].alias("b"), t["c_end"].alias("e"))
+    return lines(_docs(s, d)).withColumn("tok", F.transform(token_array(F.col("line")), one))
+
+
+def _phrase_lexicon(s: SparkSession, d: str) -> DataFrame:
+    """An entry for each benchmark item: its runs of three words, its first two, and its words of nine letters or more."""
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0), F.lower)
+    runs = let(words, lambda ws: F.transform(F.when(F.size(ws) >= 3, F.sequence(F.lit(1), F.size(ws) - 2)).otherwise(F.array().cast("array<int>")), lambda i: as_phrase(F.slice(ws, i, F.lit(3)))))
+    first = F.when(F.size(words) >= 2, F.array(as_phrase(F.slice(words, 1, 2)))).otherwise(F.array().cast("array<string>"))
+    return load(s, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("w"), F.concat(runs, first, F.filter(words, lambda x: F.length(x) >= 9)).alias("match"))
+
+
+def _lexicon_hits(s: SparkSession, d: str) -> DataFrame:
+    return table_hits(_placed_lines(s, d).select("doc_id", "line_idx", "line", "tok"), _phrase_lexicon(s, d), ["doc_id", "line_idx"])
+
+
+_ITEM_WORDS = r"bw AS (SELECT item_id::VARCHAR AS w, [lower(x) FOR x IN regexp_extract_all(text, '\p{L}+')] AS ws FROM benchmark WHERE text IS NOT NULL), one AS (SELECT DISTINCT w, unnest([x FOR x IN ws IF len(x) >= 9]) AS a FROM bw), two AS (SELECT w, ws[1] AS a, ws[2] AS b FROM bw WHERE len(ws) >= 2), three AS (SELECT DISTINCT w, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM bw, range(1, len(ws) - 1) r(i))"
+_LEX_HITS = _PLACED + ", x AS (SELECT *, " + ", ".join(f"{_NEXT.format(c, i)} AS {c}{i}" for c in ("lemma", "c_end") for i in (1, 2)) + f" FROM p), {_ITEM_WORDS}, c AS (SELECT w, doc_id, line_idx, c_start AS s, c_end AS e FROM x JOIN one ON lemma = a UNION SELECT w, doc_id, line_idx, c_start, c_end1 FROM x JOIN two ON lemma = a AND lemma1 = b UNION SELECT w, doc_id, line_idx, c_start, c_end2 FROM x JOIN three ON lemma = a AND lemma1 = b AND lemma2 = c){_greedy_sql('w', 'doc_id', 'line_idx')}"
+
+
+@query(f"WITH RECURSIVE {_LEX_HITS} SELECT w, doc_id, line_idx::INT AS line_idx, s::INT AS s, e::INT AS e FROM kept")
+def lexicon_hits(s, d):
+    """Hits of a lexicon that is a table: words and phrases of every benchmark item."""
+    return _lexicon_hits(s, d).select("w", "doc_id", "line_idx", "s", "e")
+
+
+@query(f"WITH RECURSIVE {_LEX_HITS}, n AS (SELECT w, doc_id, count(*) AS n FROM kept GROUP BY ALL) SELECT w, count(*) AS songs, sum(n)::BIGINT AS total FROM n GROUP BY w")
 def lexicon_occurrences(s, d):
-    return _entry_hits(s, d).groupBy("w", "doc_id").agg(F.count("*").alias("n")).groupBy("w").agg(F.count("*").alias("songs"), F.sum("n").alias("total"))
+    return _lexicon_hits(s, d).groupBy("w", "doc_id").agg(F.count("*").alias("n")).groupBy("w").agg(F.count("*").alias("songs"), F.sum("n").alias("total"))
 
 
-@query(f"WITH RECURSIVE {_ENTRY_HITS} SELECT h.w, d.source, count(*) AS n, count(DISTINCT h.doc_id) AS songs FROM kept h JOIN l USING (doc_id, line_idx) JOIN documents d ON d.doc_id = h.doc_id GROUP BY ALL")
+@query(f"WITH RECURSIVE {_LEX_HITS} SELECT h.w, d.source, count(*) AS n, count(DISTINCT h.doc_id) AS songs, count(DISTINCT l.line) AS texts FROM kept h JOIN l USING (doc_id, line_idx) JOIN documents d ON d.doc_id = h.doc_id GROUP BY ALL")
 def chain_join(s, d):
-    """Hits to lines to songs."""
-    hits, l = _entry_hits(s, d).groupBy("w", "doc_id").agg(F.count("*").alias("n")), _docs(s, d).select("doc_id", "source")
-    return hits.join(l, "doc_id").groupBy("w", "source").agg(F.sum("n").alias("n"), F.count("*").alias("songs"))
+    """Hits to lines to songs: hits, songs and different lines of each entry in each source."""
+    hits = _lexicon_hits(s, d).groupBy("w", "doc_id", "line_idx").agg(F.count("*").alias("n"))
+    text = lines(_docs(s, d)).select("doc_id", "line_idx", F.xxhash64("line").alias("line"))
+    by = hits.join(text, ["doc_id", "line_idx"]).join(_docs(s, d).select("doc_id", "source"), "doc_id").groupBy("w", "source")
+    return by.agg(F.sum("n").alias("n"), F.countDistinct("doc_id").alias("songs"), F.countDistinct("line").alias("texts"))
+
+
+# --- what to add to a lexicon, over stored tables ---------------------------------
+
+_CHOSEN, _WORD_TAGS, _GRAMMAR = ["src1", "src2"], ["cap", "word"], ["twice"]
+
+
+def _mart(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Tokens, hits, lines, songs and albums, stored as tables."""
+    docs = _docs(s, d)
+    text = _placed_lines(s, d).select(F.col("doc_id").alias("song_id"), "line_idx", "line", "tok")
+    one = lambda t: F.struct(t["s"].alias("surface"), t["l"].alias("lemma"), t["s"].alias("kana"), F.reverse(t["l"]).alias("lemma_kana"), t["p"].alias("pos1"), t["b"].alias("c_start"), t["e"].alias("c_end"))
+    tokens_ = text.select("song_id", "line_idx", F.posexplode(F.transform("tok", one)).alias("pos", "x")).select("song_id", "line_idx", "pos", "x.*")
+    rules = {"twice": {"tok": [{"p": "word"}, {"p": "word"}, {"p": "word"}]}, "caps": {"tok": [{"p": "cap"}, {"p": "cap"}]}}
+    grammar = text.select("song_id", "line_idx", F.explode(match_rules(F.col("line"), F.col("tok"), rules)).alias("x")).select(F.col("x.id").alias("grammar_id"), "song_id", "line_idx", F.col("x.s").alias("c_start"), F.col("x.e").alias("c_end"))
+    hits = _lexicon_hits(s, d).select("w", F.col("doc_id").alias("song_id"), "line_idx", F.col("s").alias("c_start"), F.col("e").alias("c_end"))
+    judged = docs.select("doc_id", F.col("source").alias("id")).join(load(s, d, "labels"), "doc_id", "left").groupBy("id").agg((F.count_if(F.col("quality") == 1) > 4 * F.count_if(F.col("quality") == 0)).alias("done"))
+    stored = {"tokens": tokens_, "grammar_hits": grammar, "entry_hits": hits}
+    return {n: graph.written(t, n) for n, t in stored.items()} | {"albums": judged, "songs": counted(docs).select(F.col("doc_id").alias("id"), F.col("source").alias("album"), "dup_of"), "lines": text.select("song_id", F.col("line_idx").alias("idx"), F.col("line").alias("ja"), F.lit("").alias("zh"))}
+
+
+_CHOSEN_SQL = "('src1', 'src2')"
+_SCOPED = f"al AS (SELECT source AS id, count(*) FILTER (quality = 1) > 4 * count(*) FILTER (quality = 0) AS done FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source), sg AS (SELECT doc_id, source, source IN {_CHOSEN_SQL} AS here FROM documents QUALIFY row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1), sc AS (SELECT doc_id, here FROM sg JOIN al ON al.id = source WHERE done OR here)"
+_MART = _LEX_HITS + f", tg AS (SELECT *, CASE WHEN regexp_matches(surface, '^\\p{{Lu}}') THEN 'cap' WHEN length(surface) <= 3 THEN 'short' ELSE 'word' END AS p FROM p), nx1 AS (SELECT *, {_NEXT.format('p', 1)} AS p1, {_NEXT.format('p', 2)} AS p2, {_NEXT.format('c_end', 2)} AS c_end2 FROM tg), cover AS (SELECT doc_id, line_idx, s, e FROM kept UNION SELECT doc_id, line_idx, c_start, c_end2 FROM nx1 WHERE p = 'word' AND p1 = 'word' AND p2 = 'word'), {_SCOPED}"
+
+
+@query(f"WITH RECURSIVE {_MART}, k AS (SELECT tg.*, here FROM tg JOIN sc USING (doc_id) WHERE p IN ('cap', 'word') AND regexp_matches(lemma, '[^ -~]')), y AS (SELECT *, EXISTS (SELECT 1 FROM cover v WHERE v.doc_id = k.doc_id AND v.line_idx = k.line_idx AND v.s <= k.c_start AND v.e >= k.c_end) AS covered FROM k), n AS (SELECT lemma, p, max(reverse(lemma)) AS kana, count(DISTINCT doc_id) AS songs, count(DISTINCT CASE WHEN here THEN doc_id END) AS here, count(*) AS total FROM y WHERE NOT covered GROUP BY lemma, p HAVING songs >= 2 AND here >= 1), fst AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lemma, p, doc_id ORDER BY line_idx, pos) = 1), ex AS (SELECT lemma, p, string_agg(doc_id || ': ' || left(line, c_start) || '【' || surface || '|' || surface || '】' || substr(line, c_end + 1) || '  // ', chr(10) ORDER BY here DESC, doc_id) AS examples FROM (SELECT * FROM fst QUALIFY row_number() OVER (PARTITION BY lemma, p ORDER BY here DESC, doc_id) <= 3) GROUP BY ALL) SELECT lemma, p AS pos1, kana, songs, here, total, examples FROM n JOIN ex USING (lemma, p)")
+def lexicon_candidates(s, d):
+    """Words that no entry covers yet, with examples."""
+    return candidates.candidates(_mart(s, d), _CHOSEN, _WORD_TAGS, _GRAMMAR).withColumn("examples", F.array_join("examples", "\n"))
+
+
+@query(f"WITH RECURSIVE {_MART}, h AS (SELECT w, tg.surface AS kana, tg.doc_id FROM kept h JOIN sg USING (doc_id) JOIN tg ON tg.doc_id = h.doc_id AND tg.line_idx = h.line_idx AND tg.c_start >= h.s AND tg.c_end <= h.e WHERE here), n AS (SELECT w, kana, count(*) AS n FROM h GROUP BY ALL) SELECT w, (SELECT count(DISTINCT doc_id) FROM h WHERE h.w = n.w) AS songs, string_agg(kana || '=' || n, ',' ORDER BY n DESC, kana) AS readings FROM n GROUP BY w")
+def lexicon_audit(s, d):
+    """How the tokens inside each entry's hits read, in the chosen albums."""
+    found = candidates.audit(_mart(s, d), _CHOSEN)
+    return found.withColumn("readings", F.array_join(F.transform("readings", lambda x: F.concat_ws("=", x["kana"], x["n"].cast("string"))), ","))
 
 
 @query(f"WITH {_TAGGED}, x AS (SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after FROM g WINDOW w AS (PARTITION BY doc_id, line_idx ORDER BY pos)) SELECT coalesce(CASE WHEN lemma = 'the' AND after = 'word' THEN 'article' WHEN p = 'short' AND before = 'cap' THEN 'second' WHEN p = 'short' THEN 'small' END, 'none') AS fix, count(*) AS n FROM x GROUP BY 1")
@@ -699,6 +770,11 @@ def background_notes(s, d):
     return load(s, d, "part").select("p_partkey", x["zh"].alias("zh"), x["spec"].alias("spec"), x["note"].alias("note"), titles.alias("titles"))
 
 
-@query("SELECT p_partkey, p_name AS title FROM part")
+_VERSIONS = [" (Live Ver.)", "(demo)", " (a (b) ver) ", "（live ver.）", " (verse)", " (2020 VER)  ", ""]
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 7 IN (0, 1, 5) THEN p_type || '.' || p_name WHEN p_partkey % 7 = 2 THEN p_type || '.' || p_name || '{_VERSIONS[2]}' WHEN p_partkey % 7 = 3 THEN p_type || '.' || p_name || '{_VERSIONS[3]}' WHEN p_partkey % 7 = 4 THEN p_type || '.' || p_name || '{_VERSIONS[4]}' ELSE p_type || '.' || p_name END AS title FROM part")
 def base_titles(s, d):
-    return load(s, d, "part").select("p_partkey", base_title(F.concat("p_name", F.lit(" (Live Ver.)"))).alias("title"))
+    """Titles of parts with every kind of suffix, some of which say no version."""
+    suffix = F.element_at(F.array(*map(F.lit, _VERSIONS)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return load(s, d, "part").select("p_partkey", base_title(F.concat("p_type", F.lit("."), "p_name", suffix)).alias("title"))

@@ -18,8 +18,8 @@ def album_dir(name: Column) -> Column:
 
 
 def track_file(name: Column) -> Column:
-    """(track, title, lang) of "NN.title.lang.lrc"; null for other names."""
-    pattern = r"^(\d+)\.(.+)\.(ja|zh)\.lrc$"
+    """(track, title, lang) of "NN.title.lang.lrc", with white space before the title or without; null for other names."""
+    pattern = r"^(\d+)\.(?U:\s*)(.+)\.(ja|zh)\.lrc$"  # fixed value: the pattern of names
     part = lambda i: F.regexp_extract(name, pattern, i)
     return F.when(name.rlike(pattern), F.struct(part(1).cast("int").alias("track"), part(2).alias("title"), part(3).alias("lang")))
 
@@ -69,10 +69,19 @@ def next_ids(new: DataFrame, old: DataFrame, order: list[str], start: str = "id"
     return ranked(new, order, start, last)
 
 
-def first_versions(songs: DataFrame) -> DataFrame:
-    """songs (id, band, album_ord, track, title, ...) with dup_of: the first song, by album and track, of the same band and base title; null for itself."""
-    key = [F.col("band"), F.trim(base_title(F.col("title")))]
-    firsts = songs.groupBy(key[0].alias("_band"), key[1].alias("_base")).agg(F.min(F.struct(F.col("album_ord"), F.coalesce("track", F.lit(0)).alias("track"), "id")).alias("_first"))
+#: Where songs of albums that aren't listed stand.
+UNLISTED = 99
+
+
+def first_versions(songs: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """songs (id, band, album_ord, track, title, ...) with dup_of: the first song of the same band and base title; null for itself.
+
+    Songs go by album, unlisted albums (null) as number 99, by track (null: 0), and among
+    equals by the columns of `ties`, the catalogue's order, or else by id.
+    """
+    key = [F.col("band"), F.regexp_replace(base_title(F.col("title")), r"(?U)^\s+|\s+$", "")]
+    place = F.struct(F.coalesce("album_ord", F.lit(UNLISTED)).alias("album"), F.coalesce("track", F.lit(0)).alias("track"), F.struct(*(ties or ["id"])).alias("tie"), "id")
+    firsts = songs.groupBy(key[0].alias("_band"), key[1].alias("_base")).agg(F.min(place).alias("_first"))
     same = songs["band"].eqNullSafe(F.col("_band")) & key[1].eqNullSafe(F.col("_base"))
     return songs.join(firsts, same).withColumn("dup_of", F.when(F.col("_first.id") != F.col("id"), F.col("_first.id"))).drop("_band", "_base", "_first")
 

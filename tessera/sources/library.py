@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import let
-from tessera.operators.sequence import lexicon_matches
+from tessera.operators.lexicon import table_hits
 
 _TOKEN = "struct<s:string,l:string,k:string,lk:string,p:string,p2:string,f:string,i:array<int>>"
 #: The documents' fields. Rules stay JSON text, as their shape differs.
@@ -34,21 +32,15 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("lemma", "note"))
 
 
-def rules_of(matches: list[str]) -> list:
-    """A lexicon entry's alternatives, as lexicon_matches() takes them: JSON text of an object or a list is parsed, the rest are lemmas."""
-    return [json.loads(m) if m[:1] in ("{", "[") else m for m in matches]
-
-
 def mart(songs: DataFrame, catalog: DataFrame, lexicon: DataFrame, grammar: DataFrame) -> dict[str, DataFrame]:
-    """The mart's tables by name. The lexicon's rules are read on the driver, as they become expressions; nothing else is."""
+    """The mart's tables by name."""
     part = lambda name: catalog.select(F.explode(name).alias("x")).select("x.*")
     example = lambda: [F.get("ex", F.lit(i)).alias(n) for i, n in enumerate(("ex_ja", "ex_romaji", "ex_zh"))]
     lines = songs.join(part("songs").select(F.col("id").alias("_known")), F.col("id") == F.col("_known"), "left_semi").select(F.col("id").alias("song_id"), F.posexplode("lines").alias("idx", "x")).select("song_id", "idx", "x.*")
     tokens = lines.select("song_id", F.col("idx").alias("line_idx"), F.posexplode("tok").alias("pos", "x"))
     span = lambda x: [F.get(x, F.lit(i)).cast("int").alias(n) for i, n in enumerate(("c_start", "c_end"))]
-    entries = {r.w: rules_of(r.match or []) for r in lexicon.select("w", "match").collect()}
     placed = F.transform("tok", lambda t: t.withField("b", F.get(t["i"], F.lit(0))).withField("e", F.get(t["i"], F.lit(1))))
-    hits = lines.select("song_id", F.col("idx").alias("line_idx"), F.explode(let(placed, lambda tok: lexicon_matches(F.col("ja"), tok, entries))).alias("x"))
+    hits = table_hits(lines.select("song_id", F.col("idx").alias("line_idx"), "ja", placed.alias("tok")), lexicon, ["song_id", "line_idx"], "ja")
     return {
         "bands": part("bands"),
         "albums": part("albums").select("id", "band", "ja", "zh", "year", "type", "note", F.coalesce("done", F.lit(False)).alias("done")),
@@ -56,7 +48,7 @@ def mart(songs: DataFrame, catalog: DataFrame, lexicon: DataFrame, grammar: Data
         "lines": lines.select("song_id", "idx", F.col("t").alias("t_ms"), "ja", "zh"),
         "tokens": tokens.select("song_id", "line_idx", "pos", F.col("x.s").alias("surface"), F.col("x.l").alias("lemma"), F.col("x.k").alias("kana"), F.col("x.lk").alias("lemma_kana"), F.col("x.p").alias("pos1"), F.col("x.p2").alias("pos2"), F.col("x.f").alias("cform"), *span(F.col("x.i"))),
         "entries": lexicon.select("w", F.col("k").alias("kana"), F.col("r").alias("romaji"), F.col("m").alias("meaning"), *example()),
-        "entry_hits": hits.select("x.w", "song_id", "line_idx", F.col("x.s").alias("c_start"), F.col("x.e").alias("c_end")),
+        "entry_hits": hits.select("w", "song_id", "line_idx", F.col("s").alias("c_start"), F.col("e").alias("c_end")),
         "grammar": grammar.select("id", F.col("g").alias("pattern"), F.col("r").alias("romaji"), F.col("m").alias("meaning"), *example()),
         "grammar_hits": lines.select("song_id", F.col("idx").alias("line_idx"), F.explode("gram").alias("g")).select(F.get("g", F.lit(0)).alias("grammar_id"), "song_id", "line_idx", F.get("g", F.lit(1)).cast("int").alias("c_start"), F.get("g", F.lit(2)).cast("int").alias("c_end")),
         "known": lexicon.sparkSession.createDataFrame([], "w string"),
