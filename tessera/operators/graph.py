@@ -3,19 +3,87 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.mart import shared_dir
 
 
+#: A line with more words is cut into blocks of about BLOCK_WORDS, and each two blocks are a task's.
+HOT_WORDS, BLOCK_WORDS = 1000, 500
+
+
+def line_pairs(items: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(line, a, b), a < b, of every two words of distinct (line, w).
+
+    Words of a line of more than HOT_WORDS are dealt into blocks by a hash, and meet in
+    the triangle of pairs of blocks: its pairs are spread over as many keys. nodes (w), if
+    given, are the only words that count.
+    """
+    d = items if nodes is None else items.join(nodes.select("w"), "w", "left_semi")
+    d = written(d.select("line", "w"), "words")
+    hot = written(d.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > HOT_WORDS).select("line", F.ceil(F.col("n") / BLOCK_WORDS).alias("blocks")), "hot")
+    cold = d.join(hot, "line", "left_anti")
+    few = cold.alias("x").join(cold.alias("y"), (F.col("x.line") == F.col("y.line")) & (F.col("x.w") < F.col("y.w"))).select("x.line", F.col("x.w").alias("a"), F.col("y.w").alias("b"))
+    placed = d.join(hot, "line").withColumn("i", F.pmod(F.xxhash64("w"), "blocks"))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))
+    tiled = placed.select("line", "w", "i", F.explode(each).alias("t")).select("line", "w", "i", "t.p", "t.q")
+    # The number is given, as small inputs would be put together, and what comes of them is large.
+    tiled = tiled.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "line", "p", "q")
+    x, y = tiled.alias("x"), tiled.alias("y")
+    same = (F.col("x.line") == F.col("y.line")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    # Two words of one block meet in its own tile only.
+    once = (F.least("x.i", "y.i") == F.col("x.p")) & (F.greatest("x.i", "y.i") == F.col("x.q"))
+    many = x.join(y, same & once & (F.col("x.w") < F.col("y.w"))).select("x.line", F.col("x.w").alias("a"), F.col("y.w").alias("b"))
+    return few.unionAll(many)
+
+
 def cooccurrence(items: DataFrame, line: str, word: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes) of distinct (line, word): pairs of words with how many lines hold both, from `least` on; words with their lines."""
-    d = items.select(F.col(line).alias("line"), F.col(word).alias("w")).distinct()
+    """(edges, nodes) of distinct (line, word): pairs of words with how many lines hold both, from `least` on; words with their lines.
+
+    Words of fewer than `least` lines are in no pair, and go before pairs are made. Rows
+    with a null line or word are no items.
+    """
+    d = items.select(F.col(line).alias("line"), F.col(word).alias("w")).where("line IS NOT NULL AND w IS NOT NULL").distinct()
     nodes = d.groupBy("w").agg(F.count("*").alias("lines"))
-    pairs = d.alias("x").join(d.alias("y"), (F.col("x.line") == F.col("y.line")) & (F.col("x.w") < F.col("y.w")))
-    return pairs.groupBy(F.col("x.w").alias("a"), F.col("y.w").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least), nodes
+    pairs = line_pairs(d, nodes.where(F.col("lines") >= least))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least), nodes
+
+
+def references(edges: DataFrame, items: DataFrame, lines: DataFrame, order: list[str], most: int = 20) -> DataFrame:
+    """(a, b, n, refs) of edges (a, b), a < b: how many lines hold both words of items (line, w), and the first lines.
+
+    lines are (line, song, text, ...) with the columns of `order`; those of one song with
+    equal text are one reference, its first line by order, and how often it comes. refs
+    is an array of (line, times), by order, of `most` references. Only pairs that are
+    edges are joined with lines, and what repeats is one row before edges are grouped.
+    """
+    kept = edges.select("a", "b").distinct()
+    ends = kept.select(F.col("a").alias("w")).unionAll(kept.select(F.col("b").alias("w"))).distinct()
+    pairs = line_pairs(items.select("line", "w").where("line IS NOT NULL AND w IS NOT NULL").distinct(), ends).join(kept, ["a", "b"], "left_semi")
+    place = F.struct(*order, "line")
+    once = pairs.join(lines, "line").groupBy("a", "b", "song", "text").agg(F.min(place).alias("at"), F.count("*").alias("times"))
+    first = Window.partitionBy("a", "b").orderBy("at")
+    top = once.withColumn("i", F.row_number().over(first)).where(F.col("i") <= most).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("i", "at.line", "times"))).alias("refs"))
+    n = once.groupBy("a", "b").agg(F.sum("times").alias("n"))
+    return n.join(top, ["a", "b"]).select("a", "b", "n", F.transform("refs", lambda r: F.struct(r["line"].alias("line"), r["times"].alias("times"))).alias("refs"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(node, near): each node's neighbours (other, score), the heaviest first, then the smallest."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "score").unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "score"))
+    sorted_ = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "other")))
+    return both.groupBy("node").agg(F.transform(sorted_, lambda x: F.struct(x["other"].alias("other"), (-x["m"]).alias("score"))).alias("near"))
+
+
+def song_rows(lines: DataFrame, words: DataFrame, song: str, idx: str, text: list[str], word: str) -> DataFrame:
+    """(song, rows): each song's lines in turn, as (idx, the text columns, words): the sorted distinct words of (song, idx, word), empty without any."""
+    found = words.select(song, idx, word).where(F.col(word).isNotNull()).distinct().groupBy(song, idx).agg(F.array_sort(F.collect_set(word)).alias("_w"))
+    row = F.struct(idx, *text, F.coalesce("_w", F.array().cast(found.schema["_w"].dataType)).alias("words"))
+    return lines.select(song, idx, *text).join(found, [song, idx], "left").groupBy(song).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
 def weighted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -38,12 +106,52 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Edges that one task joins to components.
+LOCAL_EDGES = 1_000_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (least node, node) of the components among LOCAL_EDGES edges at a time; nodes alone come with themselves."""
+    up: dict = {}
+    seen, kind = 0, None
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def out() -> pa.RecordBatch:
+        nodes = list(up)
+        return pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], kind), pa.array(nodes, kind)], ["a", "b"])
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+            up[max(x, y)] = min(x, y)
+        seen += batch.num_rows
+        if seen > LOCAL_EDGES:
+            yield out()
+            up, seen = {}, 0
+    if up:
+        yield out()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, comp): the smallest node that edges (a, b) reach; labels spread, and jump to their labels' labels, until none changes.
+    """(node, comp): the smallest node that edges (a, b) reach.
 
-    A written table is one step of two spreads and jumps.
+    Each partition's edges become stars about the least nodes, which no round needs to
+    find again. LOCAL_EDGES of these, or fewer, are joined in one task; else labels spread,
+    and jump to their labels' labels, until none changes. A written table is one step of
+    two spreads and jumps. Edges with a null end count for nothing.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    schema = e.withColumn("b", F.col("b").cast(e.schema["a"].dataType)).schema
+    thin = written(e.mapInArrow(_stars, schema).distinct(), "stars")
+    if thin.count() <= LOCAL_EDGES:
+        return written(thin.coalesce(1).mapInArrow(_stars, schema).select(F.col("b").alias("node"), F.col("a").alias("comp")), "components")
+    both = written(thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
 
     def step(labels: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
+import collections
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import library
-from tessera.operators.community import louvain, modularity, top_groups
+from tessera.operators import community, graph, library
+from tessera.operators.community import gaining, group_names, louvain, modularity, top_groups
 
 
 def _cliques(spark, sizes):
@@ -64,3 +66,138 @@ def test_own_rows(spark):
     assert sorted(r.x for r in library.upsert_own(rows, new, F.lit("v")).collect()) == [1, 3, 9]
     with pytest.raises(Exception, match="own row"):
         library.upsert_own(rows, new, F.lit("u")).collect()
+
+
+def _plain_louvain(arcs, resolution):
+    """Sequential moves in the order of nodes and merges, without refinement."""
+    total, best = sum(arcs.values()), {a: a for a, _ in arcs}
+    graph = dict(arcs)
+    while True:
+        near = collections.defaultdict(dict)
+        for (a, b), w in graph.items():
+            near[a][b] = w
+        d = {a: sum(x.values()) for a, x in near.items()}
+        comm, sums, moved, any_ = {a: a for a in near}, collections.Counter(d), True, False
+        while moved:
+            moved = False
+            for a in sorted(near):
+                to = collections.Counter({comm[a]: 0.0})
+                for b, w in near[a].items():
+                    if b != a:
+                        to[comm[b]] += w
+                sums[comm[a]] -= d[a]
+                score = {c: w - resolution * d[a] * sums[c] / total for c, w in to.items()}
+                c = max(sorted(score), key=lambda x: score[x])
+                if score[c] > score[comm[a]] + 1e-12:
+                    comm[a], moved, any_ = c, True, True
+                sums[comm[a]] += d[a]
+        if not any_:
+            return best
+        best = {a: comm[c] for a, c in best.items()}
+        merged = collections.Counter()
+        for (a, b), w in graph.items():
+            merged[comm[a], comm[b]] += w
+        graph = dict(merged)
+
+
+def _modularity(arcs, comm, resolution):
+    total, sums = sum(arcs.values()), collections.Counter()
+    for (a, _), w in arcs.items():
+        sums[comm[a]] += w
+    return sum(w for (a, b), w in arcs.items() if comm[a] == comm[b]) / total - resolution * sum(x * x for x in sums.values()) / total**2
+
+
+@pytest.mark.parametrize("local,share", [(1_000_000, 0.99), (150, 0.9)])
+def test_as_good_as_sequential(spark, monkeypatch, local, share):
+    """In one task no worse than a plain sequential run by a hundredth, a local optimum, and connected; through levels near it."""
+    monkeypatch.setattr(community, "LOCAL_ARCS", local)
+    rnd = random.Random(3)
+    edges = {}
+    for _ in range(700):
+        a = rnd.randrange(160)
+        b = rnd.randrange(a // 16 * 16, a // 16 * 16 + 16) if rnd.random() < 0.7 else rnd.randrange(160)
+        if a != b:
+            edges[min(a, b), max(a, b)] = 0.2 + rnd.random()
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a long, b long, score double")
+    for resolution in (1.0, 0.45):
+        arcs = {**edges, **{(b, a): w for (a, b), w in edges.items()}}
+        found = {r.node: r.comm for r in louvain(df, resolution).collect()}
+        assert set(found) == {x for e in edges for x in e} and all(found[c] == c for c in found.values())
+        assert _modularity(arcs, found, resolution) >= share * _modularity(arcs, _plain_louvain(arcs, resolution), resolution)
+        both = spark.createDataFrame([(a, b, w) for (a, b), w in arcs.items()], "a long, b long, w double")
+        labels = spark.createDataFrame(list(found.items()), "node long, comm long")
+        if local > 1000:
+            assert gaining(both, labels, resolution).count() == 0
+        assert gaining(both, labels.withColumn("comm", F.col("node")), resolution).count() > 100
+        torn = labels.withColumn("comm", F.when(F.col("node") == min(found), max(found.values())).otherwise(F.col("comm")))
+        assert local < 1000 or min(found) in {r.node for r in gaining(both, torn, resolution).collect()}
+        for c in set(found.values()):
+            seen, front = {c}, [c]
+            while front:
+                x = front.pop()
+                new = {b for a, b in arcs if a == x and found[b] == c} - seen
+                seen |= new
+                front += new
+            assert seen == {a for a in found if found[a] == c}
+
+
+def test_group_names(spark):
+    groups = spark.createDataFrame([(i, 0 if i < 5 else -1) for i in range(7)], "node long, g int")
+    words = spark.createDataFrame([(0, "a / b", 3, 3), (1, "c", 9, 1), (2, "d", 3, 4), (3, "e", 3, 3), (4, "f", 1, 9), (5, "g", 99, 9)], "node long, w string, songs int, total int")
+    assert [tuple(r) for r in group_names(groups, words).collect()] == [(0, "c・d・a")]
+
+
+@pytest.mark.parametrize("hot,block", [(1000, 500), (20, 7), (5, 1)])
+def test_pairs_of_long_lines(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(graph, "HOT_WORDS", hot)
+    monkeypatch.setattr(graph, "BLOCK_WORDS", block)
+    rnd = random.Random(1)
+    said = {line: {rnd.randrange(90) for _ in range(rnd.choice([1, 3, 8, 60]))} for line in range(25)}
+    rows = [(line, w) for line, ws in said.items() for w in ws] + [(None, 1), (3, None), (None, 2)]
+    df = spark.createDataFrame(rows + rows[:30], "l long, x long")
+    want = collections.Counter(p for ws in said.values() for p in itertools.combinations(sorted(ws), 2))
+    for least in (1, 2, 3):
+        edges, nodes = graph.cooccurrence(df, "l", "x", least)
+        assert {(r.a, r.b): r.n for r in edges.collect()} == {p: n for p, n in want.items() if n >= least}
+        assert {r.w: r.lines for r in nodes.collect()} == collections.Counter(w for ws in said.values() for w in ws)
+
+
+def test_a_long_line_is_many_tasks(spark):
+    """The pairs of one line of 4000 words come from all tasks, none with more than twice its share."""
+    items = spark.range(4000).selectExpr("CAST(1 AS LONG) AS line", "id AS w")
+    pairs = graph.line_pairs(items)
+    sizes = [r.n for r in pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 4000 * 3999 // 2 and len(sizes) >= 3 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_references(spark):
+    """Equal texts of a song are one reference with its count; others, and other songs, are their own."""
+    lines = [(1, "s", "x", 3), (2, "s", "x", 1), (3, "t", "x", 2), (4, "s", None, 0), (5, "s", None, 9), (6, "s", "only a", 0)]
+    items = [(line, w) for line, *_ in lines for w in ([7, 8, 9] if line < 6 else [7])] + [(None, 7), (1, None), (1, 7)]
+    edges = spark.createDataFrame([(7, 8), (7, 8), (5, 9)], "a long, b long")
+    at = spark.createDataFrame(lines, "line long, song string, text string, off int")
+    found = graph.references(edges, spark.createDataFrame(items, "line long, w long"), at, ["off"])
+    assert [(r.a, r.b, r.n, [tuple(x) for x in r.refs]) for r in found.collect()] == [(7, 8, 5, [(4, 2), (2, 2), (3, 1)])]
+    assert [tuple(x) for x in graph.references(edges, spark.createDataFrame(items, "line long, w long"), at, ["off"], most=1).first().refs] == [(4, 2)]
+
+
+def test_adjacency_and_rows(spark):
+    edges = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9), (4, 1, 0.5)], "a long, b long, score double")
+    assert {r.node: [x.other for x in r.near] for r in graph.adjacency(edges).collect()} == {1: [3, 2, 4], 2: [1], 3: [1], 4: [1]}
+    lines = spark.createDataFrame([("s", 1, "b"), ("s", 0, "a"), ("t", 0, None)], "song string, idx int, ja string")
+    words = spark.createDataFrame([("s", 1, 5), ("s", 1, 3), ("s", 1, 3), ("s", 9, 1), ("s", 0, None)], "song string, idx int, w int")
+    got = {r.song: [tuple(x) for x in r.rows] for r in graph.song_rows(lines, words, "song", "idx", ["ja"], "w").collect()}
+    assert got == {"s": [(0, "a", []), (1, "b", [3, 5])], "t": [(0, None, [])]}
+
+
+@pytest.mark.parametrize("local", [1_000_000, 40])
+def test_components(spark, monkeypatch, local):
+    """Chains, hubs, loops and strings, in one task and by spreading labels."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(200, 200), (301, 300), (300, 302), (303, 301)] + [(None, 5), (200, None)]
+    random.Random(2).shuffle(edges)
+    got = {r.node: r.comp for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 180)}, 200: 200, **{i: 300 for i in range(300, 304)}}
+    names = graph.components(spark.createDataFrame([("b", "c"), ("a", "c"), ("x", "y")], "a string, b string"))
+    assert {r.node: r.comp for r in names.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
