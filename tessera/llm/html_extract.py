@@ -4,12 +4,16 @@ The pages of a host are merged into one tree: a node is the path of tags, classe
 ids from the root, and keeps how its pages style its children (presentation) and what
 they say there (content). A node's presentation counts for what its entropy is of the
 largest possible, its content for how little of it is the same on the host's pages. A
-few different pages are added to every host, so that the fewer pages there are, the
-more alike they must be. From branches that are low in both, the blocks that repeat are
-removed from each page, unless they are in an article or main part. Of what is left,
-blocks go whose own tags, roles and class names say that they are no article: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers. What
-is left of the article is the text.
+block that is all links says by its style what it is: its words, which differ from page
+to page in a menu, don't count as content. A few different pages are added to every host,
+so that the fewer pages there are, the more alike they must be. From branches that are
+low in both, the blocks that repeat are removed from each page, unless they are in an
+article or main part. Of what is left, blocks go whose own tags, roles and class names
+say that they are no article: menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, comments of readers; in an article or main part only whole names say so. Of the
+rest, the text is the whole of what is marked as article or main part, if that is not the
+lesser part of what is marked or named as content, else what is so named; and all of it
+where these are a small share.
 """
 
 from __future__ import annotations
@@ -63,12 +67,16 @@ _WEAK_WORDS = frozenset("header banner notice notices alert alerts widget widget
 _CONTENT_WORDS = frozenset("article articles post entry content story main text body".split())
 
 
+#: What is marked gives way to what is named, and both to all, if they are under this share of it.
+LEAST_MARKED, LEAST_NAMED = 0.4, 0.2
+
+
 @dataclass(slots=True)
 class _Node:
     tag: str
     path: int
     noise: bool
-    article: int  # 3 in an article, 2 in main, 1 in what is named like content
+    article: int  # 2 in an article or main part, and 1 more in what is named like content
     branch: tuple[int, ...] = ()
     children: list[int] = field(default_factory=list)
 
@@ -80,6 +88,7 @@ class Block:
     noise: bool
     article: int
     branch: tuple[int, ...]
+    linked: bool = False  # all of it is links
 
 
 def _open(tag: str, attributes: str, up: _Node) -> _Node:
@@ -90,15 +99,23 @@ def _open(tag: str, attributes: str, up: _Node) -> _Node:
     name = f"{got.get('class', '')} {got.get('id', '')}"
     words = {w.lower() for w in _WORDS.findall(name)} if name != " " else frozenset()
     role = got.get("role", "").lower()
-    inside = up.article
+    inside = up.article >= 2
+    marked = tag in ("article", "main") or role in ("main", "article")
     content = bool(words & _CONTENT_WORDS)
     noise = up.noise or role in _NOISE_ROLES or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-    noise = noise or bool(words & _NOISE_WORDS) or (bool(words & _WEAK_WORDS) and not content)
-    if tag in _NOISE_TAGS and not (tag == "header" and inside >= 2):
+    if inside or marked:  # parts of names say nothing here
+        noise = noise or not _NOISE_WORDS.isdisjoint(name.lower().split())
+    else:
+        noise = noise or bool(words & _NOISE_WORDS) or (bool(words & _WEAK_WORDS) and not content)
+    if tag in _NOISE_TAGS and not (tag == "header" and inside):
         noise = True
-    if tag in ("body", "html") and not up.noise:
-        noise = False
-    article = max(inside, 3 if tag == "article" else 2 if tag == "main" or role == "main" else 1 if content and tag not in ("body", "html") else 0)
+    if tag in ("body", "html"):  # their names are the whole page's
+        noise = up.noise
+    article = up.article
+    if marked and not inside:
+        article += 2
+    if content and tag not in ("body", "html") and not article & 1:
+        article += 1
     styled = re.sub(r"\d+", "0", f"{tag}.{name}")
     path = zlib.crc32(styled.encode(), up.path) | (zlib.adler32(styled.encode(), up.path & 0xFFFF) & 0x7FFF) << 32
     return _Node(tag, path, noise, article, (*up.branch, path))
@@ -109,15 +126,15 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
     root = _Node("", 0, False, 0)
     stack, blocks, shapes = [root], [], []
     said: list[str] = []
-    holder = root
+    holder, plain = root, False
 
     def flush() -> None:
-        nonlocal said
+        nonlocal said, plain
         if said:
             text = " ".join(html.unescape("".join(said)).split())
             if text:
-                blocks.append(Block(text, holder.path, holder.noise, holder.article, holder.branch))
-            said = []
+                blocks.append(Block(text, holder.path, holder.noise, holder.article, holder.branch, not plain))
+            said, plain = [], False
 
     def close(at: int) -> None:
         while len(stack) > at:
@@ -134,7 +151,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         return 0
 
     def say(text: str) -> None:
-        nonlocal holder
+        nonlocal holder, plain
         if text:
             top = stack[-1]
             if said and (top.noise != holder.noise or top.article != holder.article):
@@ -145,6 +162,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
                     i -= 1
                 holder = stack[i] if stack[i].noise == top.noise and stack[i].article == top.article else top
             said.append(text)
+            # Signs and spaces between links are no words of their own.
+            plain = plain or (any(map(str.isalnum, text)) and not any(x.tag == "a" for x in stack[:0:-1] if x.tag in _INLINE))
 
     at, never = 0, set()
     while m := _TOKEN.search(page, at):
@@ -206,8 +225,9 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
     return blocks, shapes
 
 
-def _value(text: str) -> int:
-    return zlib.crc32(text.encode()) << 20 ^ len(text)
+def _value(block: Block) -> int:
+    """What the block says; links all say the same."""
+    return zlib.crc32(block.text.encode()) << 20 ^ len(block.text) if not block.linked else -1
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset(), common: frozenset[int] = frozenset()) -> str:
@@ -216,12 +236,14 @@ def main_text(page: str | None, low: frozenset[int] = frozenset(), common: froze
         return ""
     blocks = parse(page)[0]
     if low:
-        own = [b for b in blocks if b.article >= 2 or not low.intersection(b.branch) or _value(b.text) not in common]
+        own = [b for b in blocks if b.article >= 2 or not low.intersection(b.branch) or _value(b) not in common]
         # A page that only repeats keeps what it says.
         blocks = own if any(not b.noise for b in own) else blocks
     blocks = [b for b in blocks if not b.noise]
-    best = max((b.article for b in blocks), default=0)
-    return "\n".join(b.text for b in blocks if b.article >= best)
+    size = lambda of: sum(len(b.text) for b in of)
+    marked, named = [b for b in blocks if b.article >= 2], [b for b in blocks if b.article & 1]
+    part = marked if marked and size(marked) >= LEAST_MARKED * size(b for b in blocks if b.article) else named
+    return "\n".join(b.text for b in (part if part and size(part) >= LEAST_NAMED * size(blocks) else blocks))
 
 
 # --- the tree of a host -----------------------------------------------------------
@@ -234,7 +256,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in b.column("html").to_pylist():
             blocks, shapes = parse(page or "")
             seen, rows = set(), {}
-            for path, value, shape in [*((p, _value(x.text), False) for x in blocks for p in x.branch), *((p, v, True) for p, v in shapes)]:
+            for path, value, shape in [*((p, _value(x), False) for x in blocks for p in x.branch), *((p, v, True) for p, v in shapes)]:
                 rows.setdefault((path, shape, value), (path, shape) not in seen)
                 seen.add((path, shape))
             styles.append([{"path": p, "shape": s, "value": v, "first": f} for (p, s, v), f in rows.items()])
@@ -269,11 +291,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     hosted = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)).alias("host"))
     low = materialize(low_branches(hosted), "styles")  # its size is known from here on; the planner broadcasts it only below its threshold
-    joined = hosted.join(low, "host", "left").select("page_id", "url", "html", "low", "common")
+    joined = hosted.join(low, "host", "left").select("page_id", "url", "html", "host", "low", "common")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h, frozenset(x or ()), frozenset(y or ())) for h, x, y in zip(*(b.column(c).to_pylist() for c in ("html", "low", "common")), strict=True)]
+            # A batch's host is turned into sets once.
+            hosts = b.column("host").to_pylist()
+            first = {h: i for i, h in reversed(list(enumerate(hosts)))}
+            sets = {h: tuple(frozenset(b.column(c)[i].as_py() or ()) for c in ("low", "common")) for h, i in first.items()}
+            texts = [main_text(page, *sets[h]) for page, h in zip(b.column("html").to_pylist(), hosts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -152,6 +152,85 @@ def test_html():
     assert main_text("<p>a < b<!-- <p>e --> <p title='x>y'>d") == "a < b\nd"
 
 
+def test_html_keeps_articles_whole():
+    """What is marked as the article is kept whole, in whatever parts; a teaser doesn't stand for it; parts of names say nothing in it."""
+    assert main_text("<main><h1>Title</h1><p>Lead text</p><article><p>Body</p></article><p>Last</p></main>") == "Title\nLead text\nBody\nLast"
+    assert main_text('<div class="content"><p>Real text here</p></div><div><article><p>Teaser</p></article></div>') == "Real text here"
+    assert main_text("<div><p>" + "Real text here. " * 9 + "</p></div><div><article><p>Teaser</p></article></div>").startswith("Real text here.")
+    odd = '<article class="post tag-social"><p class="related-work">a</p><p id="legal-side">b</p><div class="tags-intro">c</div><details class="top">d</details><header><h1>e</h1></header>{}<p>z</p></article>'
+    assert main_text(odd.format("")) == "a\nb\nc\nd\ne\nz"
+    gone = '<aside>x</aside><div class="ad">x</div><div class="wide comments">x</div><form>x</form><footer>x</footer><div role="complementary">x</div><nav>x</nav><div id="newsletter">x</div>'
+    assert main_text(odd.format(gone)) == "a\nb\nc\nd\ne\nz"
+    assert main_text('<body class="sidebar-left"><div role="main"><p>a</p></div><p>' + "b" * 3 + "</p>") == "a"
+
+
+_PARTS = {  # of a page: markup, and the text of the article in it
+    "nav": lambda w: ("<nav><ul>" + "".join(f"<li><a href='/{x}'>{x}</a>" for x in w[:6]) + "</ul></nav>", []),
+    "bar": lambda w: (f"<div class='menu'><a href='#'>{w[0]}</a> | <a href='#'>{w[1]}</a></div>", []),
+    "ad": lambda w: (f"<!-- ad --><div class='ad'>{' '.join(w[:9])}</div>", []),
+    "side": lambda w: (f"<aside><h2>{w[0]}</h2><p>{' '.join(w[:9])}</p></aside>", []),
+    "foot": lambda w: (f"<footer>&copy; {' '.join(w[:5])}</footer>", []),
+    "form": lambda w: (f"<form><label>{w[0]}</label><button>{w[1]}</button></form>", []),
+    "code": lambda w: (f"<script>var t='</p>{w[0]}';</script><style>p{{}}</style>", []),
+    "talk": lambda w: (f"<section id='comments'><h3>{w[0]}</h3><p>{' '.join(w[:8])}</p></section>", []),
+    "note": lambda w: (f"<div class='cookie-notice' hidden>{' '.join(w[:8])}</div>", []),
+}
+
+
+def _body(rnd, w, marked):
+    """Markup of an article's blocks, and their text; names that say something elsewhere only where it is marked."""
+    out, text = [], []
+    for _ in range(rnd.randrange(2, 9)):
+        x = [rnd.choice(w) for _ in range(rnd.randrange(1, 30))]
+        kind = rnd.randrange(5)
+        said = " ".join(x)
+        if kind == 0:
+            out.append(f"<h2>{said}</h2>")
+        elif kind == 1:
+            out.append(f"<p>{x[0]}\n <b>{' '.join(x[1:])}</b>  ")
+        elif kind == 2:
+            out.append("<ul>" + "".join(f"<li>{y}" for y in x) + "</ul>")
+            said = "\n".join(x)
+        elif kind == 3:
+            out.append(f"<p class='{'related' if marked else 'about'}-{x[0]}'>{said}&nbsp;&amp; <a href='/x'>{x[0]}</a></p>")
+            said += f" & {x[0]}"
+        else:
+            out.append(f"<div class='box'><div>{said}</div></div>")
+        text.append(said)
+    return "".join(out), "\n".join(text)
+
+
+def test_whole_pages(spark):
+    """Pages put together from parts, of which the article's text is known, on hosts of one page and of many."""
+    rnd = random.Random(6)
+    w = ["".join(rnd.choice("abcdefgé") for _ in range(rnd.randrange(2, 9))) for _ in range(300)]
+    pages, want = [], {}
+    for i in range(300):
+        tag = rnd.choice(["article", "main", "div class='main-content'", "section role='main'"])
+        body, text = _body(rnd, w, not tag.startswith("div"))
+        inner = "".join(_PARTS[x](rnd.sample(w, 9))[0] for x in rnd.sample(["ad", "side", "form", "code", "talk"], rnd.randrange(3)))
+        around = [_PARTS[x](rnd.sample(w, 9))[0] for x in rnd.sample(list(_PARTS), rnd.randrange(len(_PARTS)))]
+        at = rnd.randrange(len(around) + 1)
+        end = tag.split()[0]
+        page = "<html><head><title>t</title></head><body>" + "".join(around[:at]) + f"<{tag}>{body}{inner}</{end}>" + "".join(around[at:])
+        pages.append((i, f"https://h{i if i < 20 else i % 4}.example/p{i}", page))
+        want[i] = text
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert not wrong, (pages[wrong[0]][2], got[wrong[0]], want[wrong[0]])
+
+
+def test_menus_by_style(spark):
+    """Links that differ from page to page, without a name for it, go by the tree: their style is the same; without the host's other pages they stay."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    pages = [(i, "https://h.example/" + str(i), "<div><div class='xa'>" + "".join(f"<span><a href='/{i}'>{word()}</a></span> | " for _ in range(5)) + f"</div><div class='xb'><p>{' '.join(word() for _ in range(40))}</p><p>Said on {i}</p></div></div>") for i in range(40)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, page in pages:
+        own = main_text(page).split("\n")
+        assert len(own) == 3 and got[i].split("\n") == own[1:]
+
+
 def test_html_of_other_kinds():
     assert main_text("<p>a <svg class='i'/> b <math/> c<p>d") == "a b c\nd"
     assert main_text("<p>a <svg width=1 /> b</p><p>c <svg><title>t</title><path d='x'/></svg> d") == "a b\nc d"
@@ -176,7 +255,7 @@ def test_near_copies_of_a_host(spark):
         assert got[h : h + 10] == [same] * 8 + [f"Only {i}\nMore of {i}" for i in (8, 9)]
     assert got[28:] == [f"Only {i}\nMore of {i}\nExtra {i * 7}" for i in (8, 9)] and all(got)
     low = frozenset(p for b in html_extract.parse(pages[20][2])[0] for p in b.branch)
-    common = frozenset(html_extract._value(b.text) for b in html_extract.parse(pages[20][2])[0])
+    common = frozenset(html_extract._value(b) for b in html_extract.parse(pages[20][2])[0])
     assert main_text(pages[20][2], low, common).startswith(same)
 
 
@@ -211,7 +290,7 @@ def test_tree_decides(spark):
     for _, u, x in pages:
         host = u.split("/")[2]
         blocks, shapes = html_extract.parse(x)
-        for kind, path, value in [*((False, p, html_extract._value(b.text)) for b in blocks for p in b.branch), *((True, p, v) for p, v in shapes)]:
+        for kind, path, value in [*((False, p, html_extract._value(b)) for b in blocks for p in b.branch), *((True, p, v) for p, v in shapes)]:
             seen[host, path, kind][value].add(u)
             held[host, path, kind].add(u)
     importance = collections.defaultdict(list)
