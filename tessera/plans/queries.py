@@ -7,6 +7,7 @@ benchmark words for the lexicon; orders and parts for lines and words of a graph
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,9 +19,10 @@ from tessera.operators import candidates, graph, library, merge, temporal
 from tessera.operators.community import gaining, group_names, louvain, modularity, top_groups
 from tessera.operators.lexicon import as_phrase, table_hits
 from tessera.operators.sequence import first_rule, lexicon_matches, match_rules, regex_spans, rule_spans, seq_spans
+from tessera.operators.text_index import add_to_index, indexed_search, open_index
 from tessera.sources import ingest
 from tessera.sources.ingest import ranked
-from tessera.sources.mart import counted, lines, load, token_array, tokens
+from tessera.sources.mart import counted, lines, load, shared_dir, token_array, tokens
 from tessera.streaming.daily import daily_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -752,6 +754,23 @@ def line_search(s, d):
     return lines(_docs(s, d)).where(F.col("line").contains("thand")).select("doc_id", "line_idx", "line")
 
 
+_NEEDLES = ["thand", "src1", "é", "n i", "zzz", "fr"]
+
+
+@query("WITH n AS (SELECT unnest(" + str(_NEEDLES) + ") AS needle), r AS (SELECT doc_id, unnest([{'col': 'text', 'x': text}, {'col': 'source', 'x': source}, {'col': 'lang', 'x': lang}]) AS v FROM documents) SELECT needle, v.col AS col, count(DISTINCT doc_id) AS n, min(doc_id) AS first, sum(DISTINCT doc_id)::BIGINT AS ids FROM r, n WHERE contains(v.x, needle) GROUP BY ALL")
+def index_search(s, d):
+    """Searches of all columns through an index of grams that is made in two increments."""
+    docs = _docs(s, d).select("doc_id", "text", "source", "lang")
+    path = f"{shared_dir(s)}/tessera-index-{uuid.uuid4().hex}"
+    for i in (0, 1):
+        add_to_index(docs.where(F.col("doc_id") % 2 == i), path, "doc_id", ["text", "source", "lang"], f"batch{i}")
+    index, out = open_index(s, path), None
+    for needle in _NEEDLES:
+        one = indexed_search(index, docs, "doc_id", needle).select(F.lit(needle).alias("needle"), "col", "doc_id")
+        out = one if out is None else out.unionAll(one)
+    return out.groupBy("needle", "col").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.sum("doc_id").alias("ids"))
+
+
 @query("SELECT c_custkey, row_number() OVER (ORDER BY regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT, c_custkey) AS rank FROM customer")
 def suffix_order(s, d):
     """Names in the order of the number that they end in."""
