@@ -24,6 +24,7 @@ from tessera.sources import ingest
 from tessera.sources.ingest import ranked
 from tessera.sources.mart import counted, lines, load, shared_dir, token_array, tokens
 from tessera.streaming.daily import daily_log
+from tessera.streaming.sync import progress_at, sync_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -771,6 +772,18 @@ def index_search(s, d):
     return out.groupBy("needle", "col").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.sum("doc_id").alias("ids"))
 
 
+@query("WITH e AS (SELECT event_id, user_id, event_type, value > 20 AS learned FROM events), k AS (SELECT user_id, event_type FROM e GROUP BY ALL HAVING arg_max(learned, (event_id % 3, event_id))), n AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id) SELECT user_id::VARCHAR AS user_id, coalesce(string_agg(event_type, ',' ORDER BY event_type), '') AS learned, any_value(n)::INT AS n FROM n LEFT JOIN k USING (user_id) GROUP BY user_id")
+def synced_progress(s, d):
+    """Progress after three batches of requests, one of which runs twice: each event says that a word is learned or no more."""
+    types, yes = F.array("event_type"), F.col("value") > 20
+    none = F.array().cast("array<string>")
+    asked = load(s, d, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("event_id").alias("seq"), F.when(yes, types).otherwise(none).alias("learned"), F.create_map(F.lit("n"), F.lit(1)).alias("log"), F.when(yes, none).otherwise(types).alias("base_learned"), F.lit(None).cast("map<string,int>").alias("base_log"))
+    path = f"{shared_dir(s)}/tessera-progress-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1, 2):
+        sync_batch(asked.where(F.col("seq") % 3 == batch), batch, path, whole_every=2)
+    return progress_at(s, path).select("user_id", F.array_join("learned", ",").alias("learned"), F.col("log")["n"].alias("n"))
+
+
 @query("SELECT c_custkey, row_number() OVER (ORDER BY regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT, c_custkey) AS rank FROM customer")
 def suffix_order(s, d):
     """Names in the order of the number that they end in."""
