@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let, sums_before
 from tessera.functions.text import KANJI, to_hira
 from tessera.operators.sequence import matches
 
+#: A reading in parentheses after kanji, and tags of marks.
 _NOTE = f"({KANJI}+)[(（]([ぁ-ゖァ-ヺー]+)[)）]"
 _MARKS = ("補助記号", "空白")
 #: Short names of parts of speech.
@@ -23,15 +25,14 @@ def strip_notes(text: Column) -> Column:
     """(text, notes): the text without readings in parentheses after kanji, and (b, e, k) of what they are on, in that text."""
     part = lambda i: F.regexp_extract_all(text, F.lit(_NOTE), F.lit(i))
     gaps = F.slice(F.transform(F.split(text, _NOTE, -1), lambda g: F.length(g)), F.lit(1), F.size(part(1)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<b:int,e:int,k:string>>").alias("notes"))
+    found = F.arrays_zip(gaps.alias("g"), part(1).alias("w"), part(2).alias("k"))
 
-    def step(acc: Column, x: Column) -> Column:
-        b = acc["at"] + x["g"]
-        e = b + F.length(x["w"])
-        return F.struct(e.alias("at"), F.concat(acc["notes"], F.array(F.struct(b.alias("b"), e.alias("e"), x["k"].alias("k")))).alias("notes"))
+    def placed(x: Column) -> Column:
+        # Each note is after the gaps up to it and the words before it.
+        before = sums_before(F.transform(x, lambda n: n["g"] + F.length(n["w"])))
+        return F.zip_with(before, x, lambda at, n: F.struct((at + n["g"]).alias("b"), (at + n["g"] + F.length(n["w"])).alias("e"), n["k"].alias("k")))
 
-    found = F.arrays_zip(gaps.alias("g"), part(1).alias("w"), part(2).alias("k"))
-    return F.struct(F.regexp_replace(text, _NOTE, "$1").alias("text"), F.aggregate(found, zero, step, lambda a: a["notes"]).alias("notes"))
+    return F.struct(F.regexp_replace(text, _NOTE, "$1").alias("text"), let(found, placed).alias("notes"))
 
 
 def apply_notes(tokens: Column, notes: Column, text: Column) -> Column:

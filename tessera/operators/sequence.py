@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import let, sums_before
+from tessera.functions.arrays import kept_in_turn, let, sums_before
 
 
 def _many(x: str | list[str]) -> list[str]:
@@ -84,7 +84,7 @@ def regex_spans(text: Column, pattern: str) -> Column:
 def greedy(spans: Column) -> Column:
     """Sorted by start and end, a span is dropped if it starts before the last kept one ends: at one start the shortest wins."""
     none = F.array().cast("array<struct<s:int,e:int>>")
-    return F.aggregate(F.array_sort(F.array_distinct(spans)), none, lambda acc, x: F.when((F.size(acc) == 0) | (x["s"] >= F.element_at(acc, -1)["e"]), F.concat(acc, F.array(x))).otherwise(acc))
+    return kept_in_turn(F.array_sort(F.array_distinct(spans)), lambda last, x: x["s"] >= last["e"], none)
 
 
 def lexicon_matches(text: Column, tokens: Column, entries: dict[str, list]) -> Column:
@@ -111,12 +111,7 @@ def lexicon_matches(text: Column, tokens: Column, entries: dict[str, list]) -> C
     if not tagged:
         return none
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        free = last.isNull() | (last["w"] != x["w"]) | (x["s"] >= last["e"])
-        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
-
-    return F.aggregate(F.array_sort(F.array_distinct(F.concat(*tagged))), none, step)
+    return kept_in_turn(F.array_sort(F.array_distinct(F.concat(*tagged))), lambda last, x: (last["w"] != x["w"]) | (x["s"] >= last["e"]), none)
 
 
 def rule_spans(text: Column, tokens: Column, rule: dict) -> Column:

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -50,3 +51,19 @@ def test_greedy_keeps_the_shortest(spark):
 def test_regex_spans_count_code_points(spark):
     df = spark.createDataFrame([("😀ab ab", ), ("", ), (None, )], "t string")
     assert [None if r.x is None else _pairs(r.x) for r in df.select(regex_spans(F.col("t"), "ab").alias("x")).collect()] == [[(1, 3), (4, 6)], [], None]
+
+
+def test_kept_in_turn(spark):
+    """Greedy over arrays longer than a block, against a plain loop."""
+    rnd = random.Random(3)
+    rows = []
+    for n in (0, 1, 5, 63, 64, 65, 400):
+        starts = [rnd.randrange(2 * n + 1) for _ in range(n)]
+        rows.append((n, [(s, s + rnd.randrange(1, 9)) for s in starts]))
+    got = {r.n: [tuple(x) for x in r.x] for r in spark.createDataFrame(rows, "n int, x array<struct<s:int,e:int>>").select("n", greedy(F.col("x")).alias("x")).collect()}
+    for n, spans in rows:
+        kept = []
+        for x in sorted(set(spans)):
+            if not kept or x[0] >= kept[-1][1]:
+                kept.append(x)
+        assert got[n] == kept
