@@ -305,8 +305,10 @@ def _phrase_lexicon(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("w"), F.concat(runs, first, F.filter(words, lambda x: F.length(x) >= 9)).alias("match"))
 
 
-def _lexicon_hits(s: SparkSession, d: str) -> DataFrame:
-    return table_hits(_placed_lines(s, d).select("doc_id", "line_idx", "line", "tok"), _phrase_lexicon(s, d), ["doc_id", "line_idx"])
+def _lexicon_hits(s: SparkSession, d: str, text: DataFrame | None = None) -> DataFrame:
+    """Hits in the lines, whose tokens are stored, as they are read once for each kind of alternatives."""
+    text = graph.written(_placed_lines(s, d).select("doc_id", "line_idx", "line", "tok"), "lines") if text is None else text
+    return table_hits(text, _phrase_lexicon(s, d), ["doc_id", "line_idx"])
 
 
 _ITEM_WORDS = r"bw AS (SELECT item_id::VARCHAR AS w, [lower(x) FOR x IN regexp_extract_all(text, '\p{L}+')] AS ws FROM benchmark WHERE text IS NOT NULL), one AS (SELECT DISTINCT w, unnest([x FOR x IN ws IF len(x) >= 9]) AS a FROM bw), two AS (SELECT w, ws[1] AS a, ws[2] AS b FROM bw WHERE len(ws) >= 2), three AS (SELECT DISTINCT w, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM bw, range(1, len(ws) - 1) r(i))"
@@ -341,12 +343,13 @@ _CHOSEN, _WORD_TAGS, _GRAMMAR = ["src1", "src2"], ["cap", "word"], ["twice"]
 def _mart(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """Tokens, hits, lines, songs and albums, stored as tables."""
     docs = _docs(s, d)
-    text = _placed_lines(s, d).select(F.col("doc_id").alias("song_id"), "line_idx", "line", "tok")
+    found = graph.written(_placed_lines(s, d).select("doc_id", "line_idx", "line", "tok"), "lines")
+    text = found.withColumnRenamed("doc_id", "song_id")
     one = lambda t: F.struct(t["s"].alias("surface"), t["l"].alias("lemma"), t["s"].alias("kana"), F.reverse(t["l"]).alias("lemma_kana"), t["p"].alias("pos1"), t["b"].alias("c_start"), t["e"].alias("c_end"))
     tokens_ = text.select("song_id", "line_idx", F.posexplode(F.transform("tok", one)).alias("pos", "x")).select("song_id", "line_idx", "pos", "x.*")
     rules = {"twice": {"tok": [{"p": "word"}, {"p": "word"}, {"p": "word"}]}, "caps": {"tok": [{"p": "cap"}, {"p": "cap"}]}}
     grammar = text.select("song_id", "line_idx", F.explode(match_rules(F.col("line"), F.col("tok"), rules)).alias("x")).select(F.col("x.id").alias("grammar_id"), "song_id", "line_idx", F.col("x.s").alias("c_start"), F.col("x.e").alias("c_end"))
-    hits = _lexicon_hits(s, d).select("w", F.col("doc_id").alias("song_id"), "line_idx", F.col("s").alias("c_start"), F.col("e").alias("c_end"))
+    hits = _lexicon_hits(s, d, found).select("w", F.col("doc_id").alias("song_id"), "line_idx", F.col("s").alias("c_start"), F.col("e").alias("c_end"))
     judged = docs.select("doc_id", F.col("source").alias("id")).join(load(s, d, "labels"), "doc_id", "left").groupBy("id").agg((F.count_if(F.col("quality") == 1) > 4 * F.count_if(F.col("quality") == 0)).alias("done"))
     stored = {"tokens": tokens_, "grammar_hits": grammar, "entry_hits": hits}
     return {n: graph.written(t, n) for n, t in stored.items()} | {"albums": judged, "songs": counted(docs).select(F.col("doc_id").alias("id"), F.col("source").alias("album"), "dup_of"), "lines": text.select("song_id", F.col("line_idx").alias("idx"), F.col("line").alias("ja"), F.lit("").alias("zh"))}
