@@ -18,6 +18,7 @@ from tessera.functions.text import base_title, mark_span
 from tessera.operators import candidates, graph, library, merge, temporal
 from tessera.operators.community import gaining, group_names, louvain, modularity, top_groups
 from tessera.operators.lexicon import as_phrase, table_hits
+from tessera.operators.progress import day_queue, review_state
 from tessera.operators.sequence import first_rule, lexicon_matches, match_rules, regex_spans, rule_spans, seq_spans
 from tessera.operators.text_index import add_to_index, indexed_search, open_index
 from tessera.sources import ingest
@@ -787,6 +788,31 @@ def synced_progress(s, d):
     return progress_at(s, path).select("user_id", F.array_join("learned", ",").alias("learned"), F.col("log")["n"].alias("n"))
 
 
+_GRADES = {"click": "remembered", "view": "remembered", "purchase": "vague", "signup": "forgot", "error": "wrong"}
+_ANSWERS = "g AS (SELECT user_id, event_id * 7 % 60 + 1 AS word, ts::DATE - DATE '1970-01-01' AS day, event_id AS ord, CASE event_type WHEN 'purchase' THEN 'vague' WHEN 'signup' THEN 'forgot' WHEN 'error' THEN 'wrong' ELSE 'remembered' END AS grade FROM events), z AS (SELECT user_id, word, max({'d': day, 'o': ord}) FILTER (grade = 'forgot') AS reset, min(day) AS begun, arg_max({'day': day, 'grade': grade}, {'d': day, 'o': ord}) AS last FROM g GROUP BY ALL), st AS (SELECT user_id, word, begun, last, (SELECT count(*) FROM g WHERE g.user_id = z.user_id AND g.word = z.word AND grade = 'remembered' AND (reset IS NULL OR {'d': day, 'o': ord} > reset)) AS ups FROM z), sr AS (SELECT user_id, word, least(ups, 4)::INT AS box, (last.day + CASE WHEN last.grade = 'wrong' THEN 0 ELSE [1, 2, 4, 7, 15][least(ups, 4) + 1] END)::INT AS due, ups >= 5 AS mastered, begun::INT AS begun FROM st)"
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    """Events as answers, in the order of their ids; the days of ids go up."""
+    grades = F.create_map(*(F.lit(x) for pair in _GRADES.items() for x in pair))
+    return load(s, d, "events").select(F.col("user_id").alias("user"), (F.col("event_id") * 7 % 60 + 1).alias("word"), F.unix_date(F.to_date("ts")).alias("day"), F.col("event_id").alias("ord"), F.try_element_at(grades, F.col("event_type")).alias("grade"))
+
+
+@query(f"WITH {_ANSWERS} SELECT * FROM sr")
+def review_states(s, d):
+    """Box, due day and mastery of each learner's words."""
+    return review_state(_answers(s, d)).withColumnRenamed("user", "user_id")
+
+
+@query(f"WITH {_ANSWERS}, dd AS (SELECT max(day) AS today FROM g), v AS (SELECT p_partkey AS word, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part), room AS (SELECT user_id, greatest(15 - count(*) FILTER (begun = today), 0) AS room FROM sr, dd GROUP BY user_id), n AS (SELECT user_id, word, room, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS j FROM room, v WHERE (user_id, word) NOT IN (SELECT (user_id, word) FROM sr)) SELECT user_id, word, false AS new FROM sr, dd WHERE due <= today AND NOT mastered UNION ALL SELECT user_id, word, true FROM n WHERE j <= room")
+def review_queue(s, d):
+    """What the last day asks of each learner: words that are due, and new ones up to the day's limit."""
+    answers = _answers(s, d)
+    today = answers.agg(F.max("day")).first()[0]  # one number
+    words = ranked(load(s, d, "part").select(F.col("p_partkey").alias("word"), "p_size").withColumn("_size", -F.col("p_size")), ["_size", "word"], "rank")
+    return day_queue(review_state(answers), words.select("word", "rank"), today if today is not None else 0).withColumnRenamed("user", "user_id")
+
+
 @query("SELECT c_custkey, row_number() OVER (ORDER BY regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT, c_custkey) AS rank FROM customer")
 def suffix_order(s, d):
     """Names in the order of the number that they end in."""
