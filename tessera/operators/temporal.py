@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let
+
 #: Lines of timed text that say who made it, not what is sung; fixed values.
 CREDITS = ("作词", "作詞", "作曲", "编曲", "編曲", "演唱", "制作人", "标题", "歌")
 #: Fixed value: dashes of title lines.
@@ -31,23 +33,33 @@ def stamp_ms(stamp: Column) -> Column:
     return part(1).try_cast("long") * 60000 + part(2).try_cast("long") * 1000 + F.rpad(part(3), 3, "0").try_cast("long")
 
 
+def _timed_rows(line: Column, number: Column, performers: tuple[str, ...]) -> Column:
+    """A line's array of (ms, file_line, stamp_no, text), one for each stamp; empty where it says nothing that is sung."""
+    lead = F.regexp_extract(line, r"^((?:\[\d+:\d+(?:[.:]\d+)?\])*)", 1)
+    text = F.substring(line, F.length(lead) + 1, F.length(line))
+    for blank in (r"\s", r"\x{200B}\x{200E}\x{200F}\x{FEFF}", r"\s"):  # space, marks, and space within them
+        text = F.regexp_replace(text, rf"(?U)^[{blank}]+|[{blank}]+$", "")
+
+    def rows(text: Column) -> Column:
+        drop = (F.length(text) == 0) | text.rlike(rf"(?U)^(?:{'|'.join(CREDITS)})\s*[:：]")
+        for name in performers:
+            drop |= text.rlike(rf"(?U)^\Q{name}\E\s*{_DASH}\s|\s{_DASH}\s*\Q{name}\E$")
+        stamps = F.regexp_extract_all(lead, F.lit(r"\[[^\]]*\]"), F.lit(0))
+        return F.transform(F.filter(stamps, lambda x: ~drop), lambda x, i: F.struct(stamp_ms(x).alias("ms"), number.alias("file_line"), i.alias("stamp_no"), text.alias("text")))
+
+    return let(text, rows)
+
+
 def parse_timed_text(files: DataFrame, performers: tuple[str, ...] = ()) -> DataFrame:
-    """(path, ms, text, ord) from (path, value), whole files: a row for each stamp.
+    """(path, ms, text, ord) from (path, value), whole files: a row for each stamp, in a batch or a stream.
 
     Rows without stamp or text, credits, and title lines that begin "performer - " or end
-    " - performer" are dropped.
+    " - performer" are dropped. A file's rows are put in order within its own array, so
+    nothing is shuffled; a null file has none, and files of one path are numbered each.
     """
-    at = files.select("path", F.posexplode(F.split("value", r"\r\n|[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]", -1)).alias("file_line", "line"))
-    lead = F.regexp_extract("line", r"^((?:\[\d+:\d+(?:[.:]\d+)?\])*)", 1)
-    text = F.substring(F.col("line"), F.length(lead) + 1, F.length("line"))
-    for blank in (r"\s", r"\x{200B}\x{200E}\x{200F}\x{FEFF}", r"\s"):  # space, marks, and space within them
-        text = F.regexp_replace(text, rf"(?U)^[{blank}]+|[{blank}]+$", "")
-    rows = at.select("path", "file_line", text.alias("text"), F.posexplode(F.regexp_extract_all(lead, F.lit(r"\[[^\]]*\]"), F.lit(0))).alias("stamp_no", "stamp"))
-    kept = rows.where((F.length("text") > 0) & ~F.col("text").rlike(rf"(?U)^(?:{'|'.join(CREDITS)})\s*[:：]"))
-    for name in performers:
-        kept = kept.where(~F.col("text").rlike(rf"(?U)^\Q{name}\E\s*{_DASH}\s|\s{_DASH}\s*\Q{name}\E$"))
-    w = Window.partitionBy("path").orderBy("ms", "file_line", "stamp_no")
-    return kept.withColumn("ms", stamp_ms(F.col("stamp"))).withColumn("ord", F.row_number().over(w) - 1).select("path", "ms", "text", "ord")
+    parts = F.split("value", r"\r\n|[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]", -1)
+    found = F.array_sort(F.flatten(F.transform(parts, lambda x, i: _timed_rows(x, i, performers))))
+    return files.select("path", F.posexplode(found).alias("ord", "x")).select("path", "x.ms", "x.text", "ord")
 
 
 def _carried(rows: DataFrame, key: str, bucket: str, state: str) -> DataFrame:

@@ -21,7 +21,7 @@ from tessera.operators.lexicon import as_phrase, table_hits
 from tessera.operators.progress import day_queue, review_state
 from tessera.operators.sequence import first_rule, lexicon_matches, match_rules, regex_spans, rule_spans, seq_spans
 from tessera.operators.text_index import add_to_index, indexed_search, open_index
-from tessera.sources import ingest
+from tessera.sources import folder, ingest
 from tessera.sources.ingest import ranked
 from tessera.sources.mart import counted, lines, load, shared_dir, token_array, tokens
 from tessera.streaming.daily import daily_log
@@ -697,6 +697,25 @@ def timed_text_parse(s, d):
     return out.select(F.col("path").alias("conv_id"), F.floor(F.col("ms") / 1000).alias("turn"), F.col("ord").cast("long").alias("ord"))
 
 
+@query(rf"WITH {_LINES}, x AS (SELECT doc_id, coalesce(source, 'none') AS band, coalesce(lang, 'none') AS album, line_idx, trim(regexp_replace(line, '[^a-zA-Z0-9., ]', '', 'g'), ' ') AS text FROM l), y AS (SELECT * FROM x WHERE text <> '' AND line_idx % 5 <> 4 AND line_idx % 7 <> 6), z AS (SELECT *, line_idx * 1000 AS ms FROM y UNION ALL SELECT *, line_idx * 1000 + 30500 FROM y WHERE line_idx % 3 = 0) SELECT doc_id, 'b-' || band AS band, 'a-' || album AS album, ms::BIGINT AS ms, text, (row_number() OVER (PARTITION BY doc_id ORDER BY ms) - 1)::BIGINT AS ord FROM z")
+def library_scan(s, d):
+    """Timed lines of a library with a folder for each source and language and a file for each document: lines with two stamps, credits and lines without a stamp among them."""
+    docs = _docs(s, d).select("doc_id", F.coalesce("source", F.lit("none")).alias("band"), F.coalesce("lang", F.lit("none")).alias("album"), "text")
+    stamp = lambda ms: F.format_string("[%02d:%02d.%d]", F.floor(ms / 60000), F.floor(ms / 1000) % 60, F.floor(ms / 100) % 10)
+
+    def stamped(line: Column, i: Column) -> Column:
+        at = F.when(i % 7 == 6, "").when(i % 3 == 0, F.concat(stamp(i * 1000 + 30500), stamp(i * 1000))).otherwise(stamp(i * 1000))
+        return F.concat(at, F.when(i % 5 == 4, "作曲：").otherwise(""), F.regexp_replace(line, "[^a-zA-Z0-9., ]", ""))
+
+    value = F.array_join(F.transform(F.split("text", "\n", -1), stamped), "\n")
+    at = F.concat(F.lit("lib/"), F.col("band"), F.lit("/[of] "), F.col("album"), F.lit(" (2020.01)/"), F.col("doc_id").cast("string"), F.lit(". song.ja.lrc"))
+    ids = lambda name, to: docs.select(F.col(name).alias("lib"), F.concat(F.lit(to), F.col(name)).alias("id")).distinct()
+    seen = folder.tracks(folder.scan(docs.select(at.alias("path"), value.cast("binary").alias("content")), "lib", ids("band", "b-"), ids("album", "a-")))
+    key = F.struct("track", "band", "album")
+    out = temporal.parse_timed_text(seen.select(key.alias("path"), "value"))
+    return out.select(F.col("path.track").cast("long").alias("doc_id"), "path.band", "path.album", "ms", "text", F.col("ord").cast("long").alias("ord"))
+
+
 #: Which types of event each side of a merge holds; types on both sides are what the sides share.
 _CLOUD, _LOCAL, _BASE = ("signup", "view"), ("click", "view"), ("error", "purchase")
 
