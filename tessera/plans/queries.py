@@ -17,13 +17,14 @@ from tessera.functions.arrays import let
 from tessera.functions.text import base_title, mark_span
 from tessera.operators import candidates, graph, library, merge, temporal
 from tessera.operators.community import gaining, group_names, louvain, modularity, top_groups
+from tessera.operators.lattice import lattice_tagger
 from tessera.operators.lexicon import as_phrase, table_hits
 from tessera.operators.progress import day_queue, review_state
 from tessera.operators.sequence import first_rule, lexicon_matches, match_rules, regex_spans, rule_spans, seq_spans
 from tessera.operators.text_index import add_to_index, indexed_search, open_index
 from tessera.sources import folder, ingest
 from tessera.sources.ingest import ranked
-from tessera.sources.mart import counted, lines, load, shared_dir, token_array, tokens
+from tessera.sources.mart import counted, lines, load, shared_dir, tagged_lines, token_array, tokens
 from tessera.streaming.daily import daily_log
 from tessera.streaming.sync import progress_at, sync_batch
 
@@ -716,6 +717,20 @@ def library_scan(s, d):
     return out.select(F.col("path.track").cast("long").alias("doc_id"), "path.band", "path.album", "ms", "text", F.col("ord").cast("long").alias("ord"))
 
 
+@query()
+def lattice_tokens(s, d):
+    """How the dictionary of benchmark words cuts each turn's text without its spaces: pieces, those in the dictionary, and their code points."""
+    n = F.least(F.count("*"), F.lit(8)).cast("int")
+    words = load(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{1,64}"), 0)).alias("s")).groupBy("s").agg((6000 - 500 * n).alias("cost"))
+    kind = 1 + F.length("s") % 3
+    entries = words.select("s", F.lower("s").alias("l"), F.lit("word").alias("p"), kind.alias("left"), kind.alias("right"), "cost")
+    pairs = s.range(16).select((F.col("id") % 4).alias("right"), F.floor(F.col("id") / 4).alias("left")).withColumn("cost", (F.col("right") * 2 + F.col("left")) % 3 * 100)
+    turns = load(s, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"\s+", "").alias("line"))
+    cut = tagged_lines(turns, lattice_tagger(entries, pairs))
+    known = F.filter("tok", lambda t: t["p"] == "word")
+    return cut.select("conv_id", "turn", F.size("tok").alias("n"), F.size(known).alias("known"), F.coalesce(F.length(F.array_join(F.transform("tok", lambda t: t["s"]), "")), F.lit(0)).alias("n_chars"))
+
+
 #: Which types of event each side of a merge holds; types on both sides are what the sides share.
 _CLOUD, _LOCAL, _BASE = ("signup", "view"), ("click", "view"), ("error", "purchase")
 
