@@ -88,14 +88,15 @@ def current_line(moments: DataFrame, timed: DataFrame, key: str, bucket: int = 3
     return out.select("_m.*", F.col("_last.t").alias("line_t"), F.col("_last.text").alias("text"))
 
 
-def line_durations(timed: DataFrame, key: str, order: str, most: int) -> DataFrame:
+def line_durations(timed: DataFrame, key: str, order: str | list[str], most: int) -> DataFrame:
     """timed (key, t, order) with ms until the key's next row, `most` at most, which the last row has too.
 
-    No later row counts than one in the next `most` ms, so rows meet in buckets of that
+    Rows of one t go by `order`, a column or several; a finer time than t comes first in
+    it, as which of them is the last one decides. No later row counts than one in the next `most` ms, so rows meet in buckets of that
     width, and each bucket sees the first row of the next.
     """
     b = timed.withColumn("_b", F.floor(F.col("t") / most))
     first = b.groupBy(F.col(key).alias("_k"), (F.col("_b") - 1).alias("_c")).agg(F.min("t").alias("_next"))
-    w = Window.partitionBy(key, "_b").orderBy("t", order)
+    w = Window.partitionBy(key, "_b").orderBy("t", *([order] if isinstance(order, str) else order))
     wide = b.withColumn("_own", F.lead("t").over(w)).join(first, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")), "left")
     return wide.withColumn("ms", F.least(F.coalesce("_own", "_next") - F.col("t"), F.lit(most)).cast("long")).withColumn("ms", F.coalesce("ms", F.lit(most).cast("long"))).drop("_b", "_k", "_c", "_own", "_next")

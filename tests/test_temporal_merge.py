@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import base_title, mark_span, nfc, to_hira
 from tessera.operators import graph, merge, temporal
+from tessera.plans import queries
 from tessera.streaming.daily import daily_log
 
 
@@ -12,6 +13,15 @@ def test_nearest(spark):
     assert got == {"a": "x", "b": "z", "c": ""}
 
 
+def test_durations_within_a_millisecond(spark):
+    """The finer time decides which row of one millisecond is the last, and milliseconds are those of the SQL: to the nearest."""
+    rows = spark.sql("SELECT 1 AS user_id, timestamp_micros(u) AS ts, e AS event_id FROM VALUES (1000200L, 9L), (1000400L, 3L), (5000600L, 1L), (7000500L, 2L), (9000499L, 4L), (-1600L, 5L), (-1500L, 6L), (-499L, 7L) AS v (u, e)")
+    t = rows.withColumn("t", queries._ms())
+    assert {r.event_id: r.t for r in t.collect()} == {9: 1000, 3: 1000, 1: 5001, 2: 7001, 4: 9000, 5: -2, 6: -2, 7: 0}
+    got = {r.event_id: r.ms for r in temporal.line_durations(t.where("t > 0"), "user_id", ["ts", "event_id"], 12000).collect()}
+    assert got == {9: 0, 3: 4001, 1: 2000, 2: 1999, 4: 12000}
+
+
 def test_timed_text(spark):
     files = spark.createDataFrame([("f", "[by:me]\n[00:02.5][00:01.25]　two \r\n[00:00.1]\n作词 : me\nno stamp\n[01:00]last​")], "path string, value string")
     rows = temporal.parse_timed_text(files).orderBy("ord").collect()
