@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.mart import shared_dir
@@ -14,19 +14,27 @@ from tessera.sources.mart import shared_dir
 
 #: A line with more words is cut into blocks of about BLOCK_WORDS, and each two blocks are a task's.
 HOT_WORDS, BLOCK_WORDS = 1000, 500
+#: Pairs that a task makes of other lines, about; it sums those of a kind in memory.
+TASK_PAIRS = 500_000
+#: Rows of items that a task holds to find what repeats, about.
+TASK_ROWS = 500_000
 
 
 def line_pairs(items: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(line, a, b), a < b, of every two words of distinct (line, w).
 
     Words of a line of more than HOT_WORDS are dealt into blocks by a hash, and meet in
-    the triangle of pairs of blocks: its pairs are spread over as many keys. nodes (w), if
-    given, are the only words that count.
+    the triangle of pairs of blocks: its pairs are spread over as many keys. Other lines
+    are dealt into as many parts as their pairs ask for, so a task's pairs don't grow with
+    the table. nodes (w), if given, are the only words that count.
     """
     d = items if nodes is None else items.join(nodes.select("w"), "w", "left_semi")
     d = written(d.select("line", "w"), "words")
-    hot = written(d.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > HOT_WORDS).select("line", F.ceil(F.col("n") / BLOCK_WORDS).alias("blocks")), "hot")
-    cold = d.join(hot, "line", "left_anti")
+    seen, n = Observation(), F.col("n")
+    sizes = d.groupBy("line").agg(F.count("*").alias("n")).observe(seen, F.sum(F.when(n <= HOT_WORDS, n * (n - 1) / 2)).alias("pairs"))
+    hot = written(sizes.where(n > HOT_WORDS).select("line", F.ceil(n / BLOCK_WORDS).alias("blocks")), "hot")
+    parts = max(d.sparkSession.sparkContext.defaultParallelism, int((seen.get["pairs"] or 0) // TASK_PAIRS) + 1)
+    cold = d.repartition(parts, "line").join(hot, "line", "left_anti")
     few = cold.alias("x").join(cold.alias("y"), (F.col("x.line") == F.col("y.line")) & (F.col("x.w") < F.col("y.w"))).select("x.line", F.col("x.w").alias("a"), F.col("y.w").alias("b"))
     placed = d.join(hot, "line").withColumn("i", F.pmod(F.xxhash64("w"), "blocks"))
     each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))
@@ -47,7 +55,8 @@ def cooccurrence(items: DataFrame, line: str, word: str, least: int = 2) -> tupl
     Words of fewer than `least` lines are in no pair, and go before pairs are made. Rows
     with a null line or word are no items.
     """
-    d = items.select(F.col(line).alias("line"), F.col(word).alias("w")).where("line IS NOT NULL AND w IS NOT NULL").distinct()
+    d = items.select(F.col(line).alias("line"), F.col(word).alias("w")).where("line IS NOT NULL AND w IS NOT NULL")
+    d = d.repartition(max(d.sparkSession.sparkContext.defaultParallelism, items.count() // TASK_ROWS + 1), "line", "w").distinct()
     nodes = d.groupBy("w").agg(F.count("*").alias("lines"))
     pairs = line_pairs(d, nodes.where(F.col("lines") >= least))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least), nodes
@@ -58,12 +67,18 @@ def references(edges: DataFrame, items: DataFrame, lines: DataFrame, order: list
 
     lines are (line, song, text, ...) with the columns of `order`; those of one song with
     equal text are one reference, its first line by order, and how often it comes. refs
-    is an array of (line, times), by order, of `most` references. Only pairs that are
-    edges are joined with lines, and what repeats is one row before edges are grouped.
+    is an array of (line, times), by order, of `most` references. An edge meets the lines
+    of its rarer word, of which those stay that hold the other one, and what repeats is
+    one row before edges are grouped.
     """
-    kept = edges.select("a", "b").distinct()
+    kept = written(edges.select("a", "b").where("a < b").distinct(), "edges")
     ends = kept.select(F.col("a").alias("w")).unionAll(kept.select(F.col("b").alias("w"))).distinct()
-    pairs = line_pairs(items.select("line", "w").where("line IS NOT NULL AND w IS NOT NULL").distinct(), ends).join(kept, ["a", "b"], "left_semi")
+    d = written(items.select("line", "w").where("line IS NOT NULL AND w IS NOT NULL").join(ends, "w", "left_semi").distinct(), "words")
+    count = d.groupBy("w").agg(F.count("*").alias("n"))
+    both = kept.join(count.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(count.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b")
+    few = F.col("na") <= F.col("nb")
+    rare = both.select("a", "b", F.when(few, F.col("a")).otherwise(F.col("b")).alias("w"), F.when(few, F.col("b")).otherwise(F.col("a")).alias("other"))
+    pairs = rare.join(d, "w").join(d.withColumnRenamed("w", "other"), ["line", "other"], "left_semi").select("line", "a", "b")
     place = F.struct(*order, "line")
     once = pairs.join(lines, "line").groupBy("a", "b", "song", "text").agg(F.min(place).alias("at"), F.count("*").alias("times"))
     first = Window.partitionBy("a", "b").orderBy("at")

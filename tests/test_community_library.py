@@ -211,3 +211,20 @@ def test_components(spark, monkeypatch, local):
     names = graph.components(spark.createDataFrame([("b", "c"), ("a", "c"), ("x", "y")], "a string, b string"))
     assert {r.node: r.comp for r in names.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks of pairs grow in number with the pairs, not in size; the pairs are the same."""
+    monkeypatch.setattr(graph, "TASK_PAIRS", 100)
+    items = spark.range(3000).selectExpr("id % 300 AS line", "id AS w")  # 300 lines of 10 words, 45 pairs each
+    pairs = graph.line_pairs(items)
+    sizes = [r["n"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 300 * 45 and len(sizes) > 60 and max(sizes) <= 20 * 45
+
+
+def test_references_by_the_rarer_word(spark):
+    items = spark.createDataFrame([(x, "hub") for x in range(40)] + [(3, "z"), (5, "z"), (5, "z"), (7, "z"), (7, "a"), (None, "a"), (99, "a")], "line long, w string")
+    lines = spark.range(100).selectExpr("id AS line", "id % 2 AS song", "'t' AS text", "-id AS off")
+    edges = spark.createDataFrame([("hub", "z"), ("a", "hub"), ("a", "z"), ("a", "none")], "a string, b string")
+    got = {(r.a, r.b): (r.n, [tuple(x) for x in r.refs]) for r in graph.references(edges, items, lines, ["off"]).collect()}
+    assert got == {("hub", "z"): (3, [(7, 3)]), ("a", "hub"): (1, [(7, 1)]), ("a", "z"): (1, [(7, 1)])}
