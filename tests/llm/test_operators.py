@@ -666,3 +666,11 @@ def test_passages(spark, shard, monkeypatch):
     got = suffix_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert 15 < sum(n > 0 for _, n, _ in want) < 45 and ("z" not in {w for w in split[40]} or want[40][1] == 0)
+
+
+def test_op6_gives_its_segmentations(spark):
+    """The query's rows hold the ids themselves, as many as they say."""
+    from tessera.llm.queries import QUERIES
+
+    rows = QUERIES["op6_sentencepiece_sampling"](spark, "/root/testdata/sf0.001").select("n_pieces", "ids", "decoded").collect()
+    assert rows and all(len(r.ids) == r.n_pieces and r.decoded for r in rows)
