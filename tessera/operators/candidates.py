@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import written
 from tessera.operators.intervals import covered, inside
 
 _LINE = ["song_id", "line_idx"]
@@ -36,6 +37,7 @@ def candidates(tables: dict[str, DataFrame], albums: list[str], pos: list[str],
     # By song first: what a song says often is one row from here on.
     first = F.min(F.struct("line_idx", "pos", "c_start", "c_end", "kana"))
     by_song = marked.groupBy("lemma", "pos1", "song_id", "here").agg(F.count_if(~F.col("covered")).alias("n"), F.max(F.when(~F.col("covered"), F.col("lemma_kana"))).alias("kana"), first.alias("at"))
+    by_song = written(by_song, "words")  # it is read twice
     free = F.col("n") > 0
     found = by_song.groupBy("lemma", "pos1").agg(F.max("kana").alias("kana"), F.count_if(free).alias("songs"), F.count_if(free & F.col("here")).alias("here"), F.sum("n").alias("total")).where((F.col("songs") >= least) & (F.col("here") >= 1))
     order = Window.partitionBy("lemma", "pos1").orderBy(F.desc("here"), "song_id")
@@ -56,7 +58,7 @@ def audit(tables: dict[str, DataFrame], albums: list[str]) -> DataFrame:
     songs = _counted(tables).where(F.col("album").isin(albums)).select("song_id")
     hits = tables["entry_hits"].join(songs, "song_id").select("w", *_LINE, "c_start", "c_end")
     tokens = tables["tokens"].join(songs, "song_id", "left_semi").select(*_LINE, "kana", "c_start", "c_end")
-    by_song = inside(tokens, hits, _LINE).groupBy("w", "kana", "song_id").agg(F.count("*").alias("n"))
+    by_song = written(inside(tokens, hits, _LINE).groupBy("w", "kana", "song_id").agg(F.count("*").alias("n")), "readings")  # it is read twice
     counts = by_song.groupBy("w", "kana").agg(F.sum("n").alias("n")).groupBy("w").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("kana").isNull().alias("last"), "kana"))).alias("_x"))
     held = by_song.select("w", "song_id").distinct().groupBy("w").agg(F.count("*").alias("songs"))
     return held.join(counts, "w").select("w", "songs", F.transform("_x", lambda x: F.struct(x["kana"].alias("kana"), (-x["m"]).alias("n"))).alias("readings"))

@@ -11,12 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Places of a block.
-BLOCK = 4096
+#: Places of a block of a sweep, and of a join, in which each interval meets all of the block.
+BLOCK, JOIN_BLOCK = 4096, 64
 
 
-def _block(place: Column) -> Column:
-    return F.floor(place / BLOCK).cast("long")
+def _block(place: Column, size: int | None = None) -> Column:
+    return F.floor(place / (size or BLOCK)).cast("long")
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,8 +51,9 @@ def inside(inner: DataFrame, outer: DataFrame, keys: list[str], s: str = "c_star
     """Rows of outer, each with every row of inner that it holds; columns of both must differ but for keys, s and e, which are outer's.
 
     An outer interval meets the blocks of places that it spans, an inner one is in the
-    block of its start: a join by line and block, with the places compared.
+    block of its start: a join by line and block, with the places compared. Blocks are
+    short, as pairs that don't hold grow with them.
     """
-    spans = outer.withColumn("_block", F.explode(F.when(F.col(s) <= F.col(e), F.sequence(_block(F.col(s)), _block(F.col(e))))))
-    held = inner.withColumn("_block", _block(F.col(s))).withColumnsRenamed({s: "_s", e: "_e"})
+    spans = outer.withColumn("_block", F.explode(F.when(F.col(s) <= F.col(e), F.sequence(_block(F.col(s), JOIN_BLOCK), _block(F.col(e), JOIN_BLOCK)))))
+    held = inner.withColumn("_block", _block(F.col(s), JOIN_BLOCK)).withColumnsRenamed({s: "_s", e: "_e"})
     return spans.join(held, [*keys, "_block"]).where((F.col("_s") >= F.col(s)) & (F.col("_e") <= F.col(e))).drop("_block", "_s", "_e")

@@ -76,3 +76,10 @@ def test_candidates(tables):
 def test_audit(tables):
     got = [(r.w, r.songs, [tuple(x) for x in r.readings]) for r in audit(tables, ["al", "be"]).collect()]
     assert sorted(got) == [("long", 1, [("É", 1), ("Ö", 1)]), ("one", 1, [("É", 1)])]
+
+
+def test_inside_meets_only_what_is_near(spark):
+    """A line of 2000 tokens and 1000 hits: each hit meets the tokens of its blocks, not of 4096 places."""
+    tokens = spark.range(2000).selectExpr("'a' AS song_id", "0 AS line_idx", "CAST(id * 6 AS int) AS c_start", "CAST(id * 6 + 5 AS int) AS c_end", "id")
+    hits = spark.range(1000).selectExpr("'a' AS song_id", "0 AS line_idx", "CAST(id * 12 AS int) AS c_start", "CAST(id * 12 + 11 AS int) AS c_end", "CAST(id AS string) AS w")
+    assert intervals.JOIN_BLOCK <= 64 and inside(tokens, hits, ["song_id", "line_idx"]).count() == 2000
