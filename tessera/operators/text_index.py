@@ -9,10 +9,15 @@ arrays, and looks at the rows that are left.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import let
+from tessera.sources.letters import parts
 
 #: Characters of the longest gram, ids of a block, and folders.
 GRAM, BLOCK_IDS, FOLDERS = 3, 1 << 16, 64
@@ -34,12 +39,52 @@ def grams(text: Column) -> Column:
     return F.when(F.length(text) > 0, let(F.filter(F.split(text, ""), lambda x: x != ""), runs)).otherwise(F.array().cast("array<string>"))
 
 
+def _pieces(block_ids: int):
+    """Postings of a part of a batch at a time: (gram, col, block, ids) of (id, col, text)."""
+
+    def gram(code: int) -> str:
+        return "".join(chr((code >> 21 * i & 0x1FFFFF) - 1) for i in range(GRAM) if code >> 21 * i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in parts(whole, "text"):
+                texts = ["" if x is None else x for x in b.column("text").to_pylist()]
+                points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+                if not len(points):
+                    continue
+                row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+                code, at = [points], [row]  # 21 bits a character, so 0 is none
+                for n in range(1, GRAM):
+                    same = row[n:] == row[:-n]
+                    code.append(sum(points[k : len(points) - n + k] << 21 * k for k in range(n + 1))[same])
+                    at.append(row[n:][same])
+                code, at = np.concatenate(code), np.concatenate(at)
+                id_, col = b.column("id").to_numpy(), b.column("col").dictionary_encode()
+                kind = col.indices.to_numpy().astype(np.int64)[at]
+                order = np.lexsort((id_[at], kind, code))
+                code, kind, id_ = code[order], kind[order], id_[at][order]
+                block = id_ // block_ids
+                new = np.concatenate(([True], (code[1:] != code[:-1]) | (kind[1:] != kind[:-1]) | (block[1:] != block[:-1])))
+                once = new | np.concatenate(([True], id_[1:] != id_[:-1]))
+                first = np.flatnonzero(new)
+                offsets = np.append(np.cumsum(once)[first] - 1, once.sum())
+                known, which = np.unique(code[first], return_inverse=True)
+                names = pa.array([gram(x) for x in known.tolist()], pa.string()).take(pa.array(which))
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(id_[once], pa.int64()))
+                yield pa.RecordBatch.from_arrays([names, col.dictionary.take(pa.array(kind[first])), pa.array(block[first]), ids], ["gram", "col", "block", "ids"])
+
+    return run
+
+
 def postings(rows: DataFrame, key: str, columns: list[str], batch: str = "") -> DataFrame:
-    """The index of rows: (gram, col, block, ids, batch, folder); ids are sorted and stand once. Rows with a null key aren't indexed."""
+    """The index of rows: (gram, col, block, ids, batch, folder); ids are sorted and stand once. Rows with a null key aren't indexed.
+
+    What is shuffled are lists of ids, of all rows of a part of a batch.
+    """
     each = F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("text")) for c in columns))
     texts = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.explode(each).alias("x")).select("id", "x.*")
-    found = texts.select("id", "col", F.explode(grams(F.col("text"))).alias("gram"))
-    blocks = found.groupBy("gram", "col", F.floor(F.col("id") / BLOCK_IDS).alias("block")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    pieces = texts.mapInArrow(_pieces(BLOCK_IDS), "gram string, col string, block long, ids array<long>")
+    blocks = pieces.groupBy("gram", "col", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     return blocks.withColumn("batch", F.lit(batch)).withColumn("folder", _folder(F.col("gram")))
 
 

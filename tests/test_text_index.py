@@ -59,3 +59,13 @@ def test_blocks_and_grams(spark, monkeypatch):
     one = lambda x: spark.createDataFrame([(x,)], "x string").select(grams(F.col("x")).alias("g")).first().g
     assert sorted(one("aba😀")) == sorted({"a", "b", "😀", "ab", "ba", "a😀", "aba", "ba😀"}) and one("") == [] and one(None) == [] and one("a") == ["a"]
     assert wanted_grams("abcd") == ["abc", "bcd"] and wanted_grams("ab") == ["ab"] and wanted_grams("") == []
+
+
+def test_postings_are_the_grams_of_each_row(spark):
+    """Pieces of a batch are lists of ids, so that not each gram of each row is shuffled."""
+    rows = spark.createDataFrame([(i, ["夜空😀", "ab\0a", "", None, "aaaa", "é"][i % 6], "ab") for i in range(-30, 60)], "id long, x string, y string").repartition(3)
+    want = {(r.g, c, r.id) for c in ("x", "y") for r in rows.select("id", F.explode(grams(F.col(c))).alias("g")).collect()}
+    got = [(r.gram, r.col, i) for r in text_index.postings(rows, "id", ["x", "y"]).collect() for i in r.ids]
+    assert len(got) == len(set(got)) and set(got) == want
+    pieces = rows.selectExpr("id", "'y' AS col", "y AS text").mapInArrow(text_index._pieces(1 << 16), "gram string, col string, block long, ids array<long>")
+    assert pieces.count() <= 2 * 3 * rows.rdd.getNumPartitions()
