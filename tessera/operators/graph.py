@@ -28,12 +28,25 @@ def line_pairs(items: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     are dealt into as many parts as their pairs ask for, so a task's pairs don't grow with
     the table. nodes (w), if given, are the only words that count.
     """
-    d = items if nodes is None else items.join(nodes.select("w"), "w", "left_semi")
-    d = written(d.select("line", "w"), "words")
+    return _pairs(items if nodes is None else items.join(nodes.select("w"), "w", "left_semi"))[0]
+
+
+def _parts(df: DataFrame, rows: int, size: int) -> int:
+    """Tasks that hold about `size` rows each, one for each core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, rows // size + 1)
+
+
+def _pairs(d: DataFrame) -> tuple[DataFrame, int]:
+    """line_pairs of distinct (line, w), and how many there are."""
+    held = Observation()
+    d = written(d.select("line", "w").observe(held, F.count("*").alias("rows")), "words")
     seen, n = Observation(), F.col("n")
-    sizes = d.groupBy("line").agg(F.count("*").alias("n")).observe(seen, F.sum(F.when(n <= HOT_WORDS, n * (n - 1) / 2)).alias("pairs"))
+    # Dealt by their number before they are counted: a split of the table holds more lines the larger it is.
+    sizes = d.select("line").repartition(_parts(d, held.get["rows"], TASK_ROWS), "line").groupBy("line").agg(F.count("*").alias("n"))
+    every = n * (n - 1) / 2
+    sizes = sizes.observe(seen, F.sum(F.when(n <= HOT_WORDS, every)).alias("pairs"), F.sum(every).alias("all"))
     hot = written(sizes.where(n > HOT_WORDS).select("line", F.ceil(n / BLOCK_WORDS).alias("blocks")), "hot")
-    parts = max(d.sparkSession.sparkContext.defaultParallelism, int((seen.get["pairs"] or 0) // TASK_PAIRS) + 1)
+    parts = _parts(d, int(seen.get["pairs"] or 0), TASK_PAIRS)
     cold = d.repartition(parts, "line").join(hot, "line", "left_anti")
     few = cold.alias("x").join(cold.alias("y"), (F.col("x.line") == F.col("y.line")) & (F.col("x.w") < F.col("y.w"))).select("x.line", F.col("x.w").alias("a"), F.col("y.w").alias("b"))
     placed = d.join(hot, "line").withColumn("i", F.pmod(F.xxhash64("w"), "blocks"))
@@ -46,20 +59,28 @@ def line_pairs(items: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     # Two words of one block meet in its own tile only.
     once = (F.least("x.i", "y.i") == F.col("x.p")) & (F.greatest("x.i", "y.i") == F.col("x.q"))
     many = x.join(y, same & once & (F.col("x.w") < F.col("y.w"))).select("x.line", F.col("x.w").alias("a"), F.col("y.w").alias("b"))
-    return few.unionAll(many)
+    return few.unionAll(many), int(seen.get["all"] or 0)
 
 
 def cooccurrence(items: DataFrame, line: str, word: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) of distinct (line, word): pairs of words with how many lines hold both, from `least` on; words with their lines.
 
     Words of fewer than `least` lines are in no pair, and go before pairs are made. Rows
-    with a null line or word are no items.
+    with a null line or word are no items. Pairs are dealt by their number before they are
+    counted, so that a task's don't grow with the table; a pair has no more rows than the
+    rarer word has lines, and where two words have more than TASK_PAIRS, pairs are counted by
+    parts of the lines first.
     """
     d = items.select(F.col(line).alias("line"), F.col(word).alias("w")).where("line IS NOT NULL AND w IS NOT NULL")
-    d = d.repartition(max(d.sparkSession.sparkContext.defaultParallelism, items.count() // TASK_ROWS + 1), "line", "w").distinct()
-    nodes = d.groupBy("w").agg(F.count("*").alias("lines"))
-    pairs = line_pairs(d, nodes.where(F.col("lines") >= least))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least), nodes
+    d = d.repartition(_parts(d, items.count(), TASK_ROWS), "line", "w").distinct()
+    nodes = written(d.groupBy("w").agg(F.count("*").alias("lines")), "nodes")
+    pairs, total = _pairs(d.join(nodes.where(F.col("lines") >= least).select("w"), "w", "left_semi"))
+    parts = _parts(d, total, 2 * TASK_PAIRS)
+    edges = pairs.select("a", "b", F.lit(1).cast("long").alias("n"))
+    if nodes.where(F.col("lines") > TASK_PAIRS).count() > 1:
+        edges = pairs.withColumn("_part", F.pmod(F.xxhash64("line"), F.lit(parts))).repartition(parts, "a", "b", "_part").groupBy("a", "b", "_part").agg(F.count("*").alias("n"))
+    edges = edges.repartition(parts, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return edges.where(F.col("n") >= least), nodes
 
 
 def references(edges: DataFrame, items: DataFrame, lines: DataFrame, order: list[str], most: int = 20) -> DataFrame:

@@ -228,3 +228,15 @@ def test_references_by_the_rarer_word(spark):
     edges = spark.createDataFrame([("hub", "z"), ("a", "hub"), ("a", "z"), ("a", "none")], "a string, b string")
     got = {(r.a, r.b): (r.n, [tuple(x) for x in r.refs]) for r in graph.references(edges, items, lines, ["off"]).collect()}
     assert got == {("hub", "z"): (3, [(7, 3)]), ("a", "hub"): (1, [(7, 1)]), ("a", "z"): (1, [(7, 1)])}
+
+
+def test_pairs_are_counted_in_bounded_tasks(spark, monkeypatch):
+    """Tasks that count pairs grow in number with the pairs; two words of very many lines are counted by parts of them."""
+    monkeypatch.setattr(graph, "TASK_PAIRS", 100)
+    items = spark.range(30_000).selectExpr("id % 3000 AS line", "id AS w")  # 3000 lines of 10 words, 45 pairs each
+    edges, _ = graph.cooccurrence(items, "line", "w", least=1)
+    sizes = [r["n"] for r in edges.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 * 45 and len(sizes) > 400 and max(sizes) <= 600
+    common = items.union(spark.range(3000).selectExpr("id AS line", "explode(array(-1L, -2L)) AS w"))
+    edges, nodes = graph.cooccurrence(common, "line", "w")
+    assert [tuple(r) for r in edges.collect()] == [(-2, -1, 3000)] and nodes.where("lines = 3000").count() == 2
