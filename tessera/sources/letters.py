@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 TAGS = ("word", "short", "cap")
@@ -27,27 +27,35 @@ def _kinds() -> np.ndarray:
 
 
 def _lower(surface: pa.Array, ascii_only: bool) -> pa.Array:
-    if ascii_only:
+    """Lower-cased surfaces, which hold letters only: as one text, a line for each, so that no word is a Python string."""
+    if ascii_only or not len(surface):
         return pc.ascii_lower(surface)
-    known = surface.dictionary_encode()
-    return pa.array([x.lower() for x in known.dictionary.to_pylist()], pa.string()).take(known.indices)
+    ends = np.frombuffer(surface.buffers()[1], np.int32)[1:]
+    lines = np.insert(np.frombuffer(surface.buffers()[2], np.uint8), ends, 10)
+    low = np.frombuffer(lines.tobytes().decode().lower().encode(), np.uint8)
+    stop = low == 10
+    places = np.concatenate(([0], np.flatnonzero(stop) - np.arange(len(surface)))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(surface), pa.py_buffer(places.tobytes()), pa.py_buffer(low[~stop].tobytes()))
 
 
-def letter_runs(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """(row, begin, end, tag, surface, lemma) of each letter run, in turn; places are code points of the row, tags numbers in TAGS. Null rows have none."""
-    text = text.cast(pa.string()).fill_null("")
+def _points(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(bytes, code points, where in the bytes each begins, first point of each row, whether all are ASCII) of an array without nulls."""
     offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
     raw = text.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
     ascii_only = not (data >= 0x80).any()
     if ascii_only:
-        points, lead, first = data, np.arange(len(data) + 1), offsets
-    else:
-        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        begins = (data & 0xC0) != 0x80
-        lead = np.append(np.flatnonzero(begins), len(data))
-        first = np.searchsorted(lead, offsets)
+        return data, data, np.arange(len(data) + 1), offsets, True
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begins = (data & 0xC0) != 0x80
+    lead = np.append(np.flatnonzero(begins), len(data))
+    return data, points, lead, np.searchsorted(lead, offsets), False
+
+
+def letter_runs(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(row, begin, end, tag, surface, lemma) of each letter run, in turn; places are code points of the row, tags numbers in TAGS. Null rows have none."""
+    data, points, lead, first, ascii_only = _points(text.cast(pa.string()).fill_null(""))
     kind = _kinds()[points]
     letter = kind > 0
     edge = np.zeros(len(points) + 1, bool)
@@ -74,6 +82,21 @@ def parts(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         i = j
 
 
+def cut(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, number, line) of the \\n-split lines of texts; null texts have none."""
+    each = pc.split_pattern(text.cast(pa.string()), "\n")
+    sizes = pc.list_value_length(each).fill_null(0).to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(text)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), each.flatten()
+
+
+def few_rows(spark: SparkSession) -> None:
+    """Arrow batches get 1000 rows at most, as whole documents are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
 def token_lines(text_lines: DataFrame, places: bool = True) -> DataFrame:
     """text_lines with tok, an array of the letter runs of line: surface s, lower-cased l, tag p and the span b to e.
 

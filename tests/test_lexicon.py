@@ -5,9 +5,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import lexicon
-from tessera.operators.lexicon import Automaton, alternatives, table_hits
+from tessera.operators.lexicon import Automaton, alternatives, document_hits, table_hits
+from tessera.sources import letters
+from tessera.sources.letters import token_lines
 
 TOKEN = "struct<s:string,l:string,p:string,k:string,f:string,p2:string,b:int,e:int>"
 
@@ -78,3 +81,23 @@ def test_automaton():
         want = {(w, i, i + len(p)) for w, p in phrases if p for i in range(len(line)) if line[i : i + len(p)] == p}
         got = list(Automaton(phrases).find(line))
         assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("at_once", [1, 4_000_000])
+def test_hits_of_documents_are_those_of_their_lines(spark, monkeypatch, at_once):
+    """Whole texts, cut where they are searched, have the hits of their lines; patterns and conditions too."""
+    monkeypatch.setattr(letters, "TEXT_BYTES", at_once)
+    texts = [None, "", "\n", "A bé a\n\nbé A c\r\nΣΑΣ a", "a b\na b a b", "b\na", "x" * 20, "a\n" * 30 + "a bé a bé"]
+    docs = spark.createDataFrame([(None if i == 4 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    table = spark.createDataFrame([("x", ['[{"l": "a"}, {"l": "bé"}]', "σας", "b"]), ("y", ['[{"l": "a"}, {"l": "b"}, {"l": "a"}]', '{"re": "c."}', '[{"p": "cap"}]'])], "w string, match array<string>")
+    lines = token_lines(docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "line")))
+    for known in (table, table.where("w = 'x'")):
+        want = [tuple(r) for r in table_hits(lines, known, ["doc_id", "line_idx"]).collect()]
+        assert sorted(map(str, (tuple(r) for r in document_hits(docs, known).collect()))) == sorted(map(str, want)) and len(want) > 5
+
+
+def test_lines_are_no_rows_where_only_phrases_are_searched(spark):
+    """The plan has neither an explode of lines nor arrays of tokens; these took most of the time."""
+    docs = spark.createDataFrame([(1, "a b\na b")], "doc_id long, text string")
+    plan = document_hits(docs, spark.createDataFrame([("x", ['[{"l": "a"}, {"l": "b"}]'])], "w string, match array<string>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "posexplode" not in plan and "tok" not in plan
