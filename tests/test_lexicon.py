@@ -101,3 +101,11 @@ def test_lines_are_no_rows_where_only_phrases_are_searched(spark):
     docs = spark.createDataFrame([(1, "a b\na b")], "doc_id long, text string")
     plan = document_hits(docs, spark.createDataFrame([("x", ['[{"l": "a"}, {"l": "b"}]'])], "w string, match array<string>"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "posexplode" not in plan and "tok" not in plan
+
+
+def test_chained_hits_are_searched_in_documents(spark):
+    """chain_join joins lines to hits by their numbers; the search itself has no rows for lines."""
+    from tessera.plans.queries import QUERIES
+
+    plan = QUERIES["chain_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "tok#" not in plan
