@@ -38,7 +38,7 @@ def _lower(surface: pa.Array, ascii_only: bool) -> pa.Array:
     return pa.StringArray.from_buffers(len(surface), pa.py_buffer(places.tobytes()), pa.py_buffer(low[~stop].tobytes()))
 
 
-def _points(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+def code_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
     """(bytes, code points, where in the bytes each begins, first point of each row, whether all are ASCII) of an array without nulls."""
     offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
     raw = text.buffers()[2]
@@ -55,7 +55,7 @@ def _points(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def letter_runs(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
     """(row, begin, end, tag, surface, lemma) of each letter run, in turn; places are code points of the row, tags numbers in TAGS. Null rows have none."""
-    data, points, lead, first, ascii_only = _points(text.cast(pa.string()).fill_null(""))
+    data, points, lead, first, ascii_only = code_points(text.cast(pa.string()).fill_null(""))
     kind = _kinds()[points]
     letter = kind > 0
     edge = np.zeros(len(points) + 1, bool)
