@@ -5,12 +5,13 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TAGS = ("word", "short", "cap")
@@ -149,3 +150,51 @@ def held_tokens(text_lines: DataFrame, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, word, pa.array(n, pa.int64()), pa.array(kind % 2 == 1)], [key, "lemma", "n", "held"])
 
     return text_lines.mapInArrow(run, schema)
+
+
+def _words(docs: DataFrame, key: str, schema: StructType, rows: Callable[[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray], list]) -> DataFrame:
+    """rows(keys, different lemmas, row and lemma of each word of a text, how often it comes) of the texts of (key, text)."""
+    few_rows(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in parts(whole, "text"):
+                row, *_, lemma = letter_runs(b.column("text"))
+                if len(row):
+                    known = lemma.dictionary_encode()
+                    kind, n = np.unique(row * len(known.dictionary) + known.indices.to_numpy(), return_counts=True)
+                    row, word = np.divmod(kind, len(known.dictionary))
+                    yield pa.RecordBatch.from_arrays(rows(b.column(key), known.dictionary, row, word, n), schema.names)
+
+    return docs.select(key, "text").mapInArrow(run, schema)
+
+
+def word_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, lemma, n): the different lemmas of each text, and how often they come."""
+    schema = StructType([docs.schema[key], *StructType.fromDDL("lemma string, n long")])
+    return _words(docs, key, schema, lambda keys, known, row, word, n: [keys.take(pa.array(row)), known.take(pa.array(word)), pa.array(n, pa.int64())])
+
+
+def word_totals(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(lemma, songs, total): in how many different keys each lemma comes, nulls not counted, and how often.
+
+    Texts whose keys don't repeat are summed by batches, so that only a batch's lemmas are
+    shuffled; those of repeated keys go by (key, lemma).
+    """
+
+    def summed(keys: pa.Array, known: pa.Array, row: np.ndarray, word: np.ndarray, n: np.ndarray) -> list:
+        there = keys.is_valid().to_numpy(zero_copy_only=False)[row]
+        songs = np.bincount(word[there], minlength=len(known))
+        total = np.bincount(word, n, minlength=len(known)).astype(np.int64)  # below 2^53
+        return [known, pa.array(songs, pa.int64()), pa.array(total)]
+
+    def by_batch(d: DataFrame) -> DataFrame:
+        return _words(d, key, StructType.fromDDL("lemma string, songs long, total long"), summed)
+
+    again = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    if again.isEmpty():
+        found = by_batch(docs)
+    else:
+        by_key = word_counts(docs.join(again, key, "left_semi"), key).groupBy(key, "lemma").agg(F.sum("n").alias("n"))
+        found = by_batch(docs.join(again, key, "left_anti")).unionAll(by_key.groupBy("lemma").agg(F.count("*").alias("songs"), F.sum("n").alias("total")))
+    return found.groupBy("lemma").agg(F.sum("songs").alias("songs"), F.sum("total").alias("total"))

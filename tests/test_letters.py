@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators.lexicon import Automaton, Trie
 from tessera.operators.sequence import regex_spans
 from tessera.sources import letters
-from tessera.sources.letters import held_tokens, token_lines
+from tessera.sources.letters import held_tokens, token_lines, word_totals
 from tessera.sources.mart import token_array
 
 ODD = [None, "", " ", "a", "ab c", "İX ΟΔΟΣ Σ", "é éx", "😀a😀😀bc", "夜空 駆", "𝒜x y𐐀", "don't_stop", "Ǆa ǅ Ω", "x1y2", "a­b", "ſßẞ", "\t\r z"]
@@ -58,3 +58,24 @@ def test_trie_finds_what_the_automaton_finds(seed):
     entry, x, y = trie.find(pa.array([w for line in lines for w in line], pa.string()), np.array(ends))
     got = sorted((row[i], trie.entries[int(k)].as_py(), int(i) - starts[row[i]], int(j) + 1 - starts[row[i]]) for k, i, j in zip(entry, x, y, strict=True))
     assert got == want
+
+
+@pytest.mark.parametrize("at_once,ids", [(1, "once"), (4_000_000, "once"), (10, "again"), (4_000_000, "null")])
+def test_word_totals(spark, monkeypatch, at_once, ids):
+    """Different keys of each word, nulls not counted, and how often it comes, as rows of tokens give them."""
+    monkeypatch.setattr(letters, "TEXT_BYTES", at_once)
+    texts = [*ODD, "a b a\nA", "B a", "", "ab ab"] * 3
+    key = {"once": lambda i: i, "again": lambda i: i % 7, "null": lambda i: None if i % 2 else i}[ids]
+    docs = spark.createDataFrame([(key(i), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = token_lines(docs.withColumnRenamed("text", "line"), places=False).select("doc_id", F.explode("tok.l").alias("lemma"))
+    want = rows.groupBy("lemma").agg(F.countDistinct("doc_id").alias("songs"), F.count("*").alias("total"))
+    got = word_totals(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
+def test_songs_are_counted_before_the_shuffle(spark):
+    """df_tiers shuffles a batch's lemmas, not a row for each lemma of each document."""
+    from tessera.plans.queries import QUERIES
+
+    plan = QUERIES["df_tiers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and plan.count("Aggregate") == 2
