@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -21,10 +22,20 @@ TEXT_BYTES = 4_000_000
 
 
 @functools.cache
-def _kinds() -> np.ndarray:
-    """For each code point 1 for a letter, 2 for an upper-case one, else 0."""
-    kind = {"Lu": 2, "Ll": 1, "Lt": 1, "Lm": 1, "Lo": 1}
-    return np.fromiter((kind.get(unicodedata.category(chr(i)), 0) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+def _known_kinds() -> np.ndarray:
+    return np.full(sys.maxunicode + 1, 255, np.uint8)
+
+
+def _kinds(points: np.ndarray) -> np.ndarray:
+    """For each code point 1 for a letter, 2 for an upper-case one, else 0; a point is looked up once."""
+    known = _known_kinds()
+    kind = known[points]
+    new = kind == 255
+    if new.any():
+        for p in np.unique(points[new]).tolist():
+            known[p] = {"Lu": 2, "Ll": 1, "Lt": 1, "Lm": 1, "Lo": 1}.get(unicodedata.category(chr(p)), 0)
+        kind = known[points]
+    return kind
 
 
 def _lower(surface: pa.Array, ascii_only: bool) -> pa.Array:
@@ -57,7 +68,7 @@ def code_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def letter_runs(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
     """(row, begin, end, tag, surface, lemma) of each letter run, in turn; places are code points of the row, tags numbers in TAGS. Null rows have none."""
     data, points, lead, first, ascii_only = code_points(text.cast(pa.string()).fill_null(""))
-    kind = _kinds()[points]
+    kind = _kinds(points)
     letter = kind > 0
     edge = np.zeros(len(points) + 1, bool)
     edge[first] = True
@@ -91,6 +102,71 @@ def cut(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), each.flatten()
 
 
+#: Of bytes: whether they are ASCII letters, and their lower case.
+_ASCII_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+_ASCII_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+
+
+class Text:
+    """The letter runs of texts that are one array of bytes, with a newline after each text: places are bytes, so only what is asked for is counted in lines or code points."""
+
+    def __init__(self, text: pa.Array) -> None:
+        text = text.cast(pa.string()).fill_null("")
+        sizes = pc.binary_length(text).to_numpy().astype(np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), text), "\n")[0].as_buffer()
+        self.data = np.append(np.frombuffer(joined, np.uint8), np.uint8(10)) if len(text) else np.zeros(0, np.uint8)
+        self.newline = np.flatnonzero(self.data == 10)
+        #: First byte of each text, and of each line.
+        self.first, self.line_first = np.cumsum(sizes + 1) - sizes - 1, np.append(0, self.newline[:-1] + 1)
+        letter = _ASCII_LETTER[self.data]
+        wide = np.flatnonzero(self.data >= 0x80)
+        if len(wide):
+            rare = self.data[wide]
+            points = np.frombuffer(rare.tobytes().decode().encode("utf-32-le"), np.uint32)
+            letter[wide] = (_kinds(points) > 0)[np.cumsum((rare & 0xC0) != 0x80) - 1]
+        edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        if len(letter) and letter[0]:
+            edge = np.append(0, edge)
+        self.begin, self.end = edge[::2], edge[1::2]
+        self.later = wide[(self.data[wide] & 0xC0) == 0x80]  # bytes that aren't a code point's first
+        places = np.append(0, np.cumsum(self.end - self.begin)).astype(np.int32)
+        low = _ASCII_LOWER[self.data[letter]]
+        #: Lower-cased but for those that aren't ASCII, which are `odd`.
+        self._runs = pa.StringArray.from_buffers(len(self.begin), pa.py_buffer(places), pa.py_buffer(low))
+        odd = np.zeros(len(self.begin), bool)
+        odd[np.searchsorted(self.begin, wide[letter[wide]], "right") - 1] = True
+        self._odd = np.flatnonzero(odd)
+        #: Whether a run is the last one of its line.
+        self.last = np.zeros(len(self.begin), bool)
+        before = np.searchsorted(self.begin, self.newline) - 1
+        self.last[before[before >= 0]] = True
+
+    def numbers(self, lemmas: pa.Array) -> np.ndarray:
+        """The place in lemmas of each lower-cased run, or -1."""
+        number = pc.index_in(self._runs, lemmas).fill_null(-1).to_numpy().astype(np.int64)
+        if len(self._odd):
+            # The surface again, as an ASCII letter beside others is lower-cased alike.
+            own = _lower(self._runs.take(pa.array(self._odd)), False)
+            number[self._odd] = pc.index_in(own, lemmas).fill_null(-1).to_numpy()
+        return number
+
+    def text_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, place, "right") - 1
+
+    def line_of(self, place: np.ndarray) -> np.ndarray:
+        """The number of the line among those of all texts."""
+        return np.searchsorted(self.line_first, place, "right") - 1
+
+    def points(self, start: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Code points between places."""
+        return place - start - (np.searchsorted(self.later, place) - np.searchsorted(self.later, start))
+
+    def digests(self, line: np.ndarray) -> list[bytes]:
+        """MD5 of lines."""
+        data = self.data.tobytes()
+        return [hashlib.md5(data[s:e]).digest() for s, e in zip(self.line_first[line].tolist(), self.newline[line].tolist(), strict=True)]
+
+
 def few_rows(spark: SparkSession) -> None:
     """Arrow batches get 1000 rows at most, as whole documents are long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

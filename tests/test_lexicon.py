@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import lexicon
-from tessera.operators.lexicon import Automaton, alternatives, document_hits, table_hits
+from tessera.operators.lexicon import Automaton, alternatives, document_hits, hit_totals, table_hits
 from tessera.sources import letters
 from tessera.sources.letters import token_lines
 
@@ -109,3 +109,42 @@ def test_chained_hits_are_searched_in_documents(spark):
 
     plan = QUERIES["chain_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "tok#" not in plan
+
+
+@pytest.mark.parametrize("at_once,slice_tokens,ids", [(1, 500_000, "once"), (4_000_000, 500_000, "once"), (60, 8, "once"), (4_000_000, 2, "once"), (60, 500_000, "again"), (4_000_000, 8, "again")])
+def test_totals_are_those_of_hits_joined_to_lines_and_texts(spark, monkeypatch, at_once, slice_tokens, ids):
+    """Overlaps, equal lines of one text and of several, null keys and values, and keys that repeat, against sets of Python."""
+    monkeypatch.setattr(letters, "TEXT_BYTES", at_once)
+    monkeypatch.setattr(lexicon, "SLICE_TOKENS", slice_tokens)
+    texts = [None, "", "\n", "A bé a\n\nbé A c\r\nΣΑΣ a\u212a", "a b\na b a b a b", "b\na", "a\n" * 30 + "a bé a bé", "x" * 20, "a b a b a b\na b a b a b", "é", "a'ΑΣ'b 中b a\nb"] * 2
+    key = {"once": lambda i: None if i == 8 else i, "again": lambda i: None if i == 8 else i // 3 * 2 + i % 2}[ids]
+    rows = [(key(i), [None, "p", "q"][i % 3], t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    match = {"x": ['[{"l": "a"}, {"l": "bé"}]', "σας", "b", "ak"], "y": ['[{"l": "a"}, {"l": "b"}, {"l": "a"}]', '[{"l": "b"}, {"l": "a"}]', "ας"], "z": ["a", '[{"l": "a"}, {"l": "b"}]', "中b"], "none": []}
+    table = spark.createDataFrame(list(match.items()), "w string, match array<string>")
+    want = {}
+    hits = [tuple(r) for r in document_hits(docs, table).collect()]
+    for k, at, w, _, _ in hits:
+        for k2, _, text in rows:
+            for k3, source, _ in rows:
+                if k is not None and k == k2 == k3 and text is not None and at < len(text.split("\n")):
+                    n = want.setdefault((w, source), [0, set(), set()])
+                    n[0], n[1], n[2] = n[0] + 1, n[1] | {k}, n[2] | {text.split("\n")[at]}
+    got = [tuple(r) for r in hit_totals(docs, table, "source").collect()]
+    assert sorted(map(str, got)) == sorted(str((*k, n, len(keys), len(lines))) for k, (n, keys, lines) in want.items()) and len(got) > 6
+
+
+def test_totals_of_patterns_and_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "s", "a b\na b"), (2, "s", "a b\nb")], "doc_id long, source string, text string")
+    table = spark.createDataFrame([("x", ['{"re": "b"}', "a"])], "w string, match array<string>")
+    assert [tuple(r) for r in hit_totals(docs, table, "source").collect()] == [("x", "s", 7, 2, 2)]
+    for some, known in ((docs.limit(0), table.select("w", F.array(F.lit("a")).alias("match"))), (docs, table.limit(0))):
+        assert hit_totals(some, known, "source").collect() == []
+
+
+def test_chained_hits_are_summed_where_they_are_searched(spark):
+    """chain_join has neither rows for lines nor joins; these grew with all lines."""
+    from tessera.plans.queries import QUERIES
+
+    plan = QUERIES["chain_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "posexplode" not in plan and plan.count("MapInArrow") == 1
