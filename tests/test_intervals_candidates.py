@@ -4,9 +4,11 @@ import random
 
 import pytest
 
+from tessera.operators import candidates as operators
 from tessera.operators import intervals
 from tessera.operators.candidates import audit, candidates
 from tessera.operators.intervals import covered, inside
+from tessera.plans import queries
 
 INNER = "song_id string, line_idx int, c_start int, c_end int, id int, _e string"
 OUTER = "song_id string, line_idx int, c_start int, c_end int, w string"
@@ -83,3 +85,34 @@ def test_inside_meets_only_what_is_near(spark):
     tokens = spark.range(2000).selectExpr("'a' AS song_id", "0 AS line_idx", "CAST(id * 6 AS int) AS c_start", "CAST(id * 6 + 5 AS int) AS c_end", "id")
     hits = spark.range(1000).selectExpr("'a' AS song_id", "0 AS line_idx", "CAST(id * 12 AS int) AS c_start", "CAST(id * 12 + 11 AS int) AS c_end", "CAST(id AS string) AS w")
     assert intervals.JOIN_BLOCK <= 64 and inside(tokens, hits, ["song_id", "line_idx"]).count() == 2000
+
+
+def _random_tables(spark, at, seed, repeated=False):
+    rnd = random.Random(seed)
+    vocabulary = ["étoile", "Été", "née", "über", "Über", "straße", "ciel", "Mer", "la", "né", "İle", "wordswords", "Ça", "a"]
+    text = lambda: "\n".join("".join(rnd.choice(vocabulary) + rnd.choice([" ", " ", ", ", "'"]) for _ in range(rnd.randrange(9))) for _ in range(rnd.randrange(4)))
+    docs = [(i, text(), "fr", f"src{rnd.randrange(5)}") for i in range(150)]
+    docs += [(200 + i, docs[i][1], "fr", docs[i][3]) for i in range(0, 60, 2)] + [(300, None, "fr", "src1"), (None, "née née", "fr", "src1"), (301, "née", "fr", None), (302, "née 𝒳é née", "fr", "src1")]
+    docs += [(0, "née plus étoile", "fr", docs[0][3])] if repeated else []
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, int(docs[i][3] != "src4")) for i in range(150)], "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "étoile née la, Über straße étoile"), (2, "née né"), (3, None), (4, "straße wordswords")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_candidates_of_documents_are_those_of_tokens(spark, tmp_path, monkeypatch, seed):
+    """Words are marked where their text is searched: the same rows as by tables of tokens, and no table of tokens."""
+    _random_tables(spark, tmp_path, seed)
+    mart = queries._mart(spark, str(tmp_path), done=True)
+    want = candidates(mart, queries._CHOSEN, queries._WORD_TAGS, queries._GRAMMAR).collect()
+    monkeypatch.setattr(operators, "candidates", None)
+    got = queries.lexicon_candidates(spark, str(tmp_path)).collect()
+    flat = lambda rows: sorted((r.lemma, r.pos1, r.kana, r.songs, r.here, r.total, r.examples if isinstance(r.examples, str) else "\n".join(r.examples)) for r in rows)
+    assert len(got) > 4 and flat(got) == flat(want)
+
+
+def test_candidates_of_repeated_ids(spark, tmp_path):
+    _random_tables(spark, tmp_path, 3, repeated=True)
+    want = candidates(queries._mart(spark, str(tmp_path), done=True), queries._CHOSEN, queries._WORD_TAGS, queries._GRAMMAR)
+    got = queries.lexicon_candidates(spark, str(tmp_path))
+    assert sorted((r.lemma, r.pos1, r.songs, r.total) for r in got.collect()) == sorted((r.lemma, r.pos1, r.songs, r.total) for r in want.collect())
